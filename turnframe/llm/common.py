@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a Python worker's word cache holds before it starts anew; a cache only saves time, so this drops nothing.
-CACHE_WORDS = 300_000
+#: Entries of one generation of a Python worker's word cache, of two; a cache only saves time, so this drops nothing.
+CACHE_WORDS = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +38,45 @@ def shards_for(docs: DataFrame, column: str, mb: int) -> int:
     return max(1, -(-total // (mb << 20)))
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash, remembered up to CACHE_WORDS words."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_RANDOM = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_GAPS = np.zeros(256, bool)
+_GAPS[[0x20, *range(0x09, 0x0E)]] = True
+_CHUNK = 1 << 16
+_UP, _DOWN = _powers(_BASE, _CHUNK + 1), _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over bytes, modulo 2**64: with them, spans hash in a few vector steps."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    scale = np.ones(1, np.uint64)
+    for at in range(0, len(data), _CHUNK):
+        part = _RANDOM[data[at : at + _CHUNK]] * _UP[: len(data[at : at + _CHUNK])]
+        out[at + 1 : at + 1 + len(part)] = out[at] + scale * np.add.accumulate(part)
+        scale = scale * _UP[_CHUNK:]
+    return out
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, wherever it stands."""
+    q, r = np.divmod(starts, _CHUNK)
+    down = _DOWN[r]
+    if len(q) and q.max() > 0:
+        down = down * _powers(pow(_BASE, -_CHUNK, 1 << 64), int(q.max()) + 1)[q]
+    return (sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order, without a Python object a word."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _GAPS[data], [True])).view(np.int8)))
+    return mix(span_hashes(byte_sums(data), edges[::2], edges[1::2]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +115,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
+def member(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array; the array is not gone through for it."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def runs(flags: np.ndarray) -> np.ndarray:
     """[start, end) of each run of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import WordHash, bucketed, materialize, mix, rolling, runs, shards_for, sliding_min
+from turnframe.llm.common import bucketed, materialize, member, mix, rolling, runs, shards_for, sliding_min, word_hashes
 
 WINDOW = 50
 PHRASE = 25
@@ -63,27 +63,27 @@ def recurring(spans: DataFrame) -> DataFrame:
 def _documents(table: pa.Table):
     for doc, text in zip(table.column("doc_id"), table.column("text")):
         if (d := doc.as_py()) is not None:
-            yield d, (text.as_py() or b"").split()
+            yield d, text.as_py() or b""
 
 
 def _anchors(table: pa.Table) -> pa.Table:
-    hashes, found = WordHash(), []
-    for doc, words in _documents(table):
-        if len(words) >= WINDOW:
-            found.append((doc, np.unique(window_anchors(hashes.of(words)))))
+    found = []
+    for doc, text in _documents(table):
+        h = word_hashes(text)
+        if len(h) >= WINDOW:
+            found.append((doc, np.unique(window_anchors(h))))
     return _spans_table(found, table.column("shard")[0].as_py())
 
 
 def _windows(table: pa.Table, side: pa.Table) -> pa.Table:
     if not table.num_rows or not side.num_rows:
         return _SPANS.empty_table()
-    hashes, found = WordHash(), []
-    known = np.sort(side.column("hash").to_numpy()).view(np.int64)
-    for doc, words in _documents(table):
-        if len(words) < WINDOW:
+    found, known = [], np.sort(side.column("hash").to_numpy())
+    for doc, text in _documents(table):
+        h = word_hashes(text)
+        if len(h) < WINDOW:
             continue
-        h = hashes.of(words)
-        flags = np.isin(window_anchors(h).view(np.int64), known)
+        flags = member(known, window_anchors(h).view(np.int64))
         if flags.any():
             found.append((doc, np.unique(rolling(h, WINDOW)[flags])))
     return _spans_table(found, table.column("shard")[0].as_py())
@@ -99,12 +99,13 @@ def _passages(table: pa.Table, side: pa.Table) -> pa.Table:
     owners, windows = side.column("owner").to_numpy(), side.column("hash").to_numpy()
     order = np.argsort(owners, kind="stable")
     owners, windows = owners[order], windows[order]
-    hashes, out, seen = WordHash(), [], set()
-    for doc, words in _documents(table):
-        lo, hi = np.searchsorted(owners, [doc, doc + 1])
-        if lo == hi or len(words) < WINDOW:
+    out, seen = [], set()
+    for doc, text in _documents(table):
+        lo, hi = np.searchsorted(owners, doc), np.searchsorted(owners, doc, "right")
+        if lo == hi:
             continue
-        flags = np.isin(rolling(hashes.of(words), WINDOW).view(np.int64), windows[lo:hi])
+        words = text.split()
+        flags = member(np.sort(windows[lo:hi]), rolling(word_hashes(text), WINDOW).view(np.int64))
         for a, b in runs(flags).tolist():
             passage = (doc, b" ".join(words[a : b + WINDOW - 1]))
             if passage not in seen:
