@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +35,25 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def ids(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
         missing = list({w for w in words if w not in self.known})
         if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             missing = list(set(words))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+        new = []
+        for w in missing:
+            if (found := self.older.get(w)) is not None:
+                self.known[w] = found
+            else:
+                new.append(w)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                self.known[w] = np.array(e.ids, np.uint32).tobytes()
         return b"".join(map(self.known.__getitem__, words))
 
 
