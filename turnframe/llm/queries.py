@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm import decontaminate, packing, quality, simhash, substrings, suffixtree, toxicity, urls, warc
+from turnframe.llm import decontaminate, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.remove_repeated_bytes(spark, _table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, pipeline)}
 
 ORACLE_SQL = {
     "op4_warc": """
