@@ -1,34 +1 @@
-"""Turn state as a stream: an extension, as the batch operators cover every query.
-
-Each conversation keeps its token ids as state; a turn either extends them or starts anew.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def bridge_turns(turns: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """(conv_id, turn, n_prior, n_tokens) for a stream of (conv_id, turn, token_ids): how much of each prompt was there before.
-
-    A conversation without turns for idle is forgotten. Turns of a batch are taken in order of turn; an empty turn adds nothing.
-    """
-    minutes = pd.Timedelta(idle).value // 1_000_000
-
-    def extend(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        have, out = (state.get[0] if state.exists else 0), []
-        for r in pd.concat(list(frames)).sort_values("turn").itertuples():
-            out.append((key[0], r.turn, have, have + len(r.token_ids)))
-            have += len(r.token_ids)
-        state.update((have,))
-        state.setTimeoutDuration(int(minutes))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "n_prior", "n_tokens"])
-
-    return turns.groupBy("conv_id").applyInPandasWithState(extend, "conv_id long, turn long, n_prior long, n_tokens long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+"""Streaming hosts. The studied capability has none; nothing is registered here yet."""
