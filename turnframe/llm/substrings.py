@@ -192,15 +192,15 @@ def _locate(with_text: bool):
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and row, if docs has it, and with_text the kept words as binary) of every row.
+def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False, row_column: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, row (the values of row_column, or null) and, with_text, the kept words as binary.
 
     A word goes if a window of 50 words over it also starts in a document with a smaller doc_id. A null text has no words; a
     row with a null doc_id loses nothing and takes nothing; rows that repeat a doc_id do not count against each other; texts
     under 50 words stay; no rows give no rows.
     """
     shards = shards_for(docs, "text", SHARD_MB)
-    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
+    row = (F.col(row_column) if row_column else F.lit(None)).cast("long").alias("row")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard")
     table = bucketed(spark, docs.select(shard, F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("binary").alias("text")), "shard", shards, "substrings")
     texts = table.select("shard", "doc_id", "text").groupBy("shard")
@@ -217,9 +217,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
 
 def cut_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs, with all columns, their texts replaced by the kept words where words were removed; n_chars follows the text."""
-    numbered = materialize(spark, docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    kept = remove_repeats(spark, numbered.select("doc_id", "text", "row"), with_text=True).where("n_removed > 0").select("row", F.col("kept").cast("string").alias("kept_text"))
-    joined = numbered.join(kept, "row", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    key, new = "turnframe_row", "turnframe_kept"
+    numbered = materialize(spark, docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    kept = remove_repeats(spark, numbered.select("doc_id", "text", key), True, key).where("n_removed > 0").select(F.col("row").alias(key), F.col("kept").cast("string").alias(new))
+    joined = numbered.join(kept, key, "left").withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
