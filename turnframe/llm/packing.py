@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,41 +23,80 @@ END_ID = 1
 OPEN_BINS = 8192
 #: Sequences that one packer makes, about: enough that its last, part-filled bins are a small share.
 SEQUENCES_PER_PACKER = 4096
+#: Text that is split into words at once, about.
+GROUP_BYTES = 1 << 16
+#: Punctuation at the end of a word that the tokenizer cuts off from letters.
+TAIL = b".,;:!?#$%&*"
 VOCABULARY = "word_bpe_49k.json"
 
 PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
 
 
 class Encoder:
-    """ids of a text as bytes (little-endian unsigned 32-bit), word by word.
+    """ids of texts as bytes (little-endian unsigned 32-bit), word by word.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids are those of its words in order, and
-    each distinct word is encoded once while it stays in the cache.
+    each distinct word is encoded once while it stays in the cache, without its last punctuation and capitals. New words are encoded together, with MARK between
+    them: a word of one id, by which the ids are cut again. Where a new word holds that id, they are encoded one by one.
     """
 
+    MARK = "\u2665"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def ids(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        missing = list({w for w in words if w not in self.known})
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        listed = [(t or b"").split() for t in texts]
+        known = self.known
+        missing = {w for words in listed for w in words if w not in known}
         if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-            missing = list(set(words))
-        new = []
-        for w in missing:
-            if (found := self.older.get(w)) is not None:
-                self.known[w] = found
-            else:
-                new.append(w)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            self.known, self.older = {}, known
+            known, missing = self.known, set(chain.from_iterable(listed))
+        missing = self._recall(missing)
+        parts = [(w, *self._split(w)) for w in missing]
+        new = self._recall({p for _, core, tail in parts for p in (core, tail)}.difference(self.known))
+        for at in range(0, len(new), 1024):
+            self._learn(new[at : at + 1024])
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail]
+        return [b"".join(map(known.__getitem__, words)) for words in listed]
+
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Those words that are not known from the older generation either."""
+        found = {w: ids for w in words if (ids := self.older.get(w)) is not None}
+        self.known.update(found)
+        return [w for w in words if w not in found]
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes]:
+        """A word as what is before its last punctuation, A-Z in lower case, and that punctuation. After a letter the tokenizer always cuts there."""
+        core = word.rstrip(TAIL)
+        if core and chr(core[-1]).isalpha() and core[-1] < 0x80:
+            return core.lower(), word[len(core) :]
+        return word.lower(), b""
+
+    def _learn(self, words: list[bytes]) -> None:
+        if self.mark is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in words])], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(words) - 1:
+                data = ids.tobytes()
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+                self.known.update((w, data[a:b]) for w, a, b in zip(words, starts, ends))
+                return
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One a Python worker, which keeps the cache from task to task."""
+    return Encoder(path)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -69,15 +111,18 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path())
+        encode = encoder(vocabulary or vocabulary_path()).ids
 
         def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-            for doc, text in zip(b.column(0), b.column(1)):
-                ids = encoder.ids(text.as_py()) + END_ID.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    row = (doc.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part))
-                    yield (*row, part) if with_ids else row
+            doc_ids, texts, sizes = b.column(0).to_pylist(), b.column(1), np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            groups = np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1
+            for lo, hi in zip([0, *groups.tolist()], [*groups.tolist(), len(doc_ids)]):
+                for doc, found in zip(doc_ids[lo:hi], encode(texts.slice(lo, hi - lo).to_pylist())):
+                    ids = found + END_ID.to_bytes(4, "little")
+                    for k, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
+                        yield (*row, part) if with_ids else row
 
         for b in it:
             yield from batches(rows(b), arrow, 2000 if with_ids else 20_000)
