@@ -89,13 +89,19 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability at which F1 is best out of fold; 0.5 where a class is missing."""
+    """The probability at which F1 is best out of fold, of those at which at least half of what is rejected has the mark; else 0.5.
+
+    With few marked rows nothing may be learnt, and F1 alone is then best where nearly all is rejected.
+    """
     if not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # equal probabilities stand or fall together
+    f1[2 * hits < np.arange(1, len(y) + 1)] = 0
+    if not f1.any():
+        return 0.5
     k = int(np.argmax(f1))
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0)) / 2)
 
