@@ -130,6 +130,20 @@ def test_quality_counts(spark, docs, rows):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and (r["kept"] is False if r["base_failed"] else True)
 
 
+def test_planted_outliers_are_rejected_and_clean_rows_kept(spark):
+    rnd = random.Random(8)
+    clean = lambda: " ".join("abcdefghij"[: rnd.randint(2, 8)] for _ in range(rnd.randint(80, 160)))
+    planted = [" ".join("#$ab" if k % 2 else w for k, w in enumerate(clean().split())), " ".join(w * 6 for w in clean().split())]
+    # a group of its own, one judged by its language, and one by all rows
+    groups = [("en", "big", 300), ("en", "small", 8), ("xx", None, 5)]
+    texts = [(lang, source, text, bad) for lang, source, n in groups for bad, of in ((False, [clean() for _ in range(n)]), (True, planted)) for text in of]
+    rows = [(i, text, lang, source) for i, (lang, source, text, _) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in quality.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i, (*_, bad) in enumerate(texts) if bad)
+    assert sum(got[i]["kept"] for i, (*_, bad) in enumerate(texts) if not bad) >= 310
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 

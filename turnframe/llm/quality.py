@@ -1,16 +1,17 @@
 """Quality rules: simple counts, then robust multivariate outliers per language and source.
 
 Everything here is DataFrame functions. The estimate is the minimum covariance determinant: from several starts, each
-group repeatedly takes mean and covariance of the half of its rows that lie nearest under the last estimate, and keeps
-the start whose covariance has the least determinant. A group's rows are only ever summed (partial sums before the
-shuffle), so a source that holds a third of all rows is no larger a task than any other.
+group repeatedly takes mean and covariance of those of its rows that lie nearest under the last estimate, until the
+determinant no longer falls, and keeps the start whose covariance has the least determinant. A group's rows are only ever
+summed (partial sums before the shuffle), so a source that holds a third of all rows is no larger a task than any other.
+Groups too small for an estimate are judged by that of their language, or of all rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe.llm.common import materialize
@@ -19,15 +20,19 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Parameters of the estimate.
-STEPS = 3
+#: Parameters of the estimate. A start has converged when its log determinant falls by no more than CONVERGED.
 STARTS = 4
 MIN_GROUP = 40
 SUBSET = 0.6
-#: Least standard deviation of each feature: smaller spreads are noise, not grounds to reject a document.
-FLOORS = (0.25, 1.0, 0.25, 0.25)
-#: Squared distance beyond which a row is an outlier: the 1 - 1e-12 quantile of chi-square with 4 degrees of freedom is 62.
-CUTOFF = 62.0
+CONVERGED = 1e-6
+#: Standard deviation added to each feature, against zero variance: most texts have no symbols and repeat nothing, and a single symbol or repeated line in a short text is chance.
+FLOORS = (0.01, 1.0, 0.05, 0.25)
+#: Squared distance beyond which a row is an outlier: the 1 - 1e-4 quantile of chi-square with 4 degrees of freedom.
+CUTOFF = 23.513
+#: Medians of chi-square with 1 to 4 degrees of freedom.
+MEDIANS = (0.4549, 1.3863, 2.366, 3.3567)
+#: Stands for any language, or any source, of a pooled estimate; named ones begin with "=".
+ANY = "*"
 FEATURES = ("f0", "f1", "f2", "f3")
 
 
@@ -71,20 +76,26 @@ def _features(stats: DataFrame) -> DataFrame:
     })
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean m_i and covariance c_i_j (floored on the diagonal) of the features by key."""
-    p = range(len(FEATURES))
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(FEATURES[i]).alias(f"s_{i}") for i in p], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i in p for j in p if j <= i])
-    mean = {i: F.col(f"s_{i}") / F.col("n") for i in p}
-    return sums.select(*keys, "n", *[mean[i].alias(f"m_{i}") for i in p], *[(F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in p for j in p if j <= i])
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
+    """n, s_i and q_i_j: count, sums and sums of products of the features."""
+    return [F.count("*").alias("n"), *[F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS]]
+
+
+def _moments(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, mean m_i and covariance c_i_j of the features from their sums."""
+    mean = [F.col(f"s_{i}") / F.col("n") for i in range(len(FEATURES))]
+    return sums.select(*keys, "n", *[m.alias(f"m_{i}") for i, m in enumerate(mean)], *[(F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS])
 
 
 def _cholesky(moments: DataFrame) -> DataFrame:
-    """l_i_j: the lower factor of the covariance, and its log determinant; each entry is a column of its own, so none is computed twice."""
+    """l_i_j: the lower factor of the covariance with FLOORS on its diagonal, and its log determinant; each entry is a column of its own, so none is computed twice."""
     for i in range(len(FEATURES)):
         for j in range(i + 1):
             rest = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
-            value = F.col(f"c_{i}_{j}") - rest
+            value = F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) - rest
             moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
     return moments.withColumn("logdet", reduce(lambda a, b: a + b, [2 * F.log(f"l_{i}_{i}") for i in range(len(FEATURES))]))
 
@@ -99,39 +110,69 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total)
 
 
-def robust_estimates(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Per g_lang and g_source the estimate with the least determinant, and scale: the median of d2 over that of chi-square.
+def _estimate_keys(spark: SparkSession, stats: DataFrame) -> DataFrame:
+    """(g_lang, g_source, e_lang, e_source): by which estimate each group is judged, its own, its language's or that of all rows; none where all rows are under MIN_GROUP."""
+    counts = materialize(spark, stats.groupBy("g_lang", "g_source").agg(F.count_if(~F.col("base_failed")).alias("n")), "groups")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    level = counts.join(counts.groupBy("g_lang").agg(F.sum("n").alias("n_lang")), "g_lang").where(F.lit(total >= MIN_GROUP))
+    own, lang = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
+    return level.select("g_lang", "g_source", F.when(own | lang, F.col("g_lang")).otherwise(ANY).alias("e_lang"), F.when(own, F.col("g_source")).otherwise(ANY).alias("e_source"))
+
+
+def robust_estimates(spark: SparkSession, rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Of each e_lang and e_source in used the estimate with the least determinant, from all rows that it covers.
 
-    The nearest rows are found by counting distances in bins a sixteenth of an octave wide, so no group is ever sorted.
+    The nearest rows are found by summing them in bins of distance a sixteenth of an octave wide, so no group is ever
+    sorted. Each start steps until its determinant falls no further, which ends, as subsets are finitely many. The nearest
+    rows spread less than all; so the covariance is scaled for the median distance to be that of chi-square, with as many
+    degrees of freedom as features spread beyond their floors.
     """
-    group = ["g_lang", "g_source"]
+    group = ["e_lang", "e_source"]
     keys = [*group, "start"]
+    covering = F.array(*[F.struct(a.alias("e_lang"), b.alias("e_source")) for a, b in ((F.col("g_lang"), F.col("g_source")), (F.col("g_lang"), F.lit(ANY)), (F.lit(ANY), F.lit(ANY)))])
     start = F.pmod(F.xxhash64("doc_id"), F.lit(STARTS)).cast("int")
-    estimate = materialize(spark, _cholesky(_moments(rows.withColumn("start", start), keys)), "mcd")
+    covered = rows.select(F.explode(covering).alias("e"), start.alias("start"), *FEATURES).select("e.*", "start", *FEATURES)
+    covered = materialize(spark, covered.join(used.select(*group).distinct(), group, "left_semi"), "covered")
+    members = covered.select(*group, *FEATURES)
     bin_ = F.floor(16 * F.log2(F.col("d2") + 1e-6)).cast("int")
-    for step in range(STEPS):
-        near = _distance(rows.select(*group, *FEATURES).join(estimate, group)).select(*keys, *FEATURES, bin_.alias("bin"))
-        per_bin = near.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
-        total = per_bin.groupBy(*keys).agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("bins"))
-        edge = lambda share: F.expr(f"aggregate(bins, struct(0L as s, cast(null as int) as e), (a, x) -> struct(a.s + x.c as s, coalesce(a.e, if(a.s + x.c >= {share} * n, x.bin, null)) as e)).e")  # noqa: B023, E731
-        cut = total.select(*keys, edge(SUBSET).alias("edge"), edge(0.5).alias("half"))
-        picked = _cholesky(_moments(near.join(cut.select(*keys, "edge"), keys).where("bin <= edge"), keys))
-        if step == STEPS - 1:
-            picked = estimate.select(*keys, *[c for c in estimate.columns if c not in keys]).join(cut.select(*keys, "half"), keys)
-        estimate = materialize(spark, picked, "mcd")
-    best = estimate.groupBy(*group).agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in group]), F.struct("logdet", "start")).alias("e"), F.sum("n").alias("rows"))
-    return best.select(*group, "rows", "e.*", F.greatest(F.pow(F.lit(2.0), (F.col("e.half") + 1) / 16.0) / 3.357, F.lit(1.0)).alias("scale"))
+    first = _cholesky(_moments(covered.groupBy(*keys).agg(*_sums()), keys))
+    estimate = materialize(spark, first.withColumns({"logdet": F.lit(float("inf")), "moves": F.lit(True)}), "mcd")
+    so_far = Window.partitionBy(*keys).orderBy("bin")
+    while not (moving := estimate.where("moves")).isEmpty():
+        per_bin = _distance(members.join(moving, group)).groupBy(*keys, bin_.alias("bin")).agg(*_sums())
+        before, total = F.sum("n").over(so_far) - F.col("n"), F.sum("n").over(Window.partitionBy(*keys))
+        nearest = per_bin.withColumns({"before": before, "total": total}).where(F.col("before") < SUBSET * F.col("total"))
+        summed = nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in per_bin.columns if c not in (*keys, "bin")])
+        stepped = _cholesky(_moments(summed, keys))
+        values = [c for c in stepped.columns if c not in keys]
+        both = estimate.select(*keys, F.struct(*values).alias("old")).join(stepped.select(*keys, F.struct(*values).alias("new")), keys, "left")
+        better = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - CONVERGED, F.lit(False))
+        estimate = materialize(spark, both.select(*keys, F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), better.alias("moves")).select(*keys, "e.*", "moves"), "mcd")
+    best = estimate.groupBy(*group).agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in (*group, "moves")]), F.struct("logdet", "start")).alias("e")).select(*group, "e.*")
+    best = materialize(spark, best, "mcd")
+    bins = _distance(members.join(best, group)).groupBy(*group, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    middle = bins.withColumns({"before": F.sum("n").over(Window.partitionBy(*group).orderBy("bin")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    half = middle.where("2 * before >= total").groupBy(*group).agg(F.min("bin").alias("half"))
+    spread = reduce(lambda a, b: a + b, [(F.col(f"c_{i}_{i}") > FLOORS[i] ** 2).cast("int") for i in range(len(FEATURES))])
+    expected = F.get(F.array(*map(F.lit, MEDIANS)), F.greatest(spread, F.lit(1)) - 1)
+    scale = F.when(spread == 0, 1.0).otherwise(F.greatest(F.pow(F.lit(2.0), (F.col("half") + 0.5) / 16.0) / expected, F.lit(1.0)))
+    scaled = best.join(half, group).withColumn("scale", scale)
+    return _cholesky(scaled.select(*group, *[f"m_{i}" for i in range(len(FEATURES))], *[(F.col(f"c_{i}_{j}") * F.col("scale")).alias(f"c_{i}_{j}") for i, j in _PAIRS]))
 
 
 def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Counts, base_failed and kept of every document.
 
     A null or empty text has zero counts and fails the base rules. A null lang or source is a group of its own. Only rows
-    that pass the base rules enter an estimate; a group of fewer than MIN_GROUP of them rejects none. No rows give no rows.
+    that pass the base rules enter an estimate; a group of fewer than MIN_GROUP of them is judged by its language's, a
+    language of fewer by that of all rows, and if these are fewer still, there is no estimate and none is rejected by
+    distance. No rows give no rows.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = materialize(spark, _features(base_statistics(docs)).withColumn("base_failed", failed), "quality")
-    estimates = robust_estimates(spark, stats.where("not base_failed"))
-    judged = _distance(stats.join(estimates.drop("n", "start"), ["g_lang", "g_source"], "left"))
-    inlier = F.coalesce((F.col("rows") < MIN_GROUP) | (F.col("d2") <= CUTOFF * F.col("scale")), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inlier).alias("kept"), F.round(F.col("d2") / F.col("scale"), 3).alias("distance2"))
+    used = materialize(spark, _estimate_keys(spark, stats), "levels")
+    estimates = robust_estimates(spark, stats.where("not base_failed"), used)
+    judges = materialize(spark, used.join(estimates, ["e_lang", "e_source"]), "judges")
+    judged = _distance(stats.join(judges, ["g_lang", "g_source"], "left"))
+    inlier = F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inlier).alias("kept"), F.round("d2", 3).alias("distance2"))
