@@ -219,6 +219,18 @@ def test_url_rules_and_pagerank(spark):
     assert np.allclose([rank["a"], rank["b"], rank["c"]], x)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    hosts = [f"h{i}.org" for i in range(15)] + ["bad.net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/es/x", f'<a href="http://{to}/x">') for i, (h, to) in enumerate(zip(hosts, [*hosts[1:], "h14.org"]))], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.url_filter(spark, pages).collect()}
+    assert [got[i]["verdict"] for i in range(16)] == ["block"] * 16
+    m, s = np.zeros((16, 16)), np.eye(16)[15]
+    for i in range(15):  # backwards; h14 is linked from h13 and bad.net
+        m[i, i + 1] = 0.5 if i == 13 else 1.0
+    m[15, 14] = 0.5
+    assert np.allclose([got[i]["distrust"] for i in range(16)], np.linalg.solve(np.eye(16) - 0.85 * m, 0.15 * s), rtol=1e-4, atol=0)
+
+
 def test_no_rows(spark, docs):
     none = docs.limit(0)
     assert substrings.remove_repeats(spark, none).count() == 0

@@ -10,7 +10,10 @@ from turnframe.llm.common import materialize
 #: (host, path, verdict), as the contract states them.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
-ROUNDS = 12
+#: A host has converged when a round changes its rank by no more than this share of it; so a host that is newly reached has not.
+TOLERANCE = 1e-6
+#: Only a guard: after so many links the rank of a host is below what a double can hold.
+MOST_ROUNDS = 5000
 #: A host is blocked where the distrust that reaches it exceeds the trust by this factor.
 MARGIN = 1.0
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -40,9 +43,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: (host, rank) from edges (src, dst, links) and seeds (host, rank), whose ranks sum to 1.
 
+    Without a number of rounds it goes on until all hosts have converged, those reached last and with little rank too.
     Per round one join and one sum by host; a hub's in-links are summed before they are shuffled, and the skewed side of
     the join is split by adaptive execution. Rank on hosts without out-links is dropped, as for any substochastic walk.
     """
@@ -50,9 +54,15 @@ def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: i
     shares = materialize(spark, edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "edges")
     rank = materialize(spark, seeds, "rank")
     base = rank.select("host", ((1 - DAMPING) * F.col("rank")).alias("rank"))
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         flow = rank.join(shares, rank["host"] == shares["src"]).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        rank = materialize(spark, base.union(flow).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+        parts = base.union(flow).withColumn("old", F.lit(0.0)).union(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        both = materialize(spark, parts.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")).where("rank > 0"), "rank")
+        rank = both.select("host", "rank")
+        if rounds is None and both.where(F.abs(F.col("rank") - F.col("old")) > TOLERANCE * F.col("rank")).isEmpty():
+            return rank
+    if rounds is None:
+        raise RuntimeError(f"the ranks of hosts have not converged in {MOST_ROUNDS} rounds")
     return rank
 
 
