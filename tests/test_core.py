@@ -83,6 +83,10 @@ def test_special_tokens_in_text_stay_text(spark):
     assert sum(r["piece"] == "<|im_end|>" for r in toks) == 1
 
 
+def test_a_users_events_are_never_one_row(spark):
+    assert "collect_list" not in q.QUERIES["turn_close"](spark, DATA)._jdf.queryExecution().toString()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

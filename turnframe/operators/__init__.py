@@ -91,7 +91,7 @@ def parse_hermes(completions: DataFrame, tools: DataFrame | None = None) -> Data
 
     status: unclosed, invalid_json, missing_name, unknown_tool (when tools(name) is given) or ok.
     """
-    parts = completions.select("id", F.posexplode(F.slice(F.split("text", "<tool_call>"), 2, 1 << 20)).alias("call_idx", "raw"))
+    parts = completions.select("id", F.posexplode(F.slice(F.split("text", "<tool_call>"), F.lit(2), F.size(F.split("text", "<tool_call>")))).alias("call_idx", "raw"))
     closed = F.instr("raw", "</tool_call>") > 0
     inner = F.trim(F.regexp_replace(F.substring_index("raw", "</tool_call>", 1), "^\\s+|\\s+$", ""))
     parsed = parts.withColumns({"closed": closed, "inner": inner}).withColumns({"ok": F.try_parse_json("inner").isNotNull(), "name": F.get_json_object("inner", "$.name"), "arguments": F.get_json_object("inner", "$.arguments")})

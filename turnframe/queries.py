@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe import operators as op
-from turnframe.functions import coerce_argument, pieces, think_split, token_id, trim_to_turn_close
+from turnframe.functions import coerce_argument, pieces, think_split, token_id
 from turnframe.plans import FAMILIES, facts
 from turnframe.sources import conversations, reasoning_conversations, table, tool_calls
 
@@ -265,10 +265,10 @@ def argument_coercion(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, event_type FROM events)
     SELECT user_id, count(*)::BIGINT AS n_prompt_and_completion, max(i) FILTER (event_type = 'signup')::BIGINT AS closed_at FROM e GROUP BY 1""")
 def turn_close(spark, sf_dir):
-    ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.when(F.col("event_type") == "signup", 2).otherwise(1).cast("bigint").alias("t")))).alias("e"))
-    ids = F.transform("e", lambda x: x["t"])
-    trimmed = trim_to_turn_close(F.array().cast("array<bigint>"), ids, F.array(F.lit(2).cast("bigint")))
-    return ordered.select("user_id", F.size(ids).cast("bigint").alias("n_prompt_and_completion"), F.size(trimmed).cast("bigint").alias("closed_at")).withColumn("closed_at", F.when(F.col("closed_at") >= 0, F.col("closed_at")))
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    last = events.where("event_type = 'signup'").groupBy(F.col("user_id").alias("closer")).agg(F.max("at").alias("last"))
+    placed = events.join(last, F.col("user_id").eqNullSafe(F.col("closer")), "left")
+    return placed.groupBy("user_id").agg(F.count("*").alias("n_prompt_and_completion"), F.when(F.count("last") > 0, F.count_if(F.col("at") <= F.col("last"))).alias("closed_at"))
 
 
 def _candidates(spark, sf_dir):
