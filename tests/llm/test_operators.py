@@ -166,9 +166,64 @@ def test_packing(spark, docs, rows):
         assert at <= 4096
 
 
-def test_a_closed_bin_is_the_fullest():
-    bins = packing.Bins(10, 2)
-    assert [bins.place(s) for s in (4, 7, 8, 6, 2)] == [(0, 0), (1, 0), (2, 0), (0, 4), (2, 8)] or bins.open <= 2
+def plain_bounded_best_fit(sizes, length, most):
+    """A list of [sequence, used] in the order of opening, gone through for each piece; and how many bins were closed while some were open."""
+    bins, made, placed, closed = [], 0, [], 0
+    for size in sizes:
+        fits = [x for x in bins if x[1] + size <= length]
+        if fits:
+            best = max(x[1] for x in fits)
+            chosen = [x for x in fits if x[1] == best][-1]
+            bins.remove(chosen)
+        else:
+            chosen, made = [made, 0], made + 1
+        placed.append((chosen[0], chosen[1]))
+        chosen[1] += size
+        if chosen[1] < length:
+            if len(bins) == most:
+                full = max(x[1] for x in bins)
+                bins.remove([x for x in bins if x[1] == full][-1])
+                closed += 1
+            bins.append(chosen)
+    return placed, closed
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7])
+def test_bins_close_as_in_a_plain_packer(most):
+    rnd = random.Random(most)
+    sizes = [rnd.choice([rnd.randint(1, 10), rnd.randint(30, 50)]) for _ in range(2000)]
+    bins = packing.Bins(50, most)
+    want, closed = plain_bounded_best_fit(sizes, 50, most)
+    assert [bins.place(s) for s in sizes] == want and closed > 100
+    assert [packing.Bins(10, 2).place(10)] == [(0, 0)]
+
+
+def test_words_are_encoded_as_whole_texts_are():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, rnd = Tokenizer.from_file(packing.vocabulary_path()), packing.WordEncoder(packing.vocabulary_path()), random.Random(2)
+    parts = ["a", "B", "é", "<|ENDOFTEXT|>", "<|endoftext|>", " ", "\n", "\u00a0", "'s", "'LL", "12", "-", "H\u0331", "ß", "中", "♥", "İ", "\x1c", "Ω", "...", "was,", "W!?", "<|", "x" * 30]
+    for _ in range(300):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(3)] + [None]
+        ids, ends = encoder.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    text = "Two  words,\n\nthen <|endoftext|> more"
+    got = packing.pack(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), path, with_ids=True).collect()
+    assert np.frombuffer(got[0]["ids"], "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_packing_is_tight_when_bins_close(spark):
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(i, "the " * rnd.choice([3, 40, 400, 1500])) for i in range(800)], "doc_id long, text string")
+    got = packing.pack(spark, docs, open_bins=8).collect()
+    assert len({r["sequence_id"] for r in got}) <= 1.1 * sum(r["length"] for r in got) / 4096
 
 
 def test_decontamination(spark):

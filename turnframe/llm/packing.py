@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,88 +13,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnframe.llm.common import CACHE_WORDS, batches, materialize
+from turnframe.llm.common import batches, materialize
 
 LENGTH = 4096
 END_ID = 1
 #: Bins that one packer holds open. When it needs one more, the fullest closes.
-OPEN_BINS = 8192
-#: Sequences that one packer makes, about: enough that its last, part-filled bins are a small share.
-SEQUENCES_PER_PACKER = 4096
-#: Text that is split into words at once, about.
-GROUP_BYTES = 1 << 16
-#: Punctuation at the end of a word that the tokenizer cuts off from letters.
-TAIL = b".,;:!?#$%&*"
+OPEN_BINS = 64
+#: Sequences that one packer makes, about: many times its open bins, so that those left at its end are a small share.
+SEQUENCES_PER_PACKER = 8192
+#: Text that is split into words at once, about; a longer text is split by itself.
+GROUP_BYTES = 4 << 20
+#: Distinct words whose ids a task holds. Beyond that it forgets them all and encodes what it meets anew, so this drops nothing.
+KNOWN_WORDS = 400_000
+#: It drops white space and merges nothing across it, and cuts between a letter and what is in TAIL.
 VOCABULARY = "word_bpe_49k.json"
+TAIL = ".,;:!?#$%&*"
+#: A word of one id, which stands between words that are encoded together.
+MARK = "♥"
 
 PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
 
 
-class Encoder:
-    """ids of texts as bytes (little-endian unsigned 32-bit), word by word.
+class WordEncoder:
+    """ids of texts, for a tokenizer that drops white space and cuts between letters and punctuation: a text's ids are those of its words in order.
 
-    The tokenizer drops white space and merges nothing across it, so a text's ids are those of its words in order, and
-    each distinct word is encoded once while it stays in the cache, without its last punctuation and capitals. New words are encoded together, with MARK between
-    them: a word of one id, by which the ids are cut again. Where a new word holds that id, they are encoded one by one.
+    Arrow splits many texts, lists their distinct words and cuts last punctuation off those in ASCII, which also are
+    lower-cased, as the tokenizer does; a word that may hold an added token stays as it is. What is then not known is encoded.
     """
 
-    MARK = "\u2665"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        listed = [(t or b"").split() for t in texts]
-        known = self.known
-        missing = {w for words in listed for w in words if w not in known}
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known, self.older = {}, known
-            known, missing = self.known, set(chain.from_iterable(listed))
-        missing = self._recall(missing)
-        parts = [(w, *self._split(w)) for w in missing]
-        new = self._recall({p for _, core, tail in parts for p in (core, tail)}.difference(self.known))
-        for at in range(0, len(new), 1024):
-            self._learn(new[at : at + 1024])
-        for w, core, tail in parts:
-            known[w] = known[core] + known[tail]
-        return [b"".join(map(known.__getitem__, words)) for words in listed]
-
-    def _recall(self, words: set[bytes]) -> list[bytes]:
-        """Those words that are not known from the older generation either."""
-        found = {w: ids for w in words if (ids := self.older.get(w)) is not None}
-        self.known.update(found)
-        return [w for w in words if w not in found]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where those of each end."""
+        listed = pc.fill_null(pc.ascii_split_whitespace(texts), [])
+        words = listed.flatten().dictionary_encode()
+        cores, tails = self._cut(words.dictionary)
+        parts = self._numbers(pa.concat_arrays([cores, tails])).reshape(2, -1).T[words.indices.to_numpy()].ravel()
+        sizes = self.sizes[parts]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(self.starts[parts] - ends[:-1], sizes)
+        at += np.arange(ends[-1])
+        return self.ids[at], ends[2 * np.cumsum(pc.list_value_length(listed).to_numpy())]
 
     @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes]:
-        """A word as what is before its last punctuation, A-Z in lower case, and that punctuation. After a letter the tokenizer always cuts there."""
-        core = word.rstrip(TAIL)
-        if core and chr(core[-1]).isalpha() and core[-1] < 0x80:
-            return core.lower(), word[len(core) :]
-        return word.lower(), b""
-
-    def _learn(self, words: list[bytes]) -> None:
+    def _cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        stems = pc.utf8_rtrim(words, TAIL)
+        cut = pc.and_(plain, pc.match_substring_regex(stems, "[A-Za-z]$"))
+        cores = pc.if_else(plain, pc.ascii_lower(pc.if_else(cut, stems, words)), words)
+        return cores, pc.if_else(cut, pc.struct_field(pc.extract_regex(words, f"(?P<tail>[{TAIL}]*)$"), "tail"), "")
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        listed = parts.dictionary_encode()
+        words = listed.dictionary.to_pylist()
+        if len(self.number) + len(words) > KNOWN_WORDS:
+            self.forget()
+        new = [w for w in words if w not in self.number]
+        found = [self._encode_words(new[at : at + 1024]) for at in range(0, len(new), 1024)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, *(ids for ids, _ in found)))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[listed.indices.to_numpy()]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, and how many each has; together, with MARK between them, or one by one where a word holds its id as well."""
         if self.mark is not None:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in words])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = ids == self.mark
+            cuts = np.flatnonzero(marks)
             if len(cuts) == len(words) - 1:
-                data = ids.tobytes()
-                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
-                self.known.update((w, data[a:b]) for w, a, b in zip(words, starts, ends))
-                return
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+                return ids[~marks], np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+
+class TextEncoder:
+    """ids of texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One a Python worker, which keeps the cache from task to task."""
-    return Encoder(path)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([len(x) for x in found])
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -106,28 +121,35 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """Each document's ids and END_ID, cut into pieces of at most length: doc_id, piece, start, length, ids_crc32 (and ids as binary)."""
+    """Each document's ids and END_ID, cut into pieces of at most length: doc_id, piece, start, length, ids_crc32 (and ids as binary).
+
+    vocabulary is the path of a tokenizer; whole texts are encoded with it. Only VOCABULARY, the default, goes word by word.
+    """
     schema = T.StructType(PIECES.fields + [T.StructField("ids", T.BinaryType())] * with_ids)
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary or vocabulary_path()).ids
-
-        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-            doc_ids, texts, sizes = b.column(0).to_pylist(), b.column(1), np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            groups = np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1
-            for lo, hi in zip([0, *groups.tolist()], [*groups.tolist(), len(doc_ids)]):
-                for doc, found in zip(doc_ids[lo:hi], encode(texts.slice(lo, hi - lo).to_pylist())):
-                    ids = found + END_ID.to_bytes(4, "little")
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        part = ids[at : at + 4 * length]
-                        row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
-                        yield (*row, part) if with_ids else row
+    def rows(b: pa.RecordBatch, encode: Callable) -> Iterator[tuple]:
+        doc_ids, texts = b.column(0).to_pylist(), b.column(1)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        groups = np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1
+        for lo, hi in zip([0, *groups.tolist()], [*groups.tolist(), len(doc_ids)]):
+            ids, ends = encode(texts.slice(lo, hi - lo))
+            data, begin = memoryview(ids.astype("<u4").tobytes()), 0
+            for doc, end in zip(doc_ids[lo:hi], ends.tolist()):
+                n = end - begin + 1
+                for k, at in enumerate(range(0, n, length)):
+                    part, last = data[4 * (begin + at) : 4 * min(end, begin + at + length)], at + length >= n
+                    tail = END_ID.to_bytes(4, "little") if last else b""
+                    row = (doc, k, at, min(length, n - at), zlib.crc32(tail, zlib.crc32(part)))
+                    yield (*row, bytes(part) + tail) if with_ids else row
+                begin = end
 
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = TextEncoder(vocabulary) if vocabulary else WordEncoder(vocabulary_path())
         for b in it:
-            yield from batches(rows(b), arrow, 2000 if with_ids else 20_000)
+            yield from batches(rows(b, encoder.encode), arrow, 2000 if with_ids else 20_000)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
 class Bins:
@@ -140,40 +162,43 @@ class Bins:
         """(sequence, offset) for a piece: the open bin that it fills best, else a new one."""
         if fits := self.free >> size:
             space = (fits & -fits).bit_length() - 1 + size
-            bins = self.by_free[space]
-            sequence = bins.pop()
-            if not bins:
-                self.free &= ~(1 << space)
-            self.open -= 1
+            sequence = self._take(space)
         else:
             sequence, space = self.made, self.length
             self.made += 1
         left = space - size
         if left:
             if self.open == self.most:
-                fullest = (self.free & -self.free).bit_length() - 1
-                self.by_free[fullest].pop()
-                if not self.by_free[fullest]:
-                    self.free &= ~(1 << fullest)
-                self.open -= 1
+                self._take((self.free & -self.free).bit_length() - 1)  # the fullest closes
             self.by_free.setdefault(left, []).append(sequence)
             self.free |= 1 << left
             self.open += 1
         return sequence, self.length - space
 
+    def _take(self, space: int) -> int:
+        """A bin with this free space, which is no longer open."""
+        bins = self.by_free[space]
+        sequence = bins.pop()
+        if not bins:
+            self.free &= ~(1 << space)
+        self.open -= 1
+        return sequence
+
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset.
 
-    Pieces are dealt at random to packers of about SEQUENCES_PER_PACKER sequences; each takes its own, longest first, as
-    a stream and holds only its open bins. sequence_id is packer * 2**32 + number. A null or empty text is the one id
-    END_ID; a row with a null doc_id is packed like any other; repeated rows are packed once each; no rows give no rows.
+    Pieces are dealt by a hash to packers of about SEQUENCES_PER_PACKER sequences; each takes its own online, in the order
+    of another hash, and holds only its open bins. sequence_id is packer * 2**32 + number. A null or empty text is the one
+    id END_ID; a very long one is cut into pieces like any other; a row with a null doc_id is packed as well; repeated rows
+    are packed once each; among bins that a piece fills equally well it goes to the last one opened; other columns of docs
+    are left out; no rows give no rows.
     """
     cut = materialize(spark, pieces(docs, vocabulary, length, with_ids), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     packers = max(1, -(-total // (length * SEQUENCES_PER_PACKER)))
-    dealt = cut.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)).cast("long"))
-    dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.desc("length"), "doc_id", "piece")
+    dealt = cut.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)).cast("long")).withColumn("turn", F.xxhash64("piece", "doc_id", "start"))
+    dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", "turn", "doc_id", "piece")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, now = None, None
@@ -185,7 +210,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, le
                 sequence, offset = bins.place(size)
                 sequences.append((packer << 32) + sequence)
                 offsets.append(offset)
-            kept = b.select([c for c in b.schema.names if c != "packer"])
+            kept = b.select([c for c in b.schema.names if c not in ("packer", "turn")])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*kept.schema.names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(run, T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
