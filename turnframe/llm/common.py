@@ -12,16 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of one generation of a Python worker's word cache, of two; a cache only saves time, so this drops nothing.
-CACHE_WORDS = 600_000
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests, one machine), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset; it gets a new folder then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
@@ -79,6 +79,26 @@ def word_hashes(text: bytes) -> np.ndarray:
     return mix(span_hashes(byte_sums(data), edges[::2], edges[1::2]))
 
 
+#: Texts that are hashed at once, about; small enough for a processor's cache.
+GROUP_BYTES = 1 << 18
+
+
+def many_word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, the hashes of all their words, the text of each) for groups of texts (binary, no nulls)."""
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    cuts = (np.flatnonzero(np.diff((ends[1:] - ends[0]) // GROUP_BYTES)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
+        data, at = whole[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        word, edge = ~_GAPS[data], np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))[: len(word)]))
+        stops = np.flatnonzero(word & (edge[1:] | ~np.concatenate((word[1:], [False]))[: len(word)])) + 1
+        yield lo, hi, mix(span_hashes(byte_sums(data), starts, stops)), lo + np.searchsorted(at, starts, "right") - 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that scatters them."""
     x = x ^ (x >> np.uint64(31))
@@ -171,8 +191,21 @@ def _flat(e: DataFrame) -> bool:
     return e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
 
 
+TABLES = "turnframe_"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Drop what bucketed() has left in the current database, files included. To be called when no result is read any more."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(TABLES):
+            path = spark.sql(f"DESCRIBE FORMATTED {t.name}").where("col_name = 'Location'").first()["data_type"]
+            spark.sql(f"DROP TABLE {t.name}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bucketed(spark: SparkSession, df: DataFrame, column: str, count: int, tag: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by column: grouping by it later moves no row of it again."""
-    name = f"turnframe_{tag}_{uuid.uuid4().hex}"
+    """df as a table in the shared folder, bucketed by column: grouping by it later moves no row of it again. drop_tables() removes it."""
+    name = f"{TABLES}{tag}_{uuid.uuid4().hex}"
     df.repartition(count, column).write.format("parquet").bucketBy(count, column).option("path", f"{shared_dir(spark)}/turnframe/{name}").saveAsTable(name)
     return spark.table(name)
