@@ -3,7 +3,7 @@
 Two fingerprints that differ in at most 3 of 64 bits differ in at most 1 bit of their low or of their high half. Of each
 half, 31 bits are covered by the perfect Hamming code of length 31: every value is within radius 1 of a code word, its
 anchors are the code words within radius 1 + 1, so two values at distance 1 share the anchor that covers either of them.
-A fingerprint is copied to at most 2 * 16 anchors, whatever the size of the data, and is only compared within an anchor.
+A fingerprint is copied to at most 2 * (1 + 3 * 16) keys, whatever the size of the data, and is only compared under a key.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnframe.llm.common import batches, connected_components, materialize
@@ -22,8 +21,6 @@ from turnframe.llm.common import batches, connected_components, materialize
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
-#: An anchor with more distinct fingerprints is split by equal bytes of the other half, which loses no pair.
-HOT_ANCHOR = 4096
 _BLOCK = 1 << 16
 
 
@@ -59,55 +56,185 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def anchors(half: Column) -> Column:
-    """Code words of the Hamming code of length 31 within distance 2 of a 31-bit value, as an array of longs."""
-    syndrome = sum((F.bit_count(half.bitwiseAND(F.lit(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)))) % 2) * (1 << k) for k in range(5)).cast("int")
-    one = lambda p: F.expr("1L") * F.pow(F.lit(2.0), p - 1).cast("long")
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (i != syndrome) & (i < i.bitwiseXOR(syndrome))),
-        lambda i: half.bitwiseXOR(one(i)).bitwiseXOR(one(i.bitwiseXOR(syndrome))),
-    )
-    return F.when(syndrome == 0, F.array(half)).otherwise(F.concat(F.array(half.bitwiseXOR(one(syndrome))), pairs))
+def _masks() -> np.ndarray:
+    """By syndrome, what turns a 31-bit value into each code word within distance 2 of it: the bit that the syndrome names, and each pair of bits whose numbers add to it."""
+    out = np.zeros((32, 16), np.uint64)
+    for s in range(1, 32):
+        pairs = [(i, i ^ s) for i in range(1, 32) if i < i ^ s]
+        out[s] = [1 << (s - 1), *(1 << (i - 1) | 1 << (j - 1) for i, j in pairs)]
+    return out
 
 
-def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) at THRESHOLD bits or fewer that span every group of fps; fps are distinct."""
-    n = len(fps)
-    parent = np.arange(n)
+_MASKS = _masks()
+_CHECKS = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)) for k in range(5)]
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    out: list[tuple[int, int]] = []
-    for i in range(n - 1):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= THRESHOLD) + i + 1:
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, int(j)))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def anchors(half: np.ndarray) -> np.ndarray:
+    """Rows of 16 code words of the Hamming code of length 31, those within distance 2 of a value; a code word itself is its only anchor, 16 times.
+
+    Code words are at least 3 apart, so no other is within 2 of one.
+    """
+    syndrome = sum((np.bitwise_count(half & check) & 1).astype(np.int64) << k for k, check in enumerate(_CHECKS))
+    return half[:, None] ^ _MASKS[syndrome]
+
+
+def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, kind, value): the keys under which each fingerprint meets every other one at THRESHOLD bits or fewer.
+
+    One of two such fingerprints' halves differs in no bit or in one. In no bit: they meet under that half itself. In one
+    bit: the other halves differ in at most two, so they agree in one of three parts of it, and they meet under an anchor of
+    the first half together with that part. Parts make groups small without losing a pair.
+    """
+    low, high, code = fps & np.uint64(0xFFFFFFFF), fps >> np.uint64(32), np.uint64(0x7FFFFFFF)
+    which, kinds, values = [], [], []
+    for half, this, other in ((0, low, high), (1, high, low)):
+        which.append(np.arange(len(fps)))
+        kinds.append(np.full(len(fps), 4 * half, np.int8))
+        values.append(this)
+        # bit 31 is outside the code: halves that differ there alone have the same anchors
+        near = anchors(this & code)
+        own = near[:, 0] == near[:, 1]
+        for part, (at, width) in enumerate(PARTS):
+            found = near << np.uint64(11) | ((other >> np.uint64(at)) & np.uint64((1 << width) - 1))[:, None]
+            use = np.ones(found.shape, bool)
+            use[own, 1:] = False
+            which.append(np.nonzero(use)[0])
+            values.append(found[use])
+            kinds.append(np.full(len(values[-1]), 4 * half + 1 + part, np.int8))
+    return np.concatenate(which), np.concatenate(kinds), np.concatenate(values).view(np.int64)
+
+
+def _keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        fps = b.column(0).to_numpy()
+        for at in range(0, len(fps), 1000):
+            part = fps[at : at + 1000]
+            which, kind, value = keys_of(part.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value), pa.array(part[which])], names=["kind", "value", "fp"])
+
+
+#: (lowest bit, width) of the parts of a half.
+PARTS = ((0, 11), (11, 11), (22, 10))
+#: A group of more fingerprints is put off, to be compared in cells of about this many.
+CELL = 4096
+_FOUND = "a long, b long, kind byte, value long"
+_FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y) <= THRESHOLD
+
+
+def pairs_within(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of one group that are near. group is sorted: all groups are gone through together, each row against the k-th after it."""
+    out_i, out_j, at, k = [], [], np.arange(len(fps)), 1
+    while True:
+        at = at[at + k < len(fps)]
+        at = at[group[at] == group[at + k]]
+        if not len(at):
+            break
+        hits = at[_near(fps[at], fps[at + k])]
+        out_i.append(hits)
+        out_j.append(hits + k)
+        k += 1
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (at, at)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    keep = np.zeros(len(i), bool)
+    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep[n] = True
+    return keep
+
+
+def _batch(a: np.ndarray, b: np.ndarray | None, kind: np.ndarray | None = None, value: np.ndarray | None = None) -> pa.RecordBatch:
+    none = lambda t: pa.nulls(len(a), t)
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none(pa.int64()) if b is None else pa.array(b.view(np.int64)), none(pa.int8()) if kind is None else pa.array(kind), none(pa.int64()) if value is None else pa.array(value)], schema=_FOUND_ARROW)
+
+
+def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, value, fp), sorted -> near pairs of each group; rows of groups over CELL come out as they are, with no b."""
+    held = [np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    put_off = None  # the group whose rows are being put off
+
+    def done(kind, value, fp) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (value[1:] != value[:-1]))))
+        size = np.diff(np.concatenate((new, [len(fp)])))
+        group, large = np.repeat(np.arange(len(new)), size), np.repeat(size > CELL, size)
+        if large.any():
+            yield _batch(fp[large], None, kind[large], value[large])
+            group, fp = group[~large], fp[~large]
+        i, j = pairs_within(group, fp)
+        if len(i):
+            keep = _spanning(i, j)
+            yield _batch(fp[i[keep]], fp[j[keep]])
+
+    for b in it:
+        parts = [np.concatenate((h, c.to_numpy().view(h.dtype))) for h, c in zip(held, b.columns)]
+        if not len(parts[0]):
+            continue
+        kind, value, fp = parts
+        if put_off is not None:
+            same = (kind == put_off[0]) & (value == put_off[1])
+            if same.any():
+                yield _batch(fp[same], None, kind[same], value[same])
+                kind, value, fp = kind[~same], value[~same], fp[~same]
+                if not len(fp):
+                    held = [kind, value, fp]
+                    continue
+            put_off = None
+        last = len(fp) - int(((kind == kind[-1]) & (value == value[-1])).sum())
+        if len(fp) - last > CELL:  # the last group is large already, and may go on
+            put_off = (kind[-1], value[-1])
+            yield _batch(fp[last:], None, kind[last:], value[last:])
+            kind, value, fp = kind[:last], value[:last], fp[:last]
+        if last:
+            yield from done(kind[:last], value[:last], fp[:last])
+        held = [kind[last:], value[last:], fp[last:]]
+    if len(held[0]):
+        yield from done(*held)
+
+
+def _compare_cells(key: tuple, table: pa.Table) -> pa.Table:
+    """Near pairs of one cell: of all its rows where its two blocks are one, else between them."""
+    block, fps = table.column("block").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+    left, right = key[2].as_py(), key[3].as_py()
+    x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    found = [(np.full(len(h), p), h) for p in x.tolist() if len(h := y[(y > p) & _near(fps[y], fps[p])] if left == right else y[_near(fps[y], fps[p])])]
+    i, j = (np.concatenate(c) for c in zip(*found)) if found else (x[:0], x[:0])
+    keep = _spanning(i, j)
+    return pa.table({"a": fps[i[keep]].view(np.int64), "b": fps[j[keep]].view(np.int64)})
 
 
 def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
-    """(a, b) fingerprints at THRESHOLD bits or fewer: of each anchor a spanning forest, so that reachability is whole."""
-    low, high = (F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(0x7FFFFFFF)))
-    copies = distinct.select("fp", low.alias("lo"), high.alias("hi")).select("fp", F.explode(F.concat(F.transform(anchors(F.col("lo")), lambda a: a * 2), F.transform(anchors(F.col("hi")), lambda a: a * 2 + 1))).alias("anchor"))
-    sizes = copies.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    met = copies.join(sizes, "anchor")
-    other = F.when(F.col("anchor") % 2 == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    part = lambda k: F.shiftrightunsigned("other", 8 * k).bitwiseAND(F.lit(255)) * 4 + k
-    keyed = met.withColumn("other", other).select("anchor", "fp", F.explode(F.when(F.col("n") > HOT_ANCHOR, F.array(*[part(k) for k in range(4)])).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy()
-        i, j = _forest(fps.view(np.uint64))
-        return pd.DataFrame({"a": fps[i], "b": fps[j]})
-
-    return keyed.groupBy("anchor", "sub").applyInPandas(compare, "a long, b long").distinct()
+    """(a, b) fingerprints at THRESHOLD bits or fewer, as spanning forests of each group, so that reachability is whole.
+
+    Groups of up to CELL are compared as their sorted rows pass by. Of a larger one, fingerprints are dealt to blocks and
+    each pair of blocks is a cell of its own, so no group is ever in one task.
+    """
+    # a fingerprint is few bytes but many keys, so its rows are spread before they multiply
+    spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.mapInArrow(_keyed, "kind byte, value long, fp long")
+    found = materialize(spark, rows.repartition("kind", "value").sortWithinPartitions("kind", "value").mapInArrow(_compare, _FOUND), "simhash-pairs")
+    late = found.where("b is null").select("kind", "value", F.col("a").alias("fp"))
+    sizes = late.groupBy("kind", "value").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    dealt = late.join(sizes, ["kind", "value"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = dealt.withColumn("other", other).select("kind", "value", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "fp")
+    far = cells.groupBy("kind", "value", "left", "right").applyInArrow(_compare_cells, "a long, b long")
+    return found.where("b is not null").select("a", "b").union(far).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
