@@ -7,7 +7,8 @@ are merged in: any two positions have a shift of 0, 1 or 2 characters that bring
 sorted by its few first characters and the names from there, exactly 25 characters in all, and neighbours are compared.
 
 Only segments that can repeat are sorted: of each window of 200 bytes, the least hash of its 64-byte grams is its anchor,
-equal windows have equal anchors, and windows whose anchor stands in one place only are left out.
+equal windows have equal anchors, and windows whose anchor stands in one place only are left out. What is left is cut where
+its content says so, so that equal passages are cut alike; of equal segments one is sorted, with the number of its copies.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe.llm.common import bucketed, byte_sums, materialize, member, mix, runs, shards_for, sliding_min, span_hashes
@@ -26,9 +27,11 @@ WINDOW = 200
 GRAM = 64
 CHARACTER = 8
 SHARD_MB = 16
-MOST_SEGMENT = 1 << 26
+#: One in so many changes of the anchor cuts; a segment without one is cut at MOST_SEGMENT bytes.
+CUT = 16
+MOST_SEGMENT = 1 << 16
 #: Bytes of segments that one task names at once.
-SEGMENT_SHARD_MB = 4
+SEGMENT_SHARD_MB = 2
 
 
 def _anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +55,35 @@ def _count_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"hash": keys.view(np.int64), "shard": np.full(len(keys), table.column("shard")[0].as_py()), "n": n})
 
 
-_SEGMENTS = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+_SEGMENTS = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("key", pa.binary()), ("bytes", pa.binary())])
+
+
+def cuts_of(least: np.ndarray, a: int, b: int) -> list[int]:
+    """Where the windows [a, b) are cut, with both ends: at the changes of anchor that its hash chooses, and so that no segment is too long."""
+    run = least[a:b]
+    chosen = np.flatnonzero((run[1:] != run[:-1]) & (mix(run[1:]) % np.uint64(CUT) == 0)) + 1
+    out = [a]
+    for c in [*(a + chosen).tolist(), b]:
+        while c - out[-1] > MOST_SEGMENT - WINDOW:
+            out.append(out[-1] + MOST_SEGMENT - WINDOW)
+        out.append(c)
+    return out
 
 
 def _segments(table: pa.Table, side: pa.Table) -> pa.Table:
-    """The runs of bytes under windows whose anchors recur."""
-    out = []
+    """The segments of bytes under windows whose anchors recur, with a key of their bytes; the bytes themselves once a shard."""
+    out, seen = [], set()
     known = np.sort(side.column("hash").to_numpy()) if side.num_rows else np.zeros(0, np.int64)
     for row, text in zip(table.column("row") if table.num_rows else (), table.column("text") if table.num_rows else ()):
         t = text.as_py() or b""
         least, _ = _anchors_of(t)
         for a, b in runs(member(known, least.view(np.int64))).tolist():
-            for c in range(a, b, MOST_SEGMENT - WINDOW):  # whole windows in each
-                out.append((row.as_py(), c, t[c : min(b, c + MOST_SEGMENT - WINDOW) + WINDOW - 1]))
+            ends = cuts_of(least, a, b)
+            for c, d in zip(ends, ends[1:]):
+                part = t[c : d + WINDOW - 1]  # whole windows in each
+                key = hashlib.sha256(part).digest()[:16]
+                out.append((row.as_py(), c, key, None if key in seen else part))
+                seen.add(key)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENTS)], schema=_SEGMENTS) if out else _SEGMENTS.empty_table()
 
 
@@ -72,14 +91,14 @@ class Shard:
     """The segments of one shard as one array, with what the levels read at each position (-1: no name, or past the end)."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by("start_at")
+        self.table = table = table.sort_by("seg")
         texts = [t.as_py() for t in table.column("bytes")]
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.bases = table.column("start_at").to_numpy()
+        self.segs = table.column("seg").to_numpy()
         self.first = np.cumsum(self.sizes) - self.sizes
         self.at = np.arange(self.sizes.sum()) - np.repeat(self.first, self.sizes)
         self.room = np.repeat(self.sizes, self.sizes) - self.at
-        self.global_at = np.repeat(self.bases, self.sizes) + self.at
+        self.seg = np.repeat(self.segs, self.sizes)
         self.sampled = self.at // CHARACTER % 3 != 0
         data = np.frombuffer(b"".join(texts) + bytes(CHARACTER), np.uint8).astype(np.uint64)
         n = len(self.at)
@@ -88,14 +107,13 @@ class Shard:
     def names(self, side: pa.Table) -> np.ndarray:
         out = np.full(len(self.at), -1, np.int64)
         if side.num_rows:
-            g = side.column("at").to_numpy()
-            k = np.searchsorted(self.bases, g, "right") - 1
-            out[self.first[k] + g - self.bases[k]] = side.column("name").to_numpy()
+            k = np.searchsorted(self.segs, side.column("seg").to_numpy())
+            out[self.first[k] + side.column("place").to_numpy()] = side.column("name").to_numpy()
         return out
 
 
 def _rows(shard: Shard, at: np.ndarray, keys: list[np.ndarray], shift: int = 0) -> pa.Table:
-    return pa.table({"at": shard.global_at[at], "shift": np.full(len(at), shift, np.int32), **{f"k{i}": k for i, k in enumerate(keys)}})
+    return pa.table({"seg": shard.seg[at], "place": shard.at[at].astype(np.int32), "shift": np.full(len(at), shift, np.int32), **{f"k{i}": k for i, k in enumerate(keys)}})
 
 
 def _triples(table: pa.Table) -> pa.Table:
@@ -139,18 +157,18 @@ def _merged(table: pa.Table, side: pa.Table) -> pa.Table:
 
 
 def _schema(n: int) -> pa.Schema:
-    return pa.schema([("at", pa.int64()), ("shift", pa.int32()), *[(f"k{i}", pa.int64()) for i in range(n)]])
+    return pa.schema([("seg", pa.int64()), ("place", pa.int32()), ("shift", pa.int32()), *[(f"k{i}", pa.int64()) for i in range(n)]])
 
 
 def _sql(n: int) -> str:
-    return "at long, shift int, " + ", ".join(f"k{i} long" for i in range(n))
+    return "seg long, place int, shift int, " + ", ".join(f"k{i} long" for i in range(n))
 
 
 _EMPTY3, _EMPTY7 = _schema(3).empty_table(), _schema(7).empty_table()
 
 
 def _ranked(rows: DataFrame, n: int, partitions: int) -> DataFrame:
-    """(at, name) of the rows whose key another row shares: rows sorted by key over all partitions, names in that order."""
+    """(seg, place, name) of the rows whose key another row shares: rows sorted by key over all partitions, names in that order."""
     keys = ["shift", *[f"k{i}" for i in range(n)]]
     ordered = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
 
@@ -163,9 +181,9 @@ def _ranked(rows: DataFrame, n: int, partitions: int) -> DataFrame:
             if not b.num_rows:
                 continue
             k = np.stack([b.column(c).to_numpy().astype(np.int64) for c in keys])
-            at = b.column("at").to_numpy()
+            at = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("seg", "place")])
             if last is not None:  # the row before the batch, so that neighbours meet
-                k, at = np.concatenate((last, k), axis=1), np.concatenate(([last_at], at))
+                k, at = np.concatenate((last, k), axis=1), np.concatenate((last_at, at), axis=1)
             same = (k[:, 1:] == k[:, :-1]).all(axis=0)
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
             named = base + count + np.concatenate(([0], np.cumsum(~same)))
@@ -173,16 +191,29 @@ def _ranked(rows: DataFrame, n: int, partitions: int) -> DataFrame:
             emit = shared.copy()
             if last is not None and last_named:
                 emit[0] = False  # it has been given out already
-            yield pa.RecordBatch.from_arrays([pa.array(at[emit]), pa.array(named[emit])], names=["at", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[0][emit]), pa.array(at[1][emit].astype(np.int32)), pa.array(named[emit])], names=["seg", "place", "name"])
             last_named = bool(shared[-1])
-            last, last_at = k[:, -1:], at[-1]
+            last, last_at = k[:, -1:], at[:, -1:]
 
-    return ordered.mapInArrow(name, "at long, name long")
+    return ordered.mapInArrow(name, "seg long, place int, name long")
 
 
-def _dense(spark_id):
-    """monotonically_increasing_id is partition * 2**33 + number; as partition * 2**20 + number it leaves room for the place."""
-    return F.shiftright(spark_id, 33) * (1 << 20) + spark_id.bitwiseAND(F.lit((1 << 33) - 1))
+_COVERED = pa.schema([("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _covered(table: pa.Table, side: pa.Table) -> pa.Table:
+    """The bytes of each segment under windows that stand elsewhere as well: all of a segment with copies."""
+    if not table.num_rows:
+        return _COVERED.empty_table()
+    s, out = Shard(table), []
+    flags = s.names(side) >= 0
+    for k, (key, copies) in enumerate(zip(s.table.column("key").to_pylist(), s.table.column("copies").to_pylist())):
+        size = int(s.sizes[k])
+        if copies > 1:
+            out.append((key, 0, size))
+        else:
+            out += [(key, a, b + WINDOW - 1) for a, b in runs(flags[s.first[k] : s.first[k] + size]).tolist()]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _COVERED)], schema=_COVERED) if out else _COVERED.empty_table()
 
 
 def _cut(table: pa.Table, side: pa.Table) -> pa.Table:
@@ -210,38 +241,28 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every row.
 
     A byte goes if a 200-byte string over it starts anywhere else as well, in the same row too. A null text is empty; a null
-    doc_id is carried along; a repeated row is a second copy, so both lose all strings of 200 bytes; no rows give no rows.
+    doc_id is carried along; a repeated row is a second copy, so both lose all strings of 200 bytes; a very long text is one
+    row of one shard, whatever its size; other columns of docs are left out, whatever their names; no rows give no rows.
     """
     shards = shards_for(docs, "text", SHARD_MB)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     table = bucketed(spark, numbered.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")), "shard", shards, "suffixes")
     texts = table.select("shard", "row", "text").groupBy("shard")
-    counted = texts.applyInArrow(_count_anchors, "hash long, shard long, n long").groupBy("hash").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-    anchors = counted.where("n > 1").select(F.explode("shards").alias("shard"), "hash")
-    found = materialize(spark, texts.cogroup(anchors.groupBy("shard")).applyInArrow(_segments, "row long, start long, bytes binary"), "segments")
-    total = found.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    counted = texts.applyInArrow(_count_anchors, "hash long, shard long, n long").withColumn("all", F.sum("n").over(Window.partitionBy("hash")))
+    anchors = counted.where("all > 1").select("shard", "hash")
+    found = materialize(spark, texts.cogroup(anchors.groupBy("shard")).applyInArrow(_segments, "row long, start long, key binary, bytes binary"), "segments")
+    # of equal segments one is sorted; that it has copies is known without sorting
+    distinct = materialize(spark, found.groupBy("key").agg(F.count("*").alias("copies"), F.max("bytes").alias("bytes")), "distinct-segments")
+    total = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
     pieces = max(1, -(-total // (SEGMENT_SHARD_MB << 20)))
-    # a position's number: its segment's, times 2**26, plus its place. _segments cuts no segment longer than that
-    segments = materialize(spark, found.withColumn("start_at", _dense(F.monotonically_increasing_id()) * F.lit(1 << 26)), "numbered-segments")
-    segments = bucketed(spark, segments.withColumn("piece", F.pmod(F.xxhash64(F.shiftright("start_at", 26)), F.lit(pieces)).cast("long")), "piece", pieces, "pieces")
+    piece = F.pmod(F.xxhash64("seg"), F.lit(pieces)).cast("long").alias("piece")
+    segments = bucketed(spark, distinct.withColumn("seg", F.monotonically_increasing_id()).select(piece, "*"), "piece", pieces, "pieces")
     by_piece = segments.groupBy("piece")
-    owner = F.pmod(F.xxhash64(F.shiftright("at", 26)), F.lit(pieces)).cast("long").alias("piece")
-    level1 = materialize(spark, _ranked(by_piece.applyInArrow(_triples, _sql(3)), 3, pieces), "names").select(owner, "at", "name")
-    level2 = materialize(spark, _ranked(by_piece.cogroup(level1.groupBy("piece")).applyInArrow(_name_triples, _sql(3)), 3, pieces), "names").select(owner, "at", "name")
+    level1 = materialize(spark, _ranked(by_piece.applyInArrow(_triples, _sql(3)), 3, pieces), "names").select(piece, "seg", "place", "name")
+    level2 = materialize(spark, _ranked(by_piece.cogroup(level1.groupBy("piece")).applyInArrow(_name_triples, _sql(3)), 3, pieces), "names").select(piece, "seg", "place", "name")
     both = level1.withColumn("level", F.lit(1)).union(level2.withColumn("level", F.lit(2)))
-    merged = _ranked(by_piece.cogroup(both.groupBy("piece")).applyInArrow(_merged, _sql(7)), 7, pieces * 2).select(owner, "at")
-
-    def covered(table: pa.Table, side: pa.Table) -> pa.Table:
-        out = []
-        if table.num_rows and side.num_rows:
-            s = Shard(table)
-            table = table.sort_by("start_at")
-            flags = s.names(side.append_column("name", pa.array(np.zeros(side.num_rows, np.int64)))) >= 0
-            for k, (row, start) in enumerate(zip(table.column("row").to_pylist(), table.column("start").to_pylist())):
-                out += [(row, start + a, start + b + WINDOW - 1) for a, b in runs(flags[s.first[k] : s.first[k] + s.sizes[k]]).tolist()]
-        schema = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
-
-    spans = by_piece.cogroup(merged.groupBy("piece")).applyInArrow(covered, "row long, a long, b long")
-    spans = spans.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
-    return table.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    merged = _ranked(by_piece.cogroup(both.groupBy("piece")).applyInArrow(_merged, _sql(7)), 7, pieces * 2).select(piece, "seg", "place", "name")
+    spans = by_piece.cogroup(merged.groupBy("piece")).applyInArrow(_covered, "key binary, a long, b long")
+    placed = found.select("row", "start", "key").join(spans, "key").select("row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
+    return table.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
