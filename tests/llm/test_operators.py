@@ -203,7 +203,7 @@ def test_words_are_encoded_as_whole_texts_are():
     from tokenizers import Tokenizer
 
     tokenizer, encoder, rnd = Tokenizer.from_file(packing.vocabulary_path()), packing.WordEncoder(packing.vocabulary_path()), random.Random(2)
-    parts = ["a", "B", "é", "<|ENDOFTEXT|>", "<|endoftext|>", " ", "\n", "\u00a0", "'s", "'LL", "12", "-", "H\u0331", "ß", "中", "♥", "İ", "\x1c", "Ω", "...", "was,", "W!?", "<|", "x" * 30]
+    parts = ["a", "B", "é", "<|ENDOFTEXT|>", "<|endoftext|>", " ", "\n", "\u00a0", "'s", "'LL", "12", "-", "H\u0331", "ß", "中", "♥", "İ", "\x1c", "Ω", "...", "was,", "W!?", "<|", "x" * 30, "ñandú", "ς", "Σ", "жук", "ŉ", "ǆ", "ª", "e\u0301"]
     for _ in range(300):
         texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(3)] + [None]
         ids, ends = encoder.encode(pa.array(texts, pa.string()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,11 @@ MARK = "♥"
 PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
 
 
+def _is_letters(word: str) -> bool:
+    """Whether a word is lower-case letters of Latin, Greek or Cyrillic script, composed."""
+    return word.isascii() and word.isalpha() and word.islower() or word.isalpha() and word.islower() and max(word) < "\u0500" and unicodedata.is_normalized("NFC", word)
+
+
 class WordEncoder:
     """ids of texts, for a tokenizer that drops white space and cuts between letters and punctuation: a text's ids are those of its words in order.
 
@@ -43,9 +49,15 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        # a word of lower-case letters is one part, which only the model changes
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.forget()
@@ -80,7 +92,10 @@ class WordEncoder:
         if len(self.number) + len(words) > KNOWN_WORDS:
             self.forget()
         new = [w for w in words if w not in self.number]
-        found = [self._encode_words(new[at : at + 1024]) for at in range(0, len(new), 1024)]
+        new.sort(key=_is_letters)
+        plain = sum(map(_is_letters, new))
+        rest = len(new) - plain
+        found = [self._encode_words(new[at : min(rest, at + 1024)]) for at in range(0, rest, 1024)] + [self._encode_letters(new[at : at + 1024]) for at in range(rest, len(new), 1024)]
         sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
@@ -88,6 +103,11 @@ class WordEncoder:
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[listed.indices.to_numpy()]
 
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all words, and how many each has; together, with MARK between them, or one by one where a word holds its id as well."""
         if self.mark is not None:
