@@ -204,8 +204,11 @@ def drop_tables(spark: SparkSession) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bucketed(spark: SparkSession, df: DataFrame, column: str, count: int, tag: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by column: grouping by it later moves no row of it again. drop_tables() removes it."""
+def bucketed(spark: SparkSession, df: DataFrame, column: str, count: int, tag: str, move: bool = True) -> DataFrame:
+    """df as a table in the shared folder, bucketed by column: grouping by it later moves no row of it again. drop_tables() removes it.
+
+    Without move, each task writes the buckets of what it has; that is for few large rows, or rows that are placed already.
+    """
     name = f"{TABLES}{tag}_{uuid.uuid4().hex}"
-    df.repartition(count, column).write.format("parquet").bucketBy(count, column).option("path", f"{shared_dir(spark)}/turnframe/{name}").saveAsTable(name)
+    (df.repartition(count, column) if move else df).write.format("parquet").bucketBy(count, column).option("path", f"{shared_dir(spark)}/turnframe/{name}").saveAsTable(name)
     return spark.table(name)

@@ -1,263 +1,294 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of one or two words. A context is a candidate if at least a share CONTEXT_SHARE of all training tokens
-follows it, and is kept if what follows it diverges enough from what follows its suffix. A token is scored in the longest
-kept context that it stands in; words that a context does not list take its back-off weight times their probability in
-the context's suffix, down to the smoothed unigram. Shares bound the tree: at most 1 / share contexts and words a depth,
-at any size of the corpus, so it may be sent to all workers. Words outside its head vocabulary get their counts by a join.
+States are contexts of one to DEPTH words. A context is a candidate if at least LEAST_CONTEXT training tokens follow it, and
+is kept if what follows it diverges enough from what its suffix says. A token is scored in the longest kept context that it
+stands in; words that a context does not list take its back-off weight times their probability in the context's suffix,
+down to the smoothed unigram. The least counts are fixed, so the tree grows with the corpus; it is never in one place:
+documents are dealt to shards, and each shard sends the sorted keys of its own words, pairs of context and word, or contexts,
+with what it counted of them, in ranges of keys. A range is summed over all shards, and the sums go back to each shard in
+the order of its keys. A longer context is only counted where the shorter one is listed, so each depth moves fewer keys.
+
+Words, contexts and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import batches, materialize
+from turnframe.llm.common import bucketed, many_word_hashes, mix, shards_for
 
 FOLDS, HELD_OUT = 7, 2
-HEAD = 1 << 16
-HEAD_WORD_BYTES = 64
-CONTEXT_SHARE = 2.0**-14
-NEXT_SHARE = 2.0**-20
+#: The longest contexts, in words.
+DEPTH = 3
+#: Training tokens that must follow a context, and occurrences of a word after it that make it listed there.
+LEAST_CONTEXT, LEAST_NEXT = 32, 3
 DISCOUNT = 0.5
 #: Least gain in nats, over all occurrences of a context, for which it becomes a state.
 GAIN = 20.0
-END = b""
-_BITS = 17
-_FLUSH = 400_000
-#: Tokens that are scored or counted at once, about.
-GROUP_TOKENS = 400_000
+#: Text of one shard, about; a longer text is a shard by itself.
+SHARD_MB = 16
+#: What stands for the end of a text, as its last token, and for its begin, as context of its first.
+END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, A-Z in lower case, and the end token."""
-    return [*(text or b"").lower().split(), END]
+_ENCODED = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("ids", pa.binary())])
+_ENCODED_SQL = "shard long, doc_ids array<long>, sizes array<long>, words binary, ids binary"
+
+
+def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard as one row: its words' hashes, sorted, and its texts as numbers of them, each with BEGIN before and END after it."""
+    from pyspark import TaskContext
+
+    shard, held, doc_ids, sizes, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+    def row() -> pa.RecordBatch:
+        words, ids = np.unique(np.concatenate(held), return_inverse=True)
+        columns = ([shard], [doc_ids], [np.concatenate(sizes)], [words.tobytes()], [ids.astype(np.int32).tobytes()])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENCODED)], schema=_ENCODED)
+
+    for b in it:
+        docs = b.column(0).to_pylist()
+        texts = pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
+        for lo, hi, h, text in many_word_hashes(texts):
+            n = np.bincount(text - lo, minlength=hi - lo)
+            first = np.cumsum(n + 2) - n - 2
+            sequence = np.full(len(h) + 2 * (hi - lo), END)
+            sequence[first] = BEGIN
+            sequence[np.arange(len(h)) + 2 * (text - lo) + 1] = h
+            held.append(sequence)
+            sizes.append(n + 2)
+            doc_ids += docs[lo:hi]
+            size += sum(pc.binary_length(texts.slice(lo, hi - lo)).to_pylist())
+            if size >= SHARD_MB << 20:
+                yield row()
+                shard, held, doc_ids, sizes, size = shard + 1, [], [], [], 0
+    if held:
+        yield row()
+
+
+class Shard:
+    """The tokens of one shard, and what counts and states say of each. levels: n0, the counts of its words; of each depth d,
+    as far as they are known, n_d and own_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
+    back-off weights of its contexts that list something (NaN: no state). All are in the order of their keys."""
+
+    def __init__(self, row: dict, total: int, distinct: int):
+        self.shard, self.doc_ids, sizes = row["shard"], row["doc_ids"], np.array(row["sizes"], np.int64)
+        self.words, ids = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ids"], np.int32)
+        self.ids, self.h, self.total, self.distinct, self.row = ids, self.words[ids], total, distinct, row
+        self.first = np.cumsum(sizes) - sizes
+        self.place = np.arange(len(ids)) - np.repeat(self.first, sizes)  # 0 is BEGIN
+        self.train = np.repeat(~np.array([held_out(d) for d in self.doc_ids], bool), sizes)
+        self.counts = [np.frombuffer(row["n_0"], np.int64)[ids] if row.get("n_0") is not None else None]
+        self.contexts: list[np.ndarray | None] = [None]
+
+    def _back(self, x: np.ndarray, steps: int) -> np.ndarray:
+        return np.concatenate((np.zeros(min(steps, len(x)), x.dtype), x[: max(0, len(x) - steps)]))
+
+    def context(self, depth: int) -> np.ndarray:
+        """Of each token, the key of the depth words before it; of no meaning where its place is less than depth."""
+        while len(self.contexts) <= depth:
+            d = len(self.contexts)
+            before = self._back(self.h, d)
+            self.contexts.append(mix(before + np.uint64(1)) if d == 1 else mix(self.contexts[-1] * _LONGER + before))
+        return self.contexts[depth]
+
+    def pairs(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose pair of this depth can be listed, the distinct keys of these pairs, and which is whose."""
+        at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT) & (self.count(depth - 1) >= LEAST_NEXT))
+        return at, *np.unique(mix(self.context(depth)[at] * _NEXT + self.h[at]), return_inverse=True)
+
+    def count(self, depth: int) -> np.ndarray:
+        """Of each token, how often it follows the depth words before it in training; 0 where that is not listed."""
+        while len(self.counts) <= depth:
+            d = len(self.counts)
+            at, _, which = self.pairs(d)
+            n = np.zeros(len(self.h), np.int64)
+            n[at] = np.frombuffer(self.row[f"n_{d}"], np.int64)[which]
+            self.counts.append(n)
+        return self.counts[depth]
+
+    def context_total(self, depth: int) -> np.ndarray:
+        """Of each token, how many training tokens follow the depth words before it: that is how often the last of them follows the others."""
+        return self._back(self.count(depth - 1), 1)
+
+    def listing(self, depth: int) -> np.ndarray:
+        """The keys of those contexts of depth words that list a word here."""
+        return np.unique(self.context(depth)[self.count(depth) >= LEAST_NEXT])
+
+    def log_probabilities(self, depth: int) -> np.ndarray:
+        """log10 probability of each token by the states of up to depth words."""
+        out = np.log10((self.count(0) + 1) / (self.total + self.distinct + 1))
+        for d in range(1, depth + 1):
+            at = np.flatnonzero((self.place >= d) & (self.context_total(d) >= LEAST_CONTEXT))
+            known, weights = self.listing(d), np.frombuffer(self.row[f"s_{d}"], np.float64)
+            known, weights = known[~np.isnan(weights)], weights[~np.isnan(weights)]
+            keys = self.context(d)[at]
+            order = np.argsort(keys)  # both sides sorted: the look-up goes along them once
+            at, keys = at[order], keys[order]
+            k = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            met = known[k] == keys if len(known) else np.zeros(len(keys), bool)
+            at, back_off = at[met], weights[k[met]]
+            n, of = self.count(d)[at], self.context_total(d)[at]
+            out[at] = np.where(n >= LEAST_NEXT, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / of), out[at] + back_off)
+        return out
+
+
+_SENT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
+_SENT_SQL = "part long, shard long, keys binary, sums binary"
+
 
+def _in_parts(shard: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Sorted keys and what belongs to them (rows of sums), cut into ranges of keys."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        yield k, shard, keys[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) over training documents; the end token is the empty word."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
+def _over_shards(total: int, distinct: int, send: Callable[[Shard], tuple[np.ndarray, np.ndarray]], parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for b in it:
-            for doc, text in zip(b.column(0), b.column(1)):
-                if not held_out(doc.as_py()):
-                    counts.update(tokens(text.as_py()))
-                    if len(counts) > _FLUSH:
-                        yield from batches(iter(counts.items()), schema)
-                        counts = Counter()
-        yield from batches(iter(counts.items()), schema)
+            for k in range(b.num_rows):
+                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
+                rows = list(_in_parts(s.shard, *send(s), parts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
-    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return run
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _send_words(s: Shard) -> tuple[np.ndarray, np.ndarray]:
+    return s.words, np.bincount(s.ids, s.train, len(s.words))[None, :]
 
 
-def groups(sizes: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Head words of whole documents as one array, GROUP_TOKENS or one document long, with the place of each document's first.
+def _send_pairs(depth: int):
+    def send(s: Shard) -> tuple[np.ndarray, np.ndarray]:
+        at, keys, which = s.pairs(depth)
+        return keys, np.bincount(which, s.train[at], len(keys))[None, :]
 
-    Each document ends in the end token, so what stands before a document's first word is that, as context_key has it. A
-    context that reaches further back holds the end token inside, which no state does.
-    """
-    ends = np.cumsum(sizes.to_numpy())
-    cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_TOKENS)) + 1).tolist(), len(ends)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if lo < hi:
-            data = np.frombuffer(b"".join(ids.slice(lo, hi - lo).to_pylist()), np.int32).astype(np.int64)
-            yield data, ends[lo:hi] - np.diff(ends, prepend=0)[lo:hi] - (ends[lo - 1] if lo else 0)
-
-
-@dataclass
-class Tree:
-    """unigram: the head words' log10 probability. contexts[d], next[d]: sorted keys of the contexts of d + 1 words and
-    of what is listed after them; back_off[d], log_p[d] go with them. While counting, contexts[-1] are the candidates."""
-
-    unigram: np.ndarray
-    contexts: list[np.ndarray] = field(default_factory=list)
-    back_off: list[np.ndarray] = field(default_factory=list)
-    next: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-
-    @staticmethod
-    def context_key(ids: np.ndarray, depth: int) -> np.ndarray:
-        """Of each token, the depth words before it as one key, most recent lowest; -1 if a word is unlisted or there is none. Before a text stands the end token, once."""
-        key = np.zeros(len(ids), np.int64)
-        bad = np.zeros(len(ids), bool)
-        for back in range(depth, 0, -1):
-            before = np.concatenate((np.full(min(back, len(ids)), -1), ids[: max(0, len(ids) - back)]))
-            if back <= len(ids):
-                before[back - 1] = 0
-            key = key << _BITS | (before & (1 << _BITS) - 1)
-            bad |= before < 0
-        return np.where(bad, -1, key)
-
-    @staticmethod
-    def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Where each key is, or -1."""
-        if not len(sorted_keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return np.where(sorted_keys[at] == keys, at, -1)
-
-    def log_probabilities(self, ids: np.ndarray, contexts: list[np.ndarray] | None = None, depth: int | None = None) -> np.ndarray:
-        """log10 probability of each token; of an unlisted word, only its back-off weights."""
-        out = np.where(ids >= 0, self.unigram[ids], 0.0)
-        for d in range(len(self.log_p) if depth is None else depth):
-            keys = contexts[d] if contexts else self.context_key(ids, d + 1)
-            at = np.flatnonzero(keys >= 0)
-            state = self.find(self.contexts[d], keys[at])
-            at, state = at[state >= 0], state[state >= 0]
-            listed = self.find(self.next[d], np.where(ids[at] >= 0, state << _BITS | ids[at], -1))
-            out[at] = np.where(listed >= 0, self.log_p[d][listed] if len(self.next[d]) else 0.0, out[at] + self.back_off[d][state])
-        return out
+    return send
 
-    def count_next(self, encoded: DataFrame, depth: int) -> DataFrame:
-        """(key, n): how often each head word follows each candidate context of this depth, over training documents."""
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-        candidates = self.contexts[depth - 1]
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for b in it:
-                for ids, _ in groups(b.column(0), b.column(1)):
-                    context = Tree.context_key(ids, depth)
-                    at = np.flatnonzero((context >= 0) & (ids >= 0))
-                    state = Tree.find(candidates, context[at])
-                    new = np.unique((state << _BITS | ids[at])[state >= 0], return_counts=True)
-                    keys, counts = _merge(np.concatenate((keys, new[0])), np.concatenate((counts, new[1])))
-                    if len(keys) > 3_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], schema=schema)
-                        keys, counts = keys[:0], counts[:0]
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], schema=schema)
-
-        learnt = encoded.where("not held_out").select("n_tokens", "ids")
-        return learnt.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-    def add_depth(self, depth: int, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> None:
-        """Turn the candidates of this depth into states: the divergence test, discounts and back-off weights."""
-        candidates = self.contexts[depth - 1]
-        state, word = keys >> _BITS, keys & (1 << _BITS) - 1
-        # what the suffix of each context says of each word
-        ids = word
-        suffixes = [candidates[state] & (1 << _BITS * (d + 1)) - 1 for d in range(depth - 1)]
-        parent = 10 ** self.log_probabilities(ids, suffixes, depth - 1)
-        p = counts / totals[state]
-        m = len(candidates)
-        rest, parent_rest = 1 - np.bincount(state, p, m), np.maximum(1 - np.bincount(state, parent, m), 1e-9)
-        gain = totals * (np.bincount(state, p * np.log(p / parent), m) + np.where(rest > 1e-9, rest * np.log(np.maximum(rest, 1e-9) / parent_rest), 0))
-        kept = np.flatnonzero((gain >= GAIN) & (np.bincount(state, minlength=m) > 0))
-        renumber = np.full(m, -1)
-        renumber[kept] = np.arange(len(kept))
-        use = renumber[state] >= 0
-        state, word, counts, parent = renumber[state[use]], word[use], counts[use], parent[use]
-        p = (counts - DISCOUNT) / totals[kept][state]
-        left = np.maximum(1 - np.bincount(state, p, len(kept)), 1e-9) / np.maximum(1 - np.bincount(state, parent, len(kept)), 1e-9)
-        self.contexts[depth - 1] = candidates[kept]
-        self.back_off.append(np.log10(left))
-        self.next.append(state << _BITS | word)
-        self.log_p.append(np.log10(p))
-
-
-DEPTH = 2
-_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
-_ENCODED_SQL = "row long, doc_id long, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, n: long>>"
-
-
-def encode(texts: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """Each text's tokens once for all: numbers of head words (32 bits, -1 for others), and the others with their counts."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _send_contexts(depth: int):
+    """Of each context, its total, and over those of its pairs that this shard answers for: gain, listed and discounted probability, and that in the suffix."""
+
+    def send(s: Shard) -> tuple[np.ndarray, np.ndarray]:
+        at, keys, which = s.pairs(depth)
+        first = np.zeros(len(keys), np.int64)
+        first[which[::-1]] = at[::-1]  # one token of each pair
+        own = np.frombuffer(s.row[f"own_{depth}"], np.bool_)
+        listed = s.count(depth)[first] >= LEAST_NEXT if len(first) else np.zeros(0, bool)
+        at, own = first[listed], own[listed]
+        n, of, suffix = s.count(depth)[at], s.context_total(depth)[at], 10 ** s.log_probabilities(depth - 1)[at]
+        keys, one, which = np.unique(s.context(depth)[at], return_index=True, return_inverse=True)
+        sums = [np.bincount(which, np.where(own, x, 0.0), len(keys)) for x in (n * np.log(n / of / suffix), n / of, (n - DISCOUNT) / of, suffix)]
+        return keys, np.stack([of[one].astype(float), *sums])
+
+    return send
+
+
+def _summed(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], count: int):
+    """Sums of one range of keys over all shards, and for each shard what answer makes of them, in the order of its keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shards, keys = table.column("shard").to_numpy(), [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        sums = [np.frombuffer(x, np.float64).reshape(-1, len(k)) if len(k) else None for x, k in zip(table.column("sums").to_pylist(), keys)]
+        rows = max((len(x) for x in sums if x is not None), default=1)
+        sizes = np.array([len(k) for k in keys])
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        flat = np.concatenate([x for x in sums if x is not None], axis=1) if sizes.any() else np.zeros((rows, 0))
+        found = np.stack([np.bincount(which, x) if len(x) else x for x in flat])
+        # the least shard that sent a key answers for it
+        by_shard = np.argsort(np.repeat(shards, sizes), kind="stable")[::-1]
+        owner = np.zeros(found.shape[1], np.int64)
+        owner[which[by_shard]] = np.repeat(shards, sizes)[by_shard]
+        one = flat[0] if len(flat) else flat
+        answers = answer(found[:, which], one, owner[which] == np.repeat(shards, sizes))
+        cuts = np.cumsum(sizes)[:-1]
+        cut = [np.split(x, cuts) for x in answers]
+        return pa.table({"shard": shards, "part": table.column("part").to_numpy(), **{f"x{i}": pa.array([y.tobytes() for y in x], pa.binary()) for i, x in enumerate(cut)}})
+
+    return run, "shard long, part long, " + ", ".join(f"x{i} binary" for i in range(count))
+
 
-        row, get = TaskContext.get().partitionId() << 40, number.get
+def _answer_counts(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    return [np.rint(found[0]).astype(np.int64), own]
 
-        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-            nonlocal row
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words = tokens(text.as_py())
-                ids = np.array([get(w, -1) for w in words], np.int32)
-                rare = Counter([words[i] for i in np.flatnonzero(ids < 0).tolist()])
-                yield row, doc, held_out(doc), len(words), ids.tobytes(), [{"word": w, "n": c} for w, c in rare.items()]
-                row += 1
 
+def _answer_listed(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    n = np.rint(found[0]).astype(np.int64)
+    return [np.where(n >= LEAST_NEXT, n, 0), own]
+
+
+def _answer_states(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """The divergence test: back-off weights of contexts that gain enough, NaN of others."""
+    _, gain, listed, discounted, suffix = found
+    rest, suffix_rest = 1 - listed, np.maximum(1 - suffix, 1e-9)
+    gain = gain + np.where(rest > 1e-9, one * rest * np.log(np.maximum(rest, 1e-9) / suffix_rest), 0.0)
+    return [np.where(gain >= GAIN, np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan)]
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scorer(depth: int, total: int, distinct: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield from batches(rows(b), _ENCODED, 500)
-
-    return texts.mapInArrow(run, _ENCODED_SQL)
-
-
-def train(spark: SparkSession, texts: DataFrame, counts: DataFrame) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the encoded texts, the number of training tokens and of distinct ones. To the driver come at most HEAD words and, a depth, at most 1 / NEXT_SHARE counts."""
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    n, v = total[0] or 0, total[1]
-    head = counts.where((F.octet_length("word") <= HEAD_WORD_BYTES) & (F.col("word") != F.lit(b""))).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    ends = counts.where(F.col("word") == F.lit(b"")).first()
-    number = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(head)}
-    seen = np.array([ends["n"] if ends else 0, *(r["n"] for r in head)], np.int64)
-    encoded = materialize(spark, encode(texts, number), "encoded")
-    tree = Tree(np.log10((seen + 1) / (n + v + 1)))
-    least_context, least_next = max(2, n * CONTEXT_SHARE), max(2, n * NEXT_SHARE)
-    candidates, totals = np.flatnonzero(seen >= least_context), seen[seen >= least_context]
-    for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        tree.contexts.append(candidates)
-        rows = tree.count_next(encoded, depth).where(F.col("n") >= F.lit(float(least_next))).toPandas().sort_values("key")
-        keys, found = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        often = found >= least_context
-        longer = (candidates[keys[often] >> _BITS] << _BITS | keys[often] & (1 << _BITS) - 1, found[often])
-        tree.add_depth(depth, keys, found, totals)
-        # a longer context never contains the end of a text but as its first word
-        inside = (longer[0] & (1 << _BITS) - 1) != 0
-        candidates, totals = longer[0][inside], longer[1][inside]
-        order = np.argsort(candidates)
-        candidates, totals = candidates[order], totals[order]
-    return tree, encoded, n, v
-
-
-def language_model_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
+            for k in range(b.num_rows):
+                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
+                token, held = s.place > 0, [held_out(d) for d in s.doc_ids]
+                columns = [np.add.reduceat(np.where(token, x, 0), s.first) for x in (token.astype(np.int64), (token & (s.count(0) > 0)).astype(np.int64), s.log_probabilities(0), s.log_probabilities(depth))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((s.doc_ids, held, *columns[:2], np.full(len(held), total), *columns[2:]), _SCORED)], schema=_SCORED)
+
+    return run
+
+
+def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     A null or empty text is the end token alone; a null doc_id is not held out; repeated rows are counted and scored as they
-    stand. Without training tokens every token has probability 1 / (0 + 0 + 1), so all scores are 0. No rows give no rows.
+    stand; a very long text is a shard by itself, whatever its size; other columns of docs are left out, whatever their
+    names. Without training tokens every token has probability 1 / (0 + 0 + 1), so all scores are 0. No rows give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counts = materialize(spark, word_counts(texts), "words")
-    tree, encoded, n, v = train(spark, texts, counts)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            known, base, score = [], [], []
-            for ids, first in groups(b.column(3), b.column(4)):
-                listed = ids >= 0
-                known.append(np.add.reduceat(listed.astype(np.int64), first) * bool(n))
-                base.append(np.add.reduceat(np.where(listed, tree.unigram[ids], 0.0), first))
-                score.append(np.add.reduceat(tree.log_probabilities(ids), first))
-            if known:
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(np.concatenate(x)) for x in (known, base, score))], schema=schema)
-
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times")).join(counts, "word", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("log_p"))
-    joined = scored.join(sums, "row", "left")
-    log_p = F.coalesce("log_p", F.lit(0.0))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + log_p).alias("base_score"), (F.col("score") + log_p).alias("score"))
+    parts = shards_for(docs, "text", SHARD_MB)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", parts, "suffixtree", move=False)
+
+    def exchange(table: DataFrame, send: Callable, answer: Callable, names: list[str], total: int, distinct: int) -> DataFrame:
+        """What all shards together say of the keys of each, as columns of a table with a row a shard."""
+        sent = table.mapInArrow(_over_shards(total, distinct, send, parts), _SENT_SQL)
+        run, schema = _summed(answer, len(names))
+        whole = sent.groupBy("part").applyInArrow(run, schema).repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", *[f"x{i}" for i in range(len(names))]))).alias("all"))
+        joined = whole.select("shard", *[F.aggregate(F.col(f"all.x{i}"), F.lit(b""), lambda a, x: F.concat(a, x)).alias(n) for i, n in enumerate(names)])
+        return bucketed(spark, joined, "shard", parts, "suffixtree", move=False)
+
+    counts = exchange(table, _send_words, _answer_counts, ["n_0", "own_0"], 0, 0)
+    sizes = table.join(counts, "shard").select("words", "n_0", "own_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    total, distinct = (int(x or 0) for x in sizes)
+    table = table.join(counts.drop("own_0"), "shard")
+    for d in range(1, depth + 1):
+        pairs = exchange(table, _send_pairs(d), _answer_listed, [f"n_{d}", f"own_{d}"], total, distinct)
+        states = exchange(table.join(pairs, "shard"), _send_contexts(d), _answer_states, [f"s_{d}"], total, distinct)
+        table = table.join(pairs.drop(f"own_{d}"), "shard").join(states, "shard")
+    return table.mapInArrow(_scorer(depth, total, distinct), _SCORED_SQL)
+
+
+def _training_size(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens, and distinct ones, among the words that a shard answers for."""
+    for b in it:
+        for words, n, own in zip(*(c.to_pylist() for c in b.columns)):
+            use = np.frombuffer(own, np.bool_) & (np.frombuffer(words, np.uint64) != BEGIN)
+            found = np.frombuffer(n, np.int64)[use]
+            yield pa.RecordBatch.from_arrays([pa.array([int(found.sum())]), pa.array([int((found > 0).sum())])], names=["tokens", "words"])
