@@ -33,7 +33,7 @@ DISCOUNT = 0.5
 #: Least gain in nats, over all occurrences of a context, for which it becomes a state.
 GAIN = 20.0
 #: Text of one shard, about; a longer text is a shard by itself.
-SHARD_MB = 16
+SHARD_MB = 6
 #: What stands for the end of a text, as its last token, and for its begin, as context of its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
@@ -88,7 +88,7 @@ class Shard:
         self.words, ids = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ids"], np.int32)
         self.ids, self.h, self.total, self.distinct, self.row = ids, self.words[ids], total, distinct, row
         self.first = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(ids)) - np.repeat(self.first, sizes)  # 0 is BEGIN
+        self.place = (np.arange(len(ids)) - np.repeat(self.first, sizes)).astype(np.int32)  # 0 is BEGIN
         self.train = np.repeat(~np.array([held_out(d) for d in self.doc_ids], bool), sizes)
         self.counts = [np.frombuffer(row["n_0"], np.int64)[ids] if row.get("n_0") is not None else None]
         self.contexts: list[np.ndarray | None] = [None]
