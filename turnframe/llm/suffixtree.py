@@ -33,7 +33,7 @@ DISCOUNT = 0.5
 #: Least gain in nats, over all occurrences of a context, for which it becomes a state.
 GAIN = 20.0
 #: Text of one shard, about; a longer text is a shard by itself.
-SHARD_MB = 6
+SHARD_MB = 4
 #: What stands for the end of a text, as its last token, and for its begin, as context of its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
@@ -80,7 +80,7 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Shard:
     """The tokens of one shard, and what counts and states say of each. levels: n0, the counts of its words; of each depth d,
-    as far as they are known, n_d and own_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
+    as far as they are known, n_d and own_n_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
     back-off weights of its contexts that list something (NaN: no state). All are in the order of their keys."""
 
     def __init__(self, row: dict, total: int, distinct: int):
@@ -90,7 +90,7 @@ class Shard:
         self.first = np.cumsum(sizes) - sizes
         self.place = (np.arange(len(ids)) - np.repeat(self.first, sizes)).astype(np.int32)  # 0 is BEGIN
         self.train = np.repeat(~np.array([held_out(d) for d in self.doc_ids], bool), sizes)
-        self.counts = [np.frombuffer(row["n_0"], np.int64)[ids] if row.get("n_0") is not None else None]
+        self.counts = [np.frombuffer(row["n_0"], np.int32)[ids] if row.get("n_0") is not None else None]
         self.contexts: list[np.ndarray | None] = [None]
 
     def _back(self, x: np.ndarray, steps: int) -> np.ndarray:
@@ -114,8 +114,8 @@ class Shard:
         while len(self.counts) <= depth:
             d = len(self.counts)
             at, _, which = self.pairs(d)
-            n = np.zeros(len(self.h), np.int64)
-            n[at] = np.frombuffer(self.row[f"n_{d}"], np.int64)[which]
+            n = np.zeros(len(self.h), np.int32)
+            n[at] = np.frombuffer(self.row[f"n_{d}"], np.int32)[which]
             self.counts.append(n)
         return self.counts[depth]
 
@@ -145,8 +145,8 @@ class Shard:
         return out
 
 
-_SENT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
-_SENT_SQL = "part long, shard long, keys binary, sums binary"
+_SENT = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
+_SENT_SQL = "kind int, part long, shard long, keys binary, sums binary"
 
 
 def _in_parts(shard: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> Iterator[tuple]:
@@ -157,12 +157,12 @@ def _in_parts(shard: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> Ite
         yield k, shard, keys[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()
 
 
-def _over_shards(total: int, distinct: int, send: Callable[[Shard], tuple[np.ndarray, np.ndarray]], parts: int):
+def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[np.ndarray, np.ndarray]]], parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for k in range(b.num_rows):
                 s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
-                rows = list(_in_parts(s.shard, *send(s), parts))
+                rows = [(kind, *row) for kind, send in enumerate(sends) for row in _in_parts(s.shard, *send(s), parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     return run
@@ -187,7 +187,7 @@ def _send_contexts(depth: int):
         at, keys, which = s.pairs(depth)
         first = np.zeros(len(keys), np.int64)
         first[which[::-1]] = at[::-1]  # one token of each pair
-        own = np.frombuffer(s.row[f"own_{depth}"], np.bool_)
+        own = np.frombuffer(s.row[f"own_n_{depth}"], np.bool_)
         listed = s.count(depth)[first] >= LEAST_NEXT if len(first) else np.zeros(0, bool)
         at, own = first[listed], own[listed]
         n, of, suffix = s.count(depth)[at], s.context_total(depth)[at], 10 ** s.log_probabilities(depth - 1)[at]
@@ -198,10 +198,11 @@ def _send_contexts(depth: int):
     return send
 
 
-def _summed(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], count: int):
+def _summed(answers: list[Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]]):
     """Sums of one range of keys over all shards, and for each shard what answer makes of them, in the order of its keys."""
 
     def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
         shards, keys = table.column("shard").to_numpy(), [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
         sums = [np.frombuffer(x, np.float64).reshape(-1, len(k)) if len(k) else None for x, k in zip(table.column("sums").to_pylist(), keys)]
         rows = max((len(x) for x in sums if x is not None), default=1)
@@ -214,21 +215,20 @@ def _summed(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarr
         owner = np.zeros(found.shape[1], np.int64)
         owner[which[by_shard]] = np.repeat(shards, sizes)[by_shard]
         one = flat[0] if len(flat) else flat
-        answers = answer(found[:, which], one, owner[which] == np.repeat(shards, sizes))
         cuts = np.cumsum(sizes)[:-1]
-        cut = [np.split(x, cuts) for x in answers]
-        return pa.table({"shard": shards, "part": table.column("part").to_numpy(), **{f"x{i}": pa.array([y.tobytes() for y in x], pa.binary()) for i, x in enumerate(cut)}})
+        cut = [[y.tobytes() for y in np.split(x, cuts)] for x in answers[kind](found[:, which], one, owner[which] == np.repeat(shards, sizes))]
+        return pa.table({"shard": shards, "kind": table.column("kind"), "part": table.column("part"), "values": pa.array(cut[0], pa.binary()), "own": pa.array(cut[1], pa.binary())})
 
-    return run, "shard long, part long, " + ", ".join(f"x{i} binary" for i in range(count))
+    return run
 
 
 def _answer_counts(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    return [np.rint(found[0]).astype(np.int64), own]
+    return [np.rint(found[0]).astype(np.int32), own]
 
 
 def _answer_listed(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    n = np.rint(found[0]).astype(np.int64)
-    return [np.where(n >= LEAST_NEXT, n, 0), own]
+    n = np.rint(found[0]).astype(np.int32)
+    return [np.where(n >= LEAST_NEXT, n, 0).astype(np.int32), own]
 
 
 def _answer_states(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
@@ -236,7 +236,7 @@ def _answer_states(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[
     _, gain, listed, discounted, suffix = found
     rest, suffix_rest = 1 - listed, np.maximum(1 - suffix, 1e-9)
     gain = gain + np.where(rest > 1e-9, one * rest * np.log(np.maximum(rest, 1e-9) / suffix_rest), 0.0)
-    return [np.where(gain >= GAIN, np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan)]
+    return [np.where(gain >= GAIN, np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan), own]
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -266,29 +266,37 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEP
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", parts, "suffixtree", move=False)
 
-    def exchange(table: DataFrame, send: Callable, answer: Callable, names: list[str], total: int, distinct: int) -> DataFrame:
-        """What all shards together say of the keys of each, as columns of a table with a row a shard."""
-        sent = table.mapInArrow(_over_shards(total, distinct, send, parts), _SENT_SQL)
-        run, schema = _summed(answer, len(names))
-        whole = sent.groupBy("part").applyInArrow(run, schema).repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", *[f"x{i}" for i in range(len(names))]))).alias("all"))
-        joined = whole.select("shard", *[F.aggregate(F.col(f"all.x{i}"), F.lit(b""), lambda a, x: F.concat(a, x)).alias(n) for i, n in enumerate(names)])
-        return bucketed(spark, joined, "shard", parts, "suffixtree", move=False)
-
-    counts = exchange(table, _send_words, _answer_counts, ["n_0", "own_0"], 0, 0)
-    sizes = table.join(counts, "shard").select("words", "n_0", "own_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    def exchange(table: DataFrame, steps: list[tuple[Callable, Callable, str]], total: int = 0, distinct: int = 0) -> DataFrame:
+        """What all shards together say of the keys of each, for each step as columns value and own_value of a row a shard."""
+        sent = table.mapInArrow(_over_shards(total, distinct, [send for send, _, _ in steps], parts), _SENT_SQL)
+        summed = sent.groupBy("kind", "part").applyInArrow(_summed([answer for _, answer, _ in steps]), "shard long, kind int, part long, values binary, own binary")
+        whole = summed.repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values", "own"))).alias("all"))
+        columns = []
+        for kind, (_, _, name) in enumerate(steps):
+            mine = F.filter("all", _of_kind(kind))
+            columns += [F.aggregate(mine[c], F.lit(b""), lambda a, x: F.concat(a, x)).alias(n) for c, n in (("values", name), ("own", f"own_{name}"))]
+        return bucketed(spark, whole.select("shard", *columns), "shard", parts, "suffixtree", move=False)
+
+    words = exchange(table, [(_send_words, _answer_counts, "n_0")])
+    sizes = table.join(words, "shard").select("words", "n_0", "own_n_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     total, distinct = (int(x or 0) for x in sizes)
-    table = table.join(counts.drop("own_0"), "shard")
-    for d in range(1, depth + 1):
-        pairs = exchange(table, _send_pairs(d), _answer_listed, [f"n_{d}", f"own_{d}"], total, distinct)
-        states = exchange(table.join(pairs, "shard"), _send_contexts(d), _answer_states, [f"s_{d}"], total, distinct)
-        table = table.join(pairs.drop(f"own_{d}"), "shard").join(states, "shard")
+    table = table.join(words.select("shard", "n_0"), "shard")
+    for d in range(1, depth + 2):
+        # the pairs of a depth need the counts of the one before; contexts need the states of the one before and their own counts
+        steps = [(_send_pairs(d), _answer_listed, f"n_{d}")] if d <= depth else []
+        steps += [(_send_contexts(d - 1), _answer_states, f"s_{d - 1}")] if d > 1 else []
+        table = table.join(exchange(table, steps, total, distinct), "shard").drop(f"own_s_{d - 1}", f"own_n_{d - 1}")
     return table.mapInArrow(_scorer(depth, total, distinct), _SCORED_SQL)
 
 
+def _of_kind(kind: int):
+    return lambda x: x["kind"] == kind
+
+
 def _training_size(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training tokens, and distinct ones, among the words that a shard answers for."""
     for b in it:
         for words, n, own in zip(*(c.to_pylist() for c in b.columns)):
             use = np.frombuffer(own, np.bool_) & (np.frombuffer(words, np.uint64) != BEGIN)
-            found = np.frombuffer(n, np.int64)[use]
+            found = np.frombuffer(n, np.int32)[use].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([int(found.sum())]), pa.array([int((found > 0).sum())])], names=["tokens", "words"])
