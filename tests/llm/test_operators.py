@@ -117,6 +117,54 @@ def test_language_model(spark, docs, rows):
         assert r["score"] <= 0
 
 
+def test_scores_follow_a_plain_suffix_tree(spark):
+    rnd = random.Random(6)
+    sentence = "the cat sat on the mat and the dog sat on the log".split()
+    texts = [" ".join(rnd.choice(sentence + [f"w{rnd.randint(0, 9)}"]) for _ in range(rnd.randint(1, 9))) if i % 4 == 0 else " ".join(sentence[rnd.choice([0, 0, 3, 6]) : rnd.randint(7, 13)]) for i in range(700)]
+    got = {r["doc_id"]: r["score"] for r in suffixtree.language_model_scores(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()}
+    begin, end = "<", ">"
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    said = [[begin, *t.split(), end] for t in texts]
+    words = Counter(w for d, s in enumerate(said) if not held(d) for w in s[1:])
+    n, v, docs = sum(words.values()), len(words), sum(not held(d) for d in range(len(said)))
+    after = {}
+    for d, s in enumerate(said):
+        for k in range(1, len(s)):
+            for depth in range(1, min(3, k) + 1):
+                if not held(d):
+                    after.setdefault(tuple(s[k - depth : k]), Counter())[s[k]] += 1
+    total = lambda c: docs if c == (begin,) else words[c[0]] if len(c) == 1 else sum(after.get(c, {}).values())
+    states = {}
+
+    def listed(c):
+        """The words that a context lists: often enough after it, and listed after its suffix."""
+        shorter = words if len(c) == 1 else listed(c[1:]) if total(c[1:]) >= suffixtree.LEAST_CONTEXT else {}
+        return {w: m for w, m in after.get(c, {}).items() if m >= suffixtree.LEAST_NEXT and shorter.get(w, 0) >= suffixtree.LEAST_NEXT}
+
+    def p(w, c):
+        if not c:
+            return (words[w] + 1) / (n + v + 1)
+        if c not in states:
+            return p(w, c[1:])
+        found = listed(c)
+        return (found[w] - suffixtree.DISCOUNT) / total(c) if w in found else states[c] * p(w, c[1:])
+
+    for depth in (1, 2, 3):
+        for c in [c for c in after if len(c) == depth and total(c) >= suffixtree.LEAST_CONTEXT]:
+            found = listed(c)
+            if not found:
+                continue
+            parent = {w: p(w, c[1:]) for w in found}
+            mass, rest = sum(parent.values()), 1 - sum(found.values()) / total(c)
+            gain = sum(m * math.log(m / total(c) / parent[w]) for w, m in found.items()) + (total(c) * rest * math.log(rest / max(1 - mass, 1e-9)) if rest > 1e-9 else 0)
+            if gain >= suffixtree.GAIN:
+                states[c] = max(1 - sum((m - suffixtree.DISCOUNT) / total(c) for m in found.values()), 1e-9) / max(1 - mass, 1e-9)
+    assert {len(c) for c in states} == {1, 2, 3}
+    for d, s in enumerate(said):
+        want = sum(math.log10(p(s[k], tuple(s[max(0, k - 3) : k]))) for k in range(1, len(s)))
+        assert math.isclose(got[d], want, rel_tol=1e-6), (d, texts[d])
+
+
 def test_quality_counts(spark, docs, rows):
     got = {r["doc_id"]: r for r in quality.quality(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     for d, t, *_ in rows:

@@ -34,6 +34,8 @@ DISCOUNT = 0.5
 GAIN = 20.0
 #: Text of one shard, about; a longer text is a shard by itself.
 SHARD_MB = 4
+#: A range of keys holds about as many as this many shards send.
+SHARDS_PER_PART = 2
 #: What stands for the end of a text, as its last token, and for its begin, as context of its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
@@ -115,7 +117,7 @@ class Shard:
             d = len(self.counts)
             at, _, which = self.pairs(d)
             n = np.zeros(len(self.h), np.int32)
-            n[at] = np.frombuffer(self.row[f"n_{d}"], np.int32)[which]
+            n[at] = np.frombuffer(self.row[f"n_{d}"] or b"", np.int32)[which]
             self.counts.append(n)
         return self.counts[depth]
 
@@ -132,7 +134,7 @@ class Shard:
         out = np.log10((self.count(0) + 1) / (self.total + self.distinct + 1))
         for d in range(1, depth + 1):
             at = np.flatnonzero((self.place >= d) & (self.context_total(d) >= LEAST_CONTEXT))
-            known, weights = self.listing(d), np.frombuffer(self.row[f"s_{d}"], np.float64)
+            known, weights = self.listing(d), np.frombuffer(self.row[f"s_{d}"] or b"", np.float64)
             known, weights = known[~np.isnan(weights)], weights[~np.isnan(weights)]
             keys = self.context(d)[at]
             order = np.argsort(keys)  # both sides sorted: the look-up goes along them once
@@ -154,7 +156,8 @@ def _in_parts(shard: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> Ite
     part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-        yield k, shard, keys[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()
+        if lo < hi:
+            yield k, shard, keys[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()
 
 
 def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[np.ndarray, np.ndarray]]], parts: int):
@@ -163,7 +166,8 @@ def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[
             for k in range(b.num_rows):
                 s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
                 rows = [(kind, *row) for kind, send in enumerate(sends) for row in _in_parts(s.shard, *send(s), parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     return run
 
@@ -187,7 +191,7 @@ def _send_contexts(depth: int):
         at, keys, which = s.pairs(depth)
         first = np.zeros(len(keys), np.int64)
         first[which[::-1]] = at[::-1]  # one token of each pair
-        own = np.frombuffer(s.row[f"own_n_{depth}"], np.bool_)
+        own = np.frombuffer(s.row[f"own_n_{depth}"] or b"", np.bool_)
         listed = s.count(depth)[first] >= LEAST_NEXT if len(first) else np.zeros(0, bool)
         at, own = first[listed], own[listed]
         n, of, suffix = s.count(depth)[at], s.context_total(depth)[at], 10 ** s.log_probabilities(depth - 1)[at]
@@ -262,20 +266,21 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEP
     stand; a very long text is a shard by itself, whatever its size; other columns of docs are left out, whatever their
     names. Without training tokens every token has probability 1 / (0 + 0 + 1), so all scores are 0. No rows give no rows.
     """
-    parts = shards_for(docs, "text", SHARD_MB)
+    shards = shards_for(docs, "text", SHARD_MB)
+    parts = -(-shards // SHARDS_PER_PART)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", parts, "suffixtree", move=False)
+    table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", shards, "suffixtree", move=False)
 
     def exchange(table: DataFrame, steps: list[tuple[Callable, Callable, str]], total: int = 0, distinct: int = 0) -> DataFrame:
         """What all shards together say of the keys of each, for each step as columns value and own_value of a row a shard."""
         sent = table.mapInArrow(_over_shards(total, distinct, [send for send, _, _ in steps], parts), _SENT_SQL)
         summed = sent.groupBy("kind", "part").applyInArrow(_summed([answer for _, answer, _ in steps]), "shard long, kind int, part long, values binary, own binary")
-        whole = summed.repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values", "own"))).alias("all"))
+        whole = summed.repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values", "own"))).alias("all"))
         columns = []
         for kind, (_, _, name) in enumerate(steps):
             mine = F.filter("all", _of_kind(kind))
             columns += [F.aggregate(mine[c], F.lit(b""), lambda a, x: F.concat(a, x)).alias(n) for c, n in (("values", name), ("own", f"own_{name}"))]
-        return bucketed(spark, whole.select("shard", *columns), "shard", parts, "suffixtree", move=False)
+        return bucketed(spark, whole.select("shard", *columns), "shard", shards, "suffixtree", move=False)
 
     words = exchange(table, [(_send_words, _answer_counts, "n_0")])
     sizes = table.join(words, "shard").select("words", "n_0", "own_n_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
@@ -285,7 +290,7 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEP
         # the pairs of a depth need the counts of the one before; contexts need the states of the one before and their own counts
         steps = [(_send_pairs(d), _answer_listed, f"n_{d}")] if d <= depth else []
         steps += [(_send_contexts(d - 1), _answer_states, f"s_{d - 1}")] if d > 1 else []
-        table = table.join(exchange(table, steps, total, distinct), "shard").drop(f"own_s_{d - 1}", f"own_n_{d - 1}")
+        table = table.join(exchange(table, steps, total, distinct), "shard", "left").drop(f"own_s_{d - 1}", f"own_n_{d - 1}")
     return table.mapInArrow(_scorer(depth, total, distinct), _SCORED_SQL)
 
 
