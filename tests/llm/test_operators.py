@@ -285,6 +285,46 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark, docs, items.limit(0)).count() == 0
 
 
+def whole_text_share(item, text):
+    """Score of the best local alignment of all words of both, as a share of the item's full score, cell by cell; and the longest common run."""
+    best, longest, row, run = 0, 0, [0] * (len(text) + 1), [0] * (len(text) + 1)
+    for w in item:
+        new, new_run = [0], [0]
+        for j, x in enumerate(text):
+            new.append(max(0, row[j] + (2 if w == x else -1), row[j + 1] - 1, new[j] - 1))
+            new_run.append(run[j] + 1 if w == x else 0)
+        row, run = new, new_run
+        best, longest = max(best, *row), max(longest, *run)
+    return best / (2 * len(item)), longest
+
+
+def test_edited_copies_are_found_as_by_alignment_over_whole_texts(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    pick = lambda: words[min(int(rnd.expovariate(0.02)), 299)]
+    items = [[pick() for _ in range(rnd.choice([20, 40, 100]))] for _ in range(12)]
+    texts = []
+    for i in range(160):
+        item, copy = items[i % 12], []
+        rate = rnd.choice([0.0, 0.1, 0.2, 0.3])
+        lo = rnd.choice([0, 0, len(item) // 3])
+        for w in item[lo : rnd.choice([len(item), len(item), lo + len(item) // 2])]:
+            x = rnd.random()
+            copy += [pick()] if x < rate / 2 else [] if x < rate * 3 / 4 else [w, pick()] if x < rate else [w]
+        stray = item[:3] if i % 3 == 0 else []  # a stray seed before the copy
+        texts.append([pick() for _ in range(50)] + stray + [pick() for _ in range(10)] + (copy if i % 8 else []) + [pick() for _ in range(50)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark, docs, marks).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            share, run = whole_text_share(item, t)
+            if share >= decontaminate.COPY or run >= decontaminate.RUN:
+                want.add((i, k))
+    assert len(want) > 80 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_toxicity(spark):
     rnd = random.Random(5)
     rows, labels = [], []

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from turnframe.llm.common import batches
 
 SEED_WORDS = 3
-#: A seed is rare where independent words would make it less often than this; each item keeps its LEAST_SEEDS rarest anyway.
-RARE = 1e-9
-LEAST_SEEDS = 8
-#: Alignment scores, and the share of an item's full score that counts as a copy.
+#: A seed is rare where independent words would make it less often than this. Of each SPREAD consecutive seeds of an item the
+#: rarest is kept anyway, so that any stretch of an item that is left unedited for SPREAD + 2 words has one.
+RARE = 1e-7
+SPREAD = 4
+#: Alignment scores, the share of an item's full score that counts as a copy, and the unbroken run of words that does so in any item.
 MATCH, MISMATCH, GAP = 2, -1, -1
 COPY = 0.5
+RUN = 13
 #: Bytes of items that are searched for at once: what is sent to the workers is bounded by it, however many items there are.
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"\w+")
@@ -32,19 +34,24 @@ def words_of(text: bytes | str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two sequences of word numbers, and the end of it in the passage (exclusive)."""
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
+    """Best local alignment score of two sequences of word numbers, the end of it in the passage (exclusive), and the longest run of equal words with its end."""
     n = len(passage)
-    row, steps = np.zeros(n + 1, np.int64), -GAP * np.arange(n + 1)
-    best, end = 0, 0
+    row, steps, run = np.zeros(n + 1, np.int64), -GAP * np.arange(n + 1), np.zeros(n + 1, np.int64)
+    best, end, longest, run_end = 0, 0, 0, 0
     for w in item:
+        same = passage == w
         new = np.zeros(n + 1, np.int64)
-        new[1:] = np.maximum(row[:-1] + np.where(passage == w, MATCH, MISMATCH), row[1:] + GAP)
+        new[1:] = np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP)
         row = np.maximum(np.maximum.accumulate(np.maximum(new, 0) + steps) - steps, 0)
         at = int(row.argmax())
         if row[at] > best:
             best, end = int(row[at]), at
-    return best, end
+        run[1:] = np.where(same, run[:-1] + 1, 0)
+        at = int(run.argmax())
+        if run[at] > longest:
+            longest, run_end = int(run[at]), at
+    return best, end, longest, run_end
 
 
 class Items:
@@ -59,8 +66,9 @@ class Items:
             self.items.append(ids)
             self.ids.append(item_id)
             chance = [float(np.prod([frequency.get(w, 0.0) for w in words[i : i + SEED_WORDS]])) for i in range(grams)]
-            for rank, i in enumerate(sorted(range(grams), key=chance.__getitem__)):
-                if chance[i] <= RARE or rank < LEAST_SEEDS:
+            kept = {min(range(i, min(i + SPREAD, grams)), key=chance.__getitem__) for i in range(max(1, grams - SPREAD + 1))}
+            for i in range(grams):
+                if chance[i] <= RARE or i in kept:
                     seeds[self.pack(ids[i : i + SEED_WORDS])].append((k, i))
         self.keys = np.array(sorted(seeds), np.int64)
         self.places = dict(seeds)
@@ -84,17 +92,21 @@ class Items:
                 size = len(self.items[k])
                 lo, hi = max(0, p - i - size // 2), min(len(ids), p - i + size + size // 2)
                 known = spans.setdefault(k, [])
-                if known and lo <= known[-1][1]:
-                    known[-1][1] = max(known[-1][1], hi)
-                else:
-                    known.append([lo, hi])
+                while known and lo <= known[-1][1]:  # regions that overlap are one
+                    last = known.pop()
+                    lo, hi = min(lo, last[0]), max(hi, last[1])
+                known.append([lo, hi])
         out = []
         for k, regions in spans.items():
-            found = max((*align(self.items[k], ids[lo:hi]), lo) for lo, hi in regions)
-            share = found[0] / (MATCH * len(self.items[k]))
-            if share >= COPY:
-                end = found[2] + found[1]
-                out.append((self.ids[k], round(share, 6), max(0, end - len(self.items[k])), end))
+            full = MATCH * len(self.items[k])
+            score, end, longest = 0, 0, 0
+            for lo, hi in regions:
+                found = align(self.items[k], ids[lo:hi])
+                whole, before = found[0] >= COPY * full, score >= COPY * full
+                if found[0] > score and whole or not before and found[2] > longest:
+                    score, end, longest = found[0], lo + (found[1] if whole else found[3]), found[2]
+            if score >= COPY * full or longest >= RUN:
+                out.append((self.ids[k], round(score / full, 6), max(0, end - (len(self.items[k]) if score >= COPY * full else longest)), end))
         return out
 
 
@@ -132,12 +144,13 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word) of every document and item of which it holds a copy.
+    """(doc_id, item_id, score, first_word, end_word) of every document and item of which it holds a copy: an alignment of at
+    least COPY of the item's full score, or RUN of its words in a row.
 
     Items are searched for in bounded blocks, each a pass over all whole texts, in which a document meets only the items
     whose rare seeds it holds. Seeds are rare by the frequencies of their words, so a passage that very many documents copy
-    stays searchable. A null or empty text holds nothing; a null item, or one under three words, is never found; repeated
-    rows repeat their result; no rows, or no items, give no rows.
+    stays searchable. A very long text is searched whole. Of passages that align equally well, the first is reported. A null or empty text holds nothing; a null item, or one under three words, is never found; repeated
+    rows repeat their result; other columns are left out; no rows, or no items, give no rows.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
