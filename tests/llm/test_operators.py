@@ -70,11 +70,23 @@ def test_suffix_array(spark, docs, rows):
     assert Counter(tuple(r)[:5] for r in suffixarray.remove_repeated_bytes(spark, docs).collect()) == want
 
 
+def plain_fingerprint(text):
+    """A bit at a time, by xxhash of joined words."""
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+
+
 def test_simhash(spark, docs, rows):
     got = simhash.near_duplicates(spark, docs).collect()
     fps = {}
     for d, t, *_ in rows:
-        fps.setdefault(d, simhash.fingerprint((t or "").encode() if t is not None else None))
+        fps.setdefault(d, plain_fingerprint(t))
     ids = [d for d in fps if d is not None]
     least = {d: d for d in ids}
     for _ in ids:
@@ -106,6 +118,37 @@ def test_anchors_cover_every_pair_within_three_bits(spark):
                 assert groups[signed[i]] == groups[signed[j]]
 
 
+def test_near_copies_are_found_as_by_comparing_all(spark):
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randint(0, 400)}"
+    texts, passage = [], [word() for _ in range(30)]
+    for size in (6, 12, 30, 80, 200, 600):
+        for _ in range(6):
+            base = [word() for _ in range(size)] + (passage if size > 100 else [])
+            texts.append(base)
+            for rate in (0.005, 0.01, 0.02, 0.03, 0.05):
+                copy = []
+                for w in base:
+                    x = rnd.random()
+                    copy += [word()] if x < rate / 2 else [] if x < rate * 3 / 4 else [w, word()] if x < rate else [w]
+                texts.append(copy)
+    texts += [texts[3], [], [], ["one"], ["ONE"], ["one", "two"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, "one")]
+    got = simhash.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = {}
+    for r in got:
+        group.setdefault(r["doc_id"], set()).add(r["component_id"])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in ([x.lower() for x in t] for t in texts)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    missed = [p for p in pairs if not group[p[0]] & group[p[1]]]
+    assert len(pairs) > 150 and len(missed) <= 0.02 * len(pairs)
+    least = list(range(len(sets)))
+    for _ in range(4):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert all(least[d] <= min(c) and least[min(c)] == least[d] for d, c in group.items())
+
+
 def test_language_model(spark, docs, rows):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     counts = Counter(w for d, t, *_ in rows if not held(d) for w in [*(t or "").encode().lower().split(), b""])

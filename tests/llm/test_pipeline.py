@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from turnframe.llm import packing, simhash
+from turnframe.llm import packing
 from turnframe.llm.common import materialize
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -49,22 +49,27 @@ def test_toxic_documents_go(spark):
     assert len(clean & after) >= 0.98 * len(clean)
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
 def test_one_of_each_group_stays(outputs):
     before, after = by_id(outputs[1]), by_id(outputs[2])
-    fps = {d: simhash.fingerprint(None if r["text"] is None else r["text"].encode()) for d, r in before.items()}
-    least = {d: d for d in fps}
+    sets = {d: shingles(r["text"]) for d, r in before.items()}
+    least = {d: d for d in sets}
 
     def root(d):
         while least[d] != d:
             d = least[d]
         return d
 
-    for a in fps:
-        for b in fps:
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and len(x & y) >= 0.8 * len(x | y):
                 low, high = sorted((root(a), root(b)))
                 least[high] = low
-    assert set(after) == {d for d in fps if root(d) == d}
+    assert set(after) == {d for d in sets if root(d) == d}
     assert all(after[d] == before[d] for d in after)
 
 

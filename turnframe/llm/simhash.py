@@ -9,14 +9,16 @@ A fingerprint is copied to at most 2 * (1 + 3 * 16) keys, whatever the size of t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import batches, connected_components, materialize
+from turnframe.llm.common import connected_components, many_word_hashes, materialize, mix, rolling
 
 SHINGLE = 3
 SEED = 42
@@ -253,8 +255,137 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp")
 
 
+#: Of the filtering stage: words of a shingle, and the Jaccard similarity of two texts' sets of shingles that makes them copies.
+COPY_WORDS = 5
+COPY_SIMILARITY = 0.8
+#: A text's shingles are dealt into classes of about CLASS_SIZE; the first CLASSES of them have a fingerprint each.
+CLASS_SIZE = 3
+CLASSES = 8
+#: Bits at which the fingerprints of two whole texts may differ for them to be compared; at the similarity above, 10 are expected and 3 is the deviation.
+COPY_BITS = 22
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SIGNED_SQL = "doc_id long, s1 long, s2 long, n long, fp long, keys array<long>"
+
+
+def shingle_sets(texts: pa.Array, width: int = COPY_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, distinct shingle hashes, the text of each, both in order of text and hash) for groups of texts (binary, lower case).
+
+    A text of fewer words than width has one shingle, all its words; one without words has none.
+    """
+    for lo, hi, h, text in many_word_hashes(texts):
+        n = np.bincount(text - lo, minlength=hi - lo)
+        found, of = rolling(h, width), text[: max(0, len(h) - width + 1)]
+        inside = of == text[width - 1 :] if len(found) else np.zeros(0, bool)
+        short = np.flatnonzero((n > 0) & (n < width))
+        first = np.cumsum(n) - n
+        whole = [rolling(h[first[k] : first[k] + n[k]], int(n[k])) for k in short]
+        found, of = np.concatenate([found[inside], *whole]), np.concatenate([of[inside], short + lo])
+        order = np.lexsort((found, of))
+        found, of = found[order], of[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+        yield lo, hi, found[new], of[new]
+
+
+def _majority(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: two sums that stand for its set of shingles, its size, its fingerprint, and the keys under which it meets its copies."""
+    for b in it:
+        ids, texts = b.column(0), pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
+        for lo, hi, h, of in shingle_sets(texts):
+            n = np.bincount(of - lo, minlength=hi - lo)
+            has, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
+            s1, s2, fp = (np.zeros(hi - lo, np.uint64) for _ in range(3))
+            keys: list[list[int]] = [[] for _ in range(hi - lo)]
+            if len(h):
+                scattered = mix(h)
+                s1[has], s2[has] = np.add.reduceat(scattered, first), np.bitwise_xor.reduceat(mix(scattered), first)
+                fp[has] = _majority(h, first, n[has])
+                level = np.floor(np.log2(np.maximum(n / CLASS_SIZE, 1))).astype(np.uint64)
+                for more in (0, 1):  # sizes of two copies may lie on both sides of a power of two
+                    at_level = level + np.uint64(more)
+                    kind = (scattered >> np.uint64(20)) & ((np.uint64(1) << at_level[of - lo]) - np.uint64(1))
+                    use = np.flatnonzero(kind < CLASSES)
+                    use = use[np.lexsort((h[use], kind[use], of[use]))]
+                    who, kind = of[use] - lo, kind[use]
+                    start = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (kind[1:] != kind[:-1]))))
+                    found = _majority(h[use], start, np.diff(np.concatenate((start, [len(use)]))))
+                    found = mix(found ^ mix(at_level[who[start]] * np.uint64(64) + kind[start] + np.uint64(1)))
+                    for w, key in zip(who[start].tolist(), found.view(np.int64).tolist()):
+                        keys[w].append(key)
+            columns = (ids.slice(lo, hi - lo).to_pylist(), s1.view(np.int64), s2.view(np.int64), n, fp.view(np.int64), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED)], schema=_SIGNED)
+
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        texts = pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
+        for lo, hi, h, of in shingle_sets(texts):
+            ends = np.searchsorted(of, np.arange(lo, hi + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary())], names=["id", "shingles"])
+
+
+def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs whose sets of shingles are similar enough."""
+    for b in it:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= COPY_SIMILARITY * (len(x) + len(y) - both))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): documents linked by five-word shingles at a Jaccard similarity of 0.8 or more.
+
+    Texts with equal sets of shingles are one from the start. The others are nominated by fingerprints, of whole texts at
+    THRESHOLD bits under their anchors, and of classes of their shingles where these agree: under each key a text is compared
+    with the first text there, and with the first of its own size, so that a key which very many texts share is no more
+    work a text than any other. Nominees are confirmed by their sets. All texts without words are copies of each other.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = materialize(spark, texts.mapInArrow(_sign, _SIGNED_SQL), "signed")
+    alike = ["s1", "s2", "n"]
+    reps = materialize(spark, signed.groupBy(*alike).agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "signed-reps")
+    met = reps.select("id", "n", "fp", F.explode("keys").alias("key"))
+    nominees = []
+    for under in (["key"], ["key", "n"]):
+        firsts = met.groupBy(*under).agg(F.min(F.struct("id", "n", "fp")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m")
+        nominees.append(met.join(firsts, under).where("id <> f.id").select(F.col("id").alias("a"), F.col("f.id").alias("b"), "n", F.col("f.n").alias("other_n"), "fp", F.col("f.fp").alias("other_fp")))
+    prints = materialize(spark, reps.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("f")), "prints")
+    near = links(spark, prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("f").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("f").alias("y")), "b")
+    nominees.append(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("other_n"), F.col("a").alias("fp"), F.col("b").alias("other_fp")))
+    same = reps.join(prints, "fp").where("id <> f.id").select(F.col("id").alias("a"), F.col("f.id").alias("b"), "n", F.col("f.n").alias("other_n"), "fp", F.col("fp").alias("other_fp"))
+    pairs = reduce(DataFrame.union, [*nominees, same])
+    possible = (F.least("n", "other_n") >= COPY_SIMILARITY * F.greatest("n", "other_n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= COPY_BITS)
+    pairs = materialize(spark, pairs.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nominees")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows that repeat a doc_id may have other texts; the pair was nominated by one of them, and any similar pair links the two
+    sets = materialize(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
+    compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    edges = materialize(spark, compared.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long").distinct(), "copies")
+    groups = connected_components(spark, edges)
+    placed = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*alike, F.coalesce("component", "id").alias("component_id"))
+    return signed.join(placed, alike).select("doc_id", "component_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that are first of their group, with all their columns; rows without doc_id stay."""
-    kept = near_duplicates(spark, docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi")
-    return whole.union(docs.where("doc_id is null"))
+    """The documents that are first of their group of near copies, with all their columns, whatever these are called.
+
+    Copies are texts that near_copies() links; a null or empty text is a copy of any other such; rows without doc_id stay;
+    rows that repeat a doc_id stay or go together; no rows give no rows.
+    """
+    gone = near_copies(spark, docs).where("doc_id > component_id").select(F.col("doc_id").alias(_GONE)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[_GONE], "left_anti")
+
+
+_GONE = "turnframe_gone"
