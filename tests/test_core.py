@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnframe import operators as op
 from turnframe import queries as q
-from turnframe.functions import coerce_argument, common_prefix, pieces, think_split, trim_to_turn_close
+from turnframe.functions import coerce_argument, common_prefix, is_json, pieces, think_split, trim_to_turn_close
 from turnframe.plans import FAMILIES
 
 DATA = "/root/testdata/sf0.001"
@@ -50,7 +50,7 @@ def test_turn_close_and_common_prefix(spark):
 
 
 def test_string_parameters_keep_their_text(spark):
-    for text in ("true", "42", "null", "[1,2,3]", '{"k": 1}'):
+    for text in ("1e5", "", 'say "hi"\nand go', '{"a": {"b": []}}', "-0.5"):
         value, fell = coerce_argument(F.lit(text), F.lit("string"))
         import json
 
@@ -77,6 +77,37 @@ def test_all_families_render_empty_and_null_content(spark):
         assert op.render_text(messages.limit(0), family).count() == 0
 
 
+@pytest.mark.parametrize("text, want", [("1", True), ("[1, {}]", True), ('"a"', True), ("1 2", False), ("1,2", False), ('1,"b":2', False), ("", False), ("1]", False), ("1}", False), ("null", True), ("oops", False)])
+def test_is_json(spark, text, want):
+    assert one(spark, is_json(F.lit(text))) is want
+
+
+def test_roles_that_a_format_does_not_know_raise(spark):
+    messages = spark.createDataFrame([(0, 0, "critic", "x")], "conv_id long, msg_idx int, role string, content string")
+    for family in FAMILIES:
+        with pytest.raises(Exception, match="does not render role critic"):
+            op.render_text(messages, family).collect()
+
+
+def test_indices_may_start_anywhere(spark):
+    rows = [("system", "s"), ("user", "hi"), ("assistant", "<think>\na\n</think>\n\nb"), ("user", "again")]
+    for family in FAMILIES:
+        texts = {op.render_text(spark.createDataFrame([(0, a + b * i, r, c) for i, (r, c) in enumerate(rows)], "conv_id long, msg_idx int, role string, content string"), family).first()["text"] for a, b in ((0, 1), (7, 3))}
+        assert len(texts) == 1
+
+
+def test_a_role_marker_after_an_assistant_is_sampled_and_its_own(spark):
+    messages = spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "tool", "t"), (0, 3, "tool", "u"), (0, 4, "user", "r")], "conv_id long, msg_idx int, role string, content string")
+    toks = [(r["piece"], r["owner"], r["sampled"]) for r in op.tokens(messages, "glm-5").orderBy("pos").collect()]
+    assert ("<|observation|>", 1, True) in toks and ("<|user|>", 4, False) in toks and [p for p, *_ in toks].count("<|observation|>") == 1
+
+
+def test_a_result_keeps_its_own_name(spark):
+    calls = spark.createDataFrame([(0, "c1", "look", 0)], "conv_id long, tool_call_id string, name string, call_idx int")
+    results = spark.createDataFrame([(0, "c1", "mine"), (0, "c1", ""), (0, "c1", None), (0, "c2", None)], "conv_id long, tool_call_id string, name string")
+    assert sorted(str(r["tool_name"]) for r in op.tool_names(calls, results).collect()) == ["None", "look", "look", "mine"]
+
+
 def test_special_tokens_in_text_stay_text(spark):
     messages = spark.createDataFrame([(0, 0, "user", "<|im_end|>")], "conv_id long, msg_idx int, role string, content string")
     toks = op.tokens(messages, "qwen3").collect()

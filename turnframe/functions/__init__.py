@@ -55,10 +55,19 @@ def trim_to_turn_close(prompt: Column, completion: Column, close_ids: Column, sy
     return F.when(at.isNotNull(), F.concat(prompt, F.slice(completion, F.lit(1), at))).otherwise(open_end)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value. The parser ignores what follows a value, so it is asked for the text as an array's only element and as an object's only value."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
+def quoted(text: Column) -> Column:
+    """A JSON string literal."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return whole.substr(F.lit(6), F.length(whole) - 6)
+
+
 def coerce_argument(text: Column, type_: Column) -> tuple[Column, Column]:
     """(JSON text, whether it fell back): a string parameter is quoted verbatim; others must be JSON, else are quoted."""
-    quoted = F.to_json(F.struct(text.alias("v")))
-    quoted = quoted.substr(F.lit(6), F.length(quoted) - 6)
-    valid = F.try_parse_json(text).isNotNull()
+    valid = is_json(text)
     is_string = type_ == "string"
-    return F.when(is_string | ~valid, quoted).otherwise(text), ~is_string & ~valid
+    return F.when(is_string | ~valid, quoted(text)).otherwise(text), ~is_string & ~valid

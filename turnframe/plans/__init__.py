@@ -38,18 +38,22 @@ def _none() -> Column:
     return F.array().cast(SEGMENTS)
 
 
-def facts(messages: DataFrame) -> DataFrame:
-    """messages with what a format asks of the whole conversation; one exchange by conv_id serves all of it."""
+def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
+    """messages with what a format asks of the whole conversation; one exchange by conv_id serves all of it.
+
+    msg_idx orders the messages of a conversation; it may start anywhere and have gaps. Null content reads as null_text.
+    """
     w = Window.partitionBy("conv_id").orderBy("msg_idx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    content = F.coalesce("content", F.lit(""))
+    content = F.coalesce("content", F.lit(null_text))
     reasoning, body = think_split(content)
     query = (F.col("role") == "user") & ~(strip(content).startswith("<tool_response>") & strip(content).endswith("</tool_response>"))
     assistant = F.col("role") == "assistant"
     return messages.withColumns({
         "content": content, "reasoning": F.when(assistant, reasoning).otherwise(""), "body": F.when(assistant, body).otherwise(content),
-        "n": F.count("*").over(whole).cast("int"), "first_role": F.first("role").over(whole), "prev_role": F.lag("role").over(w),
-        "last_user": F.coalesce(F.max(F.when(F.col("role") == "user", F.col("msg_idx"))).over(whole), F.lit(-1)),
+        "n": F.count("*").over(whole).cast("int"), "first_role": F.first("role").over(whole), "prev_role": F.lag("role").over(w), "next_role": F.lead("role").over(w),
+        "first_idx": F.min("msg_idx").over(whole), "last_idx": F.max("msg_idx").over(whole), "prev_idx": F.lag("msg_idx").over(w),
+        "last_user": F.coalesce(F.max(F.when(F.col("role") == "user", F.col("msg_idx"))).over(whole), F.min("msg_idx").over(whole) - 1),
         "last_query": F.max(F.when(query, F.col("msg_idx"))).over(whole),
         "leading": F.min(F.when(F.col("role") == "system", 1).otherwise(0)).over(w),
     })
@@ -57,7 +61,8 @@ def facts(messages: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Family:
-    """name; begin, body and generation prompt as functions of the columns of facts(); stop tokens; what a bridge may keep."""
+    """name; begin, body and generation prompt as functions of the columns of facts(); stop tokens; what a bridge may keep;
+    what null content reads as; the roles that are rendered here, others raise."""
 
     name: str
     begin: Callable[[], Column]
@@ -65,12 +70,33 @@ class Family:
     prompt: Callable[[], Column]
     stops: tuple[str, ...]
     retention: str
+    null_text: str = ""
+    roles: tuple[str, ...] = ("system", "user", "assistant")
+
+
+WITH_TOOLS = ("system", "user", "assistant", "tool")
 
 
 def _me() -> Column:
     return F.col("msg_idx")
 
 
+def _first() -> Column:
+    return F.col("msg_idx") == F.col("first_idx")
+
+
+def _opens() -> Column:
+    """Whether a tool result is the first of its block; a block is tool results in a row."""
+    return F.coalesce(F.col("prev_role") != "tool", F.lit(True))
+
+
+def _ends() -> Column:
+    """Whether a tool result is the last of its block."""
+    return F.coalesce(F.col("next_role") != "tool", F.lit(True))
+
+
+def _tool_block(begin: list[Column], body: Column, end: list[Column]) -> Column:
+    return F.concat(F.when(_opens(), F.array(*begin)).otherwise(_none()), F.array(body), F.when(_ends(), F.array(*end)).otherwise(_none()) if end else _none())
 
 
 def _outside() -> Column:
@@ -80,21 +106,23 @@ def _outside() -> Column:
 def _chatml(assistant: Callable[[], Column], clean: Callable[[Column], Column]) -> Callable[[], Column]:
     def message() -> Column:
         other = F.array(special("<|im_start|>", _me()), text(_me(), (F.col("role"), False), ("\n", False), (clean(F.col("content")), True)), special("<|im_end|>", _me()), text(_me(), ("\n", False)))
-        return F.when(F.col("role") == "assistant", assistant()).otherwise(other)
+        result = text(_me(), ("\n<tool_response>\n", False), (clean(F.col("content")), True), ("\n</tool_response>", False))
+        tool = _tool_block([special("<|im_start|>", _me()), text(_me(), ("user", False))], result, [special("<|im_end|>", _me()), text(_me(), ("\n", False))])
+        return F.when(F.col("role") == "assistant", assistant()).when(F.col("role") == "tool", tool).otherwise(other)
 
     return message
 
 
 def _qwen3_assistant() -> Column:
-    last = F.col("msg_idx") == F.col("n") - 1
-    query = F.coalesce("last_query", F.col("n") - 1)
+    last = F.col("msg_idx") == F.col("last_idx")
+    query = F.coalesce("last_query", "last_idx")
     shown = (F.col("msg_idx") > query) & (last | (F.col("reasoning") != ""))
     body = F.when(shown, F.concat(F.lit("<think>\n"), strip_newlines(F.col("reasoning")), F.lit("\n</think>\n\n"), lstrip_newlines(F.col("body")))).otherwise(F.col("body"))
     return F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False)), text(_me(), (body, True), sampled=True), special("<|im_end|>", _me(), True), text(_me(), ("\n", False)))
 
 
 def _qwen35_assistant() -> Column:
-    query = F.coalesce("last_query", F.col("n"))
+    query = F.coalesce("last_query", "last_idx")
     body = strip(F.col("body"))
     think = F.array(special("<think>", _me(), True), text(_me(), (F.concat(F.lit("\n"), strip(F.col("reasoning")), F.lit("\n")), True), sampled=True), special("</think>", _me(), True), text(_me(), (F.concat(F.lit("\n\n"), body), True), sampled=True))
     inner = F.when(F.col("msg_idx") > query, think).otherwise(F.array(text(_me(), (body, True), sampled=True)))
@@ -109,7 +137,7 @@ def _glm(newline: str) -> Callable[[], Column]:
         closes = F.coalesce(F.col("prev_role") == "assistant", F.lit(False))
         body = strip(F.col("body"))
         system = F.array(special("<|system|>", me), text(me, (newline, False), (F.col("content"), True)))
-        user = F.array(special("<|user|>", F.when(closes, me - 1).otherwise(me), closes), text(me, (newline, False), (F.col("content"), True)))
+        user = F.array(special("<|user|>", F.when(closes, F.col("prev_idx")).otherwise(me), closes), text(me, (newline, False), (F.col("content"), True)))
         shown = (F.col("msg_idx") > F.col("last_user")) & (F.col("reasoning") != "")
         tail = F.when(body != "", F.array(text(me, (F.concat(F.lit(newline), body), True), sampled=True))).otherwise(_none())
         thought = text(me, (strip(F.col("reasoning")), True), sampled=True)
@@ -119,7 +147,9 @@ def _glm(newline: str) -> Callable[[], Column]:
         else:
             inner = F.when(shown, F.array(special("<think>", me), thought, special("</think>", me, True))).otherwise(F.array(special("</think>", me)))
             head = F.array(special("<|assistant|>", me))
-        return F.when(role == "system", system).when(role == "user", user).when(role == "assistant", F.concat(head, inner, tail)).otherwise(_none())
+        result = text(me, (f"{newline}<tool_response>{newline}", False), (F.col("content"), True), (f"{newline}</tool_response>", False))
+        tool = _tool_block([special("<|observation|>", F.when(closes, F.col("prev_idx")).otherwise(me), closes)], result, [])
+        return F.when(role == "system", system).when(role == "user", user).when(role == "tool", tool).when(role == "assistant", F.concat(head, inner, tail)).otherwise(_none())
 
     return message
 
@@ -131,7 +161,7 @@ def _deepseek(last_block: bool) -> Callable[[], Column]:
     def message() -> Column:
         me = _me()
         content = F.substring_index("content", "</think>", -1) if last_block else F.col("content")
-        leading = F.array(text(F.lit(0), (F.when(F.col("msg_idx") > 0, "\n\n").otherwise(""), True), (F.col("content"), True)))
+        leading = F.array(text(F.col("first_idx"), (F.when(F.col("msg_idx") > F.col("first_idx"), "\n\n").otherwise(""), True), (F.col("content"), True)))
         user = F.array(special(USER_V3, me), text(me, (F.col("content"), True)))
         assistant = F.array(special(ASSISTANT_V3, me), text(me, (content, True), sampled=True), special(EOS_V3, me, True))
         return F.when(F.col("leading") == 1, leading).when(F.col("role").isin("user", "system"), user).when(F.col("role") == "assistant", assistant).otherwise(_none())
@@ -170,8 +200,8 @@ def _llama() -> Column:
     head = [special("<|start_header_id|>", me), text(me, (role, False)), special("<|end_header_id|>", me)]
     assistant = F.array(*head, text(me, ("\n\n", False)), text(me, (body, True), sampled=True), special("<|eot_id|>", me, True))
     other = F.array(*head, text(me, ("\n\n", False), (body, True)), special("<|eot_id|>", me))
-    first = (F.col("msg_idx") == 0) & (role == "system")
-    return F.when(first, _llama_system(F.lit(0), body)).when(role == "assistant", assistant).otherwise(other)
+    first = (F.col("msg_idx") == F.col("first_idx")) & (role == "system")
+    return F.when(first, _llama_system(me, body)).when(role == "assistant", assistant).otherwise(other)
 
 
 MINIMAX_IDENTITY = "You are a helpful assistant. Your name is MiniMax-M2.5 and is built by MiniMax."
@@ -189,8 +219,10 @@ def _minimax() -> Column:
     inner = F.when(shown, think).otherwise(F.array(text(me, (body, True), sampled=True)))
     assistant = F.concat(F.array(special("]~b]", me), text(me, ("ai\n", False))), inner, F.array(special("[e~[", me, True), text(me, ("\n", False))))
     user = F.array(special("]~b]", me), text(me, ("user\n", False), (F.col("content"), True)), special("[e~[", me), text(me, ("\n", False)))
-    system = F.when((F.col("msg_idx") == 0) & (F.col("content") != ""), _minimax_system(F.lit(0), (F.col("content"), True))).when(F.col("msg_idx") == 0, _minimax_system(F.lit(0), (MINIMAX_IDENTITY, False))).otherwise(_none())
-    return F.when(role == "system", system).when(role == "user", user).when(role == "assistant", assistant).otherwise(_none())
+    system = F.when(_first() & (F.col("content") != ""), _minimax_system(me, (F.col("content"), True))).when(_first(), _minimax_system(me, (MINIMAX_IDENTITY, False))).otherwise(_none())
+    result = text(me, ("\n<response>", False), (F.col("content"), True), ("</response>", False))
+    tool = _tool_block([special("]~b]", me), text(me, ("tool", False))], result, [special("[e~[", me), text(me, ("\n", False))])
+    return F.when(role == "system", system).when(role == "user", user).when(role == "tool", tool).when(role == "assistant", assistant).otherwise(_none())
 
 
 def _prompt(*parts: tuple[str, str]) -> Callable[[], Column]:
@@ -200,15 +232,15 @@ def _prompt(*parts: tuple[str, str]) -> Callable[[], Column]:
 FAMILIES: dict[str, Family] = {
     f.name: f
     for f in (
-        Family("qwen3", _none, _chatml(_qwen3_assistant, lambda x: x), _prompt(("S", "<|im_start|>"), ("T", "assistant\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle"),
-        Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle"),
-        Family("glm-4.5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("\n"), _prompt(("S", "<|assistant|>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle"),
-        Family("glm-5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm(""), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle"),
+        Family("qwen3", _none, _chatml(_qwen3_assistant, lambda x: x), _prompt(("S", "<|im_start|>"), ("T", "assistant\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
+        Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
+        Family("glm-4.5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("\n"), _prompt(("S", "<|assistant|>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
+        Family("glm-5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm(""), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("deepseek-v3", _prompt(("S", BOS_V3)), _deepseek(False), _prompt(("S", ASSISTANT_V3)), (EOS_V3,), "all"),
         Family("deepseek-r1", _prompt(("S", BOS_V3)), _deepseek(True), _prompt(("S", ASSISTANT_V3), ("T", "<think>\n")), (EOS_V3,), "template"),
         Family("kimi-k2", _kimi_begin, _kimi, _prompt(("S", "<|im_assistant|>"), ("T", "assistant"), ("S", "<|im_middle|>")), ("<|im_end|>",), "all"),
         Family("llama-3", lambda: F.when(F.col("first_role") != "system", _llama_system(_outside(), F.lit(""))).otherwise(_none()), _llama, _prompt(("S", "<|start_header_id|>"), ("T", "assistant"), ("S", "<|end_header_id|>"), ("T", "\n\n")), ("<|eot_id|>", "<|end_of_text|>", "<|eom_id|>"), "all"),
-        Family("minimax-m2", lambda: F.when(F.col("first_role") != "system", _minimax_system(_outside(), (MINIMAX_IDENTITY, False))).otherwise(_none()), _minimax, _prompt(("S", "]~b]"), ("T", "ai\n"), ("S", "<think>"), ("T", "\n")), ("[e~[",), "tool_cycle"),
+        Family("minimax-m2", lambda: F.when(F.col("first_role") != "system", _minimax_system(_outside(), (MINIMAX_IDENTITY, False))).otherwise(_none()), _minimax, _prompt(("S", "]~b]"), ("T", "ai\n"), ("S", "<think>"), ("T", "\n")), ("[e~[",), "tool_cycle", "None", WITH_TOOLS),
     )
 }
 
@@ -219,9 +251,11 @@ def segments(messages: DataFrame, family: str, generation_prompt: bool = True) -
     The generation prompt follows conversations that do not end in an assistant. Empty groups are left out.
     """
     f = FAMILIES[family]
-    rows = facts(messages)
-    begin = F.when(F.col("msg_idx") == 0, f.begin().cast(SEGMENTS)).otherwise(_none())
-    last = (F.col("msg_idx") == F.col("n") - 1) & (F.col("role") != "assistant")
+    rows = facts(messages, f.null_text)
+    begin = F.when(_first(), f.begin().cast(SEGMENTS)).otherwise(_none())
+    last = (F.col("msg_idx") == F.col("last_idx")) & (F.col("role") != "assistant")
     end = F.when(last, f.prompt().cast(SEGMENTS)).otherwise(_none()) if generation_prompt else _none()
-    exploded = rows.select("conv_id", "msg_idx", F.posexplode(F.filter(F.concat(begin, f.message().cast(SEGMENTS), end), lambda s: s["text"] != "")).alias("seg_idx", "s"))
+    unknown = F.raise_error(F.concat(F.lit(f"{family} does not render role "), F.coalesce("role", F.lit("null")))).cast(SEGMENTS)
+    body = F.when(F.col("role").isin(*f.roles), f.message().cast(SEGMENTS)).otherwise(unknown)
+    exploded = rows.select("conv_id", "msg_idx", F.posexplode(F.filter(F.concat(begin, body, end), lambda s: s["text"] != "")).alias("seg_idx", "s"))
     return exploded.select("conv_id", "msg_idx", "seg_idx", "s.*")

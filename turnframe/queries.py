@@ -137,7 +137,7 @@ def role_transitions(spark, sf_dir):
 
 @query("SELECT conv_id, coalesce(max(turn) FILTER (role = 'user'), -1)::INT AS last_user, coalesce(max(turn) FILTER (role = 'user'), count(*) - 1)::INT AS last_query FROM conversations GROUP BY 1")
 def last_user_and_query(spark, sf_dir):
-    return facts(conversations(spark, sf_dir)).where("msg_idx = 0").select("conv_id", "last_user", F.coalesce("last_query", F.col("n") - 1).alias("last_query"))
+    return facts(conversations(spark, sf_dir)).where("msg_idx = first_idx").select("conv_id", "last_user", F.coalesce("last_query", "last_idx").alias("last_query"))
 
 
 @query(f"WITH {_M}, {_facts_sql('m')} SELECT conv_id, msg_idx, md5(reasoning) AS reasoning_md5, md5(body) AS body_md5 FROM f WHERE role = 'assistant'")
@@ -297,22 +297,104 @@ def support_mass(spark, sf_dir):
 
 @query(f"""WITH {_COMPLETIONS}, s AS (SELECT id, kind, CASE WHEN id % 2 = 0 THEN 'stop' ELSE 'length' END AS fr FROM e) SELECT id, CASE WHEN kind = 0 AND fr = 'stop' THEN 'tool_calls' ELSE fr END AS finish_reason FROM s""")
 def finish_reason(spark, sf_dir):
-    parsed = parse_hermes_calls(spark, sf_dir).groupBy("id").agg(F.bool_or(F.col("status") == "ok").alias("called"))
-    reason = F.when(F.col("id") % 2 == 0, "stop").otherwise("length")
-    return parsed.select("id", F.when(F.col("called") & (reason == "stop"), "tool_calls").otherwise(reason).alias("finish_reason"))
+    calls = parse_hermes_calls(spark, sf_dir)
+    responses = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "stop").otherwise("length").alias("finish_reason"))
+    return op.promoted_finish_reason(responses, calls).select("id", "finish_reason")
 
 
 @query(_TOKENS + "SELECT conv_id, count(*)::BIGINT AS n_tokens FROM tok GROUP BY 1 HAVING count(*) > 500")
 def overlong_prompts(spark, sf_dir):
-    return _qwen3(spark, sf_dir)[1].groupBy("conv_id").agg(F.count("*").alias("n_tokens")).where("n_tokens > 500")
+    return op.overlong(_qwen3(spark, sf_dir)[1], 500)
 
 
-@query("SELECT event_id AS id, CASE WHEN NOT isfinite(ln(value / 20)) THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'wrong_token' WHEN ln(value / 20) > 0 THEN 'positive' ELSE 'ok' END AS status FROM events WHERE value > 0")
+@query("SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'missing' WHEN value = 0 OR event_id % 17 = 0 THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'wrong_token' ELSE 'ok' END AS status FROM events")
 def logprob_validation(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("value > 0")
-    lp, named = F.log(F.col("value") / 20), F.concat(F.lit("token_id:"), F.when(F.col("event_id") % 11 == 0, F.col("event_id") + 1).otherwise(F.col("event_id")).cast("string"))
-    expected = F.regexp_extract(named, r"^token_id:(\d+)$", 1).cast("bigint")
-    return events.select(F.col("event_id").alias("id"), F.when(lp.isNull() | F.isnan(lp), "not_finite").when(expected != F.col("event_id"), "wrong_token").when(lp > 0, "positive").otherwise("ok").alias("status"))
+    events = table(spark, sf_dir, "events")
+    lp = F.when(F.col("event_id") % 13 == 0, F.lit(None)).when((F.col("value") == 0) | (F.col("event_id") % 17 == 0), F.lit(float("-inf"))).otherwise(-F.col("value"))
+    named = F.concat(F.lit("token_id:"), F.when(F.col("event_id") % 11 == 0, F.col("event_id") + 1).otherwise(F.col("event_id")).cast("string"))
+    samples = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("token_id"), named.alias("token"), lp.cast("double").alias("logprob"))
+    return op.validate_logprobs(samples).select("id", "status")
+
+
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '{"name": oops}' WHEN 2 THEN 'say ' || event_type ELSE props END AS content, CASE WHEN event_id % 4 = 0 THEN event_type END AS name,
+      CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS arg_k FROM events""")
+def parse_llama_calls(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    body = F.when(kind == 0, F.concat(F.lit('\n\n{"name": "'), "event_type", F.lit('", "parameters": '), "props", F.lit("}  "))).when(kind == 1, F.lit('{"name": oops}')).when(kind == 2, F.concat(F.lit(" say "), "event_type")).otherwise(F.col("props"))
+    completions = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("<|start_header_id|>assistant<|end_header_id|>"), body).alias("text"))
+    return op.parse_llama(completions).select("id", "content", "name", F.get_json_object("arguments", "$.k").alias("arg_k"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type, event_id % 7 AS kind, (event_id % 100)::VARCHAR AS v FROM events)
+    SELECT id, 0 AS call_idx, CASE WHEN kind = 1 OR kind = 2 THEN NULL WHEN kind = 3 THEN 'no_' || event_type ELSE event_type END AS name,
+      CASE kind WHEN 1 THEN NULL WHEN 4 THEN '{"n":' || v || '}' WHEN 5 THEN '{"n":"' || v || ' apples","s":"' || v || '"}' WHEN 6 THEN '{}' ELSE '{"n":' || v || ',"s":"' || v || '"}' END AS arguments,
+      CASE kind WHEN 1 THEN 'unclosed' WHEN 2 THEN 'missing_name' WHEN 3 THEN 'unknown_tool' WHEN 4 THEN 'malformed' WHEN 5 THEN 'invalid_json' ELSE 'ok' END AS status FROM e""")
+def parse_glm_calls(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    kind, v = F.col("event_id") % 7, (F.col("event_id") % 100).cast("string")
+    arg = lambda k, x, end="</arg_value>": F.concat(F.lit(f"<arg_key>{k}</arg_key>\n<arg_value> "), x, F.lit(f" {end}\n"))
+    name = F.when(kind == 2, F.lit(" ")).when(kind == 3, F.concat(F.lit("no_"), "event_type")).otherwise(F.col("event_type"))
+    args = F.when(kind == 4, F.concat(arg("n", v), arg("s", v, ""))).when(kind == 5, F.concat(arg("n", F.concat(v, F.lit(" apples"))), arg("s", v))).when(kind == 6, F.lit("")).otherwise(F.concat(arg("n", F.lit("0")), arg("n", v), arg("s", v)))
+    completions = events.select(F.col("event_id").alias("id"), F.concat(F.lit("Well.<tool_call>"), name, F.lit("\n"), args, F.when(kind == 1, "").otherwise("</tool_call>")).alias("text"))
+    names = events.select(F.col("event_type").alias("name")).distinct()
+    params = names.union(names.select(F.concat(F.lit("no_"), "name"))).union(spark.createDataFrame([("",)], "name string")).select("name", F.lit("s").alias("key"), F.lit("string").alias("type"))
+    return op.parse_glm(completions, names, params)
+
+
+@query("""WITH l AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+    SELECT conv_id, CASE conv_id % 4 WHEN 1 THEN 'length' WHEN 2 THEN 'value' WHEN 3 THEN 'value' END AS fault FROM l""")
+def mask_faults(spark, sf_dir):
+    messages = conversations(spark, sf_dir)
+    n = messages.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    kind, ones = F.col("conv_id") % 4, F.array_repeat(F.lit(1), F.col("n"))
+    tail = F.when(kind == 2, F.lit(2)).otherwise(F.lit(None).cast("int"))
+    mask = F.when(kind == 0, ones).when(kind == 1, F.concat(ones, F.array(F.lit(0)))).otherwise(F.concat(F.slice(ones, F.lit(1), F.col("n") - 1), F.array(tail)))
+    return op.mask_faults(messages, n.select("conv_id", mask.alias("mask")))
+
+
+@query("SELECT event_id AS id, substr(sha256(event_type), 1, 32) AS key, min(event_id) OVER (PARTITION BY event_type) AS first_id FROM events")
+def media_dedupe(spark, sf_dir):
+    media = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").cast("binary").alias("bytes"))
+    return op.media_keys(media).select("id", "key", "first_id")
+
+
+# Conversations in which some users are tool results, and indices start at 5 and have gaps.
+_TOOL = "(CASE WHEN role = 'user' AND turn > 0 AND (conv_id + turn // 2) % 2 = 1 THEN 'tool' ELSE role END)"
+_X = f"""c0 AS (SELECT conv_id, turn::INT AS turn, {_TOOL} AS role, CASE WHEN turn % 5 = 3 AND role <> 'assistant' THEN NULL ELSE text END AS text FROM conversations),
+    c AS (SELECT conv_id, turn AS msg_idx, role, coalesce(text, '{{null}}') AS content FROM c0)"""
+
+
+def with_tools(spark, sf_dir):
+    messages = conversations(spark, sf_dir)
+    tool = (F.col("role") == "user") & (F.col("msg_idx") > 0) & ((F.col("conv_id") + F.floor(F.col("msg_idx") / 2)) % 2 == 1)
+    content = F.when((F.col("msg_idx") % 5 == 3) & (F.col("role") != "assistant"), F.lit(None)).otherwise(F.col("content"))
+    return messages.select("conv_id", (F.col("msg_idx") * 2 + 5).alias("msg_idx"), F.when(tool, "tool").otherwise(F.col("role")).alias("role"), content.alias("content"))
+
+
+_TOOL_TEXT = {
+    "qwen3": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|im_start|>user' ELSE '' END) || {_N} || '<tool_response>' || {_N} || content || {_N} || '</tool_response>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '<|im_end|>' || {_N} ELSE '' END)", ""),
+    "qwen3.5": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|im_start|>user' ELSE '' END) || {_N} || '<tool_response>' || {_N} || {_strip('content')} || {_N} || '</tool_response>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '<|im_end|>' || {_N} ELSE '' END)", ""),
+    "glm-4.5": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|observation|>' ELSE '' END) || {_N} || '<tool_response>' || {_N} || content || {_N} || '</tool_response>'", "None"),
+    "glm-5": ("(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|observation|>' ELSE '' END) || '<tool_response>' || content || '</tool_response>'", "None"),
+    "minimax-m2": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN ']~b]tool' ELSE '' END) || {_N} || '<response>' || content || '</response>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '[e~[' || {_N} ELSE '' END)", "None"),
+}
+
+
+def _register_tools(family: str) -> None:
+    name = "render_tools_" + family.replace("-", "_").replace(".", "_")
+    (result, null), (message, begin, prompt) = _TOOL_TEXT[family], _FORMATS[family]
+    facts_sql = _facts_sql("c").replace("AS prev_role,", "AS prev_role, lead(role) OVER (PARTITION BY conv_id ORDER BY msg_idx) AS next_role,")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op.render_text(with_tools(spark, sf_dir), family).select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"""WITH {_X.replace('{null}', null)}, {facts_sql}, r AS (SELECT conv_id, msg_idx, (CASE WHEN msg_idx = 0 THEN {begin} ELSE '' END) || (CASE WHEN role = 'tool' THEN {result} ELSE {message} END) || (CASE WHEN msg_idx = n - 1 AND role <> 'assistant' THEN {prompt} ELSE '' END) AS x FROM f)
+      SELECT conv_id, md5(string_agg(x, '' ORDER BY msg_idx)) AS text_md5, length(string_agg(x, '' ORDER BY msg_idx))::BIGINT AS n_chars FROM r GROUP BY 1"""
+
+
+for _family in _TOOL_TEXT:
+    _register_tools(_family)
 
 
 @query("""WITH l AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), x AS (SELECT conv_id, n, unnest(generate_series(0, n - 1)) AS i FROM l)
