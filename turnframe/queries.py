@@ -327,7 +327,7 @@ def parse_llama_calls(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_id AS id, event_type, event_id % 7 AS kind, (event_id % 100)::VARCHAR AS v FROM events)
     SELECT id, 0 AS call_idx, CASE WHEN kind = 1 OR kind = 2 THEN NULL WHEN kind = 3 THEN 'no_' || event_type ELSE event_type END AS name,
-      CASE kind WHEN 1 THEN NULL WHEN 4 THEN '{"n":' || v || '}' WHEN 5 THEN '{"n":"' || v || ' apples","s":"' || v || '"}' WHEN 6 THEN '{}' ELSE '{"n":' || v || ',"s":"' || v || '"}' END AS arguments,
+      CASE kind WHEN 1 THEN NULL WHEN 2 THEN '{"n":' || v || ',"s":' || v || '}' WHEN 4 THEN '{"n":' || v || '}' WHEN 5 THEN '{"n":"' || v || ' apples","s":"' || v || '"}' WHEN 6 THEN '{}' ELSE '{"n":' || v || ',"s":"' || v || '"}' END AS arguments,
       CASE kind WHEN 1 THEN 'unclosed' WHEN 2 THEN 'missing_name' WHEN 3 THEN 'unknown_tool' WHEN 4 THEN 'malformed' WHEN 5 THEN 'invalid_json' ELSE 'ok' END AS status FROM e""")
 def parse_glm_calls(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -337,7 +337,7 @@ def parse_glm_calls(spark, sf_dir):
     args = F.when(kind == 4, F.concat(arg("n", v), arg("s", v, ""))).when(kind == 5, F.concat(arg("n", F.concat(v, F.lit(" apples"))), arg("s", v))).when(kind == 6, F.lit("")).otherwise(F.concat(arg("n", F.lit("0")), arg("n", v), arg("s", v)))
     completions = events.select(F.col("event_id").alias("id"), F.concat(F.lit("Well.<tool_call>"), name, F.lit("\n"), args, F.when(kind == 1, "").otherwise("</tool_call>")).alias("text"))
     names = events.select(F.col("event_type").alias("name")).distinct()
-    params = names.union(names.select(F.concat(F.lit("no_"), "name"))).union(spark.createDataFrame([("",)], "name string")).select("name", F.lit("s").alias("key"), F.lit("string").alias("type"))
+    params = names.union(names.select(F.concat(F.lit("no_"), "name"))).select("name", F.lit("s").alias("key"), F.lit("string").alias("type"))
     return op.parse_glm(completions, names, params)
 
 
