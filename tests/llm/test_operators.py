@@ -423,6 +423,13 @@ def test_no_rows(spark, docs):
     assert simhash.near_duplicates(spark, none).count() == 0
     assert packing.pack(spark, none).count() == 0
     assert quality.quality(spark, none).count() == 0
+    assert suffixtree.language_model_scores(spark, none).count() == 0
+    assert suffixarray.remove_repeated_bytes(spark, none).count() == 0
+    assert simhash.keep_one(spark, none).count() == 0
+    assert substrings.cut_repeats(spark, none).count() == 0
+    assert toxicity.toxicity(spark, none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert urls.url_filter(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert decontaminate.drop_contaminated(spark, none, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 def test_pipeline_stages_keep_columns(spark, docs):
