@@ -22,6 +22,21 @@ def lstrip_newlines(x: Column) -> Column:
     return F.regexp_replace(x, r"^\n+", "")
 
 
+def trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def after(x: Column, marker: str) -> Column:
+    """What follows the first marker; empty where there is none."""
+    at = F.instr(x, marker)
+    return F.when(at > 0, x.substr(at + F.lit(len(marker)), F.length(x))).otherwise("")
+
+
+def between(x: Column, start: str, end: str) -> Column:
+    """What follows the first start, up to the first end after it or else all."""
+    return F.substring_index(after(x, start), end, 1)
+
+
 def think_split(content: Column) -> tuple[Column, Column]:
     """(reasoning, body): what stands before the first </think>, from the last <think> in it, and what stands after."""
     has = F.instr(content, "</think>") > 0
@@ -71,3 +86,20 @@ def coerce_argument(text: Column, type_: Column) -> tuple[Column, Column]:
     valid = is_json(text)
     is_string = type_ == "string"
     return F.when(is_string | ~valid, quoted(text)).otherwise(text), ~is_string & ~valid
+
+
+def coerced(keys: str, values: str, types: Column) -> tuple[Column, Column]:
+    """(JSON texts of values, whether one fell back), by the types (a map or null) of their keys. Strings stay as they are,
+    others are JSON, else strings; that is no falling back where the type is maybe_string."""
+    listed = F.arrays_zip(F.col(keys).alias("k"), F.col(values).alias("v"))
+    declared = lambda x: F.coalesce(types[x["k"]], F.lit("other"))
+    verbatim = lambda x: (declared(x) == "string") | ~is_json(x["v"])
+    texts = F.transform(listed, lambda x: F.when(verbatim(x), quoted(x["v"])).otherwise(x["v"]))
+    return texts, F.exists(listed, lambda x: (declared(x) == "other") & ~is_json(x["v"]))
+
+
+def json_object(keys: str, values: Column) -> Column:
+    """JSON text of an object. A key that recurs stands where it came first, with the value that came last."""
+    listed = F.arrays_zip(F.col(keys).alias("k"), values.alias("v"))
+    entry = lambda k: F.concat(quoted(k), F.lit(":"), F.element_at(F.filter(listed, lambda x: x["k"] == k), -1)["v"])
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_distinct(F.col(keys)), entry), ","), F.lit("}"))

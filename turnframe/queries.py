@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe import operators as op
+from turnframe import response_queries  # noqa: F401  registers its queries
 from turnframe.functions import coerce_argument, pieces, think_split, token_id
 from turnframe.plans import FAMILIES, facts
+from turnframe.registry import ORACLE_SQL, QUERIES, query
 from turnframe.sources import conversations, reasoning_conversations, table, tool_calls
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # SQL for the oracles. c: conversations; m: with thinking assistants; f: with facts of the whole conversation.
 _C = "c AS (SELECT conv_id, turn::INT AS msg_idx, role, coalesce(text, '') AS content FROM conversations)"
 _M = (
