@@ -103,3 +103,24 @@ def json_object(keys: str, values: Column) -> Column:
     listed = F.arrays_zip(F.col(keys).alias("k"), values.alias("v"))
     entry = lambda k: F.concat(quoted(k), F.lit(":"), F.element_at(F.filter(listed, lambda x: x["k"] == k), -1)["v"])
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_distinct(F.col(keys)), entry), ","), F.lit("}"))
+
+
+def spaced_json(text: Column) -> Column:
+    """Compact JSON with a space after each comma and colon outside strings."""
+    return F.regexp_replace(text, r'\G((?:[^",:]|"(?:[^"\\]|\\.)*")*)([,:])', "$1$2 ")
+
+
+def argument_texts(arguments: Column, python_words: bool = False) -> Column:
+    """array<struct<k, v>> of the members of a JSON object, in order: strings as they are, other values as JSON with spaces,
+    or with python_words True, False and None for the bare ones. Numbers keep their digits; what is no object has no members."""
+    texts = F.from_json(arguments, "map<string,string>")
+    kinds = F.from_json(arguments, "map<string,variant>")
+
+    def shown(k: Column, v: Column, kind: Column) -> Column:
+        bare = F.coalesce(v, F.lit("null"))
+        word = F.element_at(F.create_map(*[F.lit(x) for x in ("true", "True", "false", "False", "null", "None")]), bare) if python_words else bare
+        text = F.when(F.schema_of_variant(kind) == "STRING", v).when(F.schema_of_variant(kind).rlike("^(OBJECT|ARRAY)"), spaced_json(v)).otherwise(F.coalesce(word, bare))
+        return F.struct(k.alias("k"), F.coalesce(text, word, bare).alias("v"))
+
+    zipped = F.arrays_zip(F.map_keys(texts).alias("k"), F.map_values(texts).alias("v"), F.map_values(kinds).alias("t"))
+    return F.coalesce(F.transform(zipped, lambda x: shown(x["k"], x["v"], x["t"])), F.array().cast("array<struct<k:string,v:string>>"))

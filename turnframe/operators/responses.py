@@ -190,7 +190,8 @@ def parse_kimi(parsed: DataFrame) -> DataFrame:
     rows = rows.withColumn("name", _filled(F.when(F.instr(part, ".") > 0, after(part, ".")).otherwise(part)))
     status = F.when(~F.col("split"), "malformed").when(~F.col("closed"), "unclosed").when(F.col("name").isNull(), "missing_name").when(~is_json(F.col("given")), "invalid_json").otherwise("ok")
     ids = rows.select("id", "call_idx", F.when(F.col("split"), F.col("tool_call_id")).alias("tool_call_id"))
-    return _json_calls(rows.withColumn("given", F.when(F.col("given") == "", '""').otherwise(F.col("given"))), F.col("split"), status).join(ids, ["id", "call_idx"])
+    judged = rows.withColumn("status", status).withColumn("given", F.when(F.col("given") == "", '""').otherwise(F.col("given")))
+    return _json_calls(judged, F.col("split"), F.col("status")).join(ids, ["id", "call_idx"])
 
 
 def parse_hy3(parsed: DataFrame, params: DataFrame | None = None) -> DataFrame:

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnframe.functions import lstrip_newlines, strip, strip_newlines, think_split
+from turnframe.functions import argument_texts, lstrip_newlines, quoted, strip, strip_newlines, think_split
 
+#: Tool calls of an assistant; arguments is JSON text.
+CALLS = "array<struct<id:string,name:string,arguments:string>>"
 SEGMENTS = "array<struct<kind:string,text:string,owner:int,sampled:boolean,content_from:int,content_to:int>>"
 
 
@@ -42,7 +44,11 @@ def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
     """messages with what a format asks of the whole conversation; one exchange by conv_id serves all of it.
 
     msg_idx orders the messages of a conversation; it may start anywhere and have gaps. Null content reads as null_text.
+    Columns that messages need not have: calls (CALLS, an assistant's), name and tool_call_id (a tool result's).
     """
+    for column, kind in (("calls", CALLS), ("name", "string"), ("tool_call_id", "string")):
+        if column not in messages.columns:
+            messages = messages.withColumn(column, F.lit(None).cast(kind))
     w = Window.partitionBy("conv_id").orderBy("msg_idx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     content = F.coalesce("content", F.lit(null_text))
@@ -50,6 +56,7 @@ def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
     query = (F.col("role") == "user") & ~(strip(content).startswith("<tool_response>") & strip(content).endswith("</tool_response>"))
     assistant = F.col("role") == "assistant"
     return messages.withColumns({
+        "calls": F.when(assistant, F.coalesce("calls", F.array().cast(CALLS))).otherwise(F.array().cast(CALLS)), "given": F.col("content").isNotNull(),
         "content": content, "reasoning": F.when(assistant, reasoning).otherwise(""), "body": F.when(assistant, body).otherwise(content),
         "n": F.count("*").over(whole).cast("int"), "first_role": F.first("role").over(whole), "prev_role": F.lag("role").over(w), "next_role": F.lead("role").over(w),
         "first_idx": F.min("msg_idx").over(whole), "last_idx": F.max("msg_idx").over(whole), "prev_idx": F.lag("msg_idx").over(w),
@@ -99,6 +106,29 @@ def _tool_block(begin: list[Column], body: Column, end: list[Column]) -> Column:
     return F.concat(F.when(_opens(), F.array(*begin)).otherwise(_none()), F.array(body), F.when(_ends(), F.array(*end)).otherwise(_none()) if end else _none())
 
 
+def _called() -> Column:
+    """Whether an assistant calls tools."""
+    return F.size("calls") > 0
+
+
+def _each_call(parts: Callable[[Column, Column], Column]) -> Column:
+    """The segments of all calls; parts takes a call and its place, and gives an array of segments."""
+    return F.flatten(F.transform("calls", parts)).cast(SEGMENTS)
+
+
+def _said(*parts: str | Column) -> Column:
+    """Sampled text of the message."""
+    return text(_me(), (F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), True), sampled=True)
+
+
+def _mark(token: str) -> Column:
+    return special(token, _me(), True)
+
+
+def _later(i: Column, separator: str) -> Column:
+    return F.when(i > 0, separator).otherwise("")
+
+
 def _outside() -> Column:
     return F.lit(-1)
 
@@ -118,7 +148,9 @@ def _qwen3_assistant() -> Column:
     query = F.coalesce("last_query", "last_idx")
     shown = (F.col("msg_idx") > query) & (last | (F.col("reasoning") != ""))
     body = F.when(shown, F.concat(F.lit("<think>\n"), strip_newlines(F.col("reasoning")), F.lit("\n</think>\n\n"), lstrip_newlines(F.col("body")))).otherwise(F.col("body"))
-    return F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False)), text(_me(), (body, True), sampled=True), special("<|im_end|>", _me(), True), text(_me(), ("\n", False)))
+    body = F.concat(body, F.when(_called() & (F.col("body") != ""), "\n").otherwise(""))
+    calls = _each_call(lambda c, i: F.array(_said(_later(i, "\n")), _mark("<tool_call>"), _said('\n{"name": "', c["name"], '", "arguments": ', c["arguments"], "}\n"), _mark("</tool_call>")))
+    return F.concat(F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False)), _said(body)), calls, F.array(_mark("<|im_end|>"), text(_me(), ("\n", False))))
 
 
 def _qwen35_assistant() -> Column:
@@ -126,6 +158,13 @@ def _qwen35_assistant() -> Column:
     body = strip(F.col("body"))
     think = F.array(special("<think>", _me(), True), text(_me(), (F.concat(F.lit("\n"), strip(F.col("reasoning")), F.lit("\n")), True), sampled=True), special("</think>", _me(), True), text(_me(), (F.concat(F.lit("\n\n"), body), True), sampled=True))
     inner = F.when(F.col("msg_idx") > query, think).otherwise(F.array(text(_me(), (body, True), sampled=True)))
+
+    def call(c: Column, i: Column) -> Column:
+        given = F.transform(argument_texts(c["arguments"], python_words=True), lambda a: F.concat(F.lit("<parameter="), a["k"], F.lit(">\n"), a["v"], F.lit("\n</parameter>\n")))
+        lead = F.when(i > 0, "\n").when(body != "", "\n\n").otherwise("")
+        return F.array(_said(lead), _mark("<tool_call>"), _said("\n<function=", c["name"], ">\n", F.array_join(given, ""), "</function>\n"), _mark("</tool_call>"))
+
+    inner = F.concat(inner, _each_call(call))
     return F.concat(F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False))), inner, F.array(special("<|im_end|>", _me(), True), text(_me(), ("\n", False))))
 
 
@@ -139,7 +178,15 @@ def _glm(newline: str) -> Callable[[], Column]:
         system = F.array(special("<|system|>", me), text(me, (newline, False), (F.col("content"), True)))
         user = F.array(special("<|user|>", F.when(closes, F.col("prev_idx")).otherwise(me), closes), text(me, (newline, False), (F.col("content"), True)))
         shown = (F.col("msg_idx") > F.col("last_user")) & (F.col("reasoning") != "")
-        tail = F.when(body != "", F.array(text(me, (F.concat(F.lit(newline), body), True), sampled=True))).otherwise(_none())
+        after_body = F.when(_called(), newline).otherwise("")
+        tail = F.when(body != "", F.array(_said(newline, body, after_body))).otherwise(_none())
+
+        def call(c: Column, i: Column) -> Column:
+            pair = lambda a: F.array(_mark("<arg_key>"), _said(a["k"]), _mark("</arg_key>"), _said(newline), _mark("<arg_value>"), _said(a["v"]), _mark("</arg_value>"), _said(newline))
+            lead = F.when((i > 0) | (body == ""), newline).otherwise("")
+            return F.concat(F.array(_said(lead), _mark("<tool_call>"), _said(c["name"], newline)), F.flatten(F.transform(argument_texts(c["arguments"]), pair)), F.array(_mark("</tool_call>")))
+
+        tail = F.concat(tail, _each_call(call))
         thought = text(me, (strip(F.col("reasoning")), True), sampled=True)
         if newline:
             inner = F.when(shown, F.array(special("<think>", me, True), thought, special("</think>", me, True))).otherwise(F.array(special("<think>", me, True), special("</think>", me, True)))
@@ -157,14 +204,25 @@ def _glm(newline: str) -> Callable[[], Column]:
 BOS_V3, USER_V3, ASSISTANT_V3, EOS_V3 = "<｜begin▁of▁sentence｜>", "<｜User｜>", "<｜Assistant｜>", "<｜end▁of▁sentence｜>"
 
 
+def _deepseek_prompt(*after: tuple[str, str]) -> Callable[[], Column]:
+    """What follows a tool's output flows on without a new marker."""
+    return lambda: F.when(F.col("role") == "tool", _prompt(*after)().cast(SEGMENTS) if after else _none()).otherwise(_prompt(("S", ASSISTANT_V3), *after)().cast(SEGMENTS))
+
+
 def _deepseek(last_block: bool) -> Callable[[], Column]:
     def message() -> Column:
         me = _me()
         content = F.substring_index("content", "</think>", -1) if last_block else F.col("content")
         leading = F.array(text(F.col("first_idx"), (F.when(F.col("msg_idx") > F.col("first_idx"), "\n\n").otherwise(""), True), (F.col("content"), True)))
         user = F.array(special(USER_V3, me), text(me, (F.col("content"), True)))
-        assistant = F.array(special(ASSISTANT_V3, me), text(me, (content, True), sampled=True), special(EOS_V3, me, True))
-        return F.when(F.col("leading") == 1, leading).when(F.col("role").isin("user", "system"), user).when(F.col("role") == "assistant", assistant).otherwise(_none())
+        after_tool = F.coalesce(F.col("prev_role") == "tool", F.lit(False))
+        head = F.when(after_tool, _none()).otherwise(F.array(special(ASSISTANT_V3, me)))
+        each = _each_call(lambda c, i: F.array(_mark("<｜tool▁call▁begin｜>"), _said("function"), _mark("<｜tool▁sep｜>"), _said(c["name"], "\n```json\n", c["arguments"], "\n```"), _mark("<｜tool▁call▁end｜>")))
+        calls = F.when(_called(), F.concat(F.array(_mark("<｜tool▁calls▁begin｜>")), each, F.array(_mark("<｜tool▁calls▁end｜>")))).otherwise(_none())
+        assistant = F.concat(head, F.array(_said(content)), calls, F.array(_mark(EOS_V3)))
+        result = F.array(special("<｜tool▁output▁begin｜>", me), text(me, (F.col("content"), True)), special("<｜tool▁output▁end｜>", me))
+        tool = F.concat(F.when(_opens(), F.array(special("<｜tool▁outputs▁begin｜>", me))).otherwise(_none()), result, F.when(_ends(), F.array(special("<｜tool▁outputs▁end｜>", me))).otherwise(_none()))
+        return F.when(F.col("leading") == 1, leading).when(F.col("role").isin("user", "system"), user).when(F.col("role") == "tool", tool).otherwise(assistant)
 
     return message
 
@@ -174,8 +232,12 @@ def _kimi() -> Column:
     head = lambda token, name: [special(token, me), text(me, (name, False)), special("<|im_middle|>", me)]
     plain = F.array(*head("<|im_system|>", role), text(me, (F.col("content"), True)), special("<|im_end|>", me))
     user = F.array(*head("<|im_user|>", "user"), text(me, (F.col("content"), True)), special("<|im_end|>", me))
-    assistant = F.array(*head("<|im_assistant|>", "assistant"), text(me, (F.col("content"), True), sampled=True), special("<|im_end|>", me, True))
-    return F.when(role == "user", user).when(role == "assistant", assistant).otherwise(plain)
+    each = _each_call(lambda c, i: F.array(_mark("<|tool_call_begin|>"), _said(F.coalesce(c["id"], F.lit(""))), _mark("<|tool_call_argument_begin|>"), _said(c["arguments"]), _mark("<|tool_call_end|>")))
+    calls = F.when(_called(), F.concat(F.array(_mark("<|tool_calls_section_begin|>")), each, F.array(_mark("<|tool_calls_section_end|>")))).otherwise(_none())
+    assistant = F.concat(F.array(*head("<|im_assistant|>", "assistant"), _said(F.col("content"))), calls, F.array(_mark("<|im_end|>")))
+    of = F.concat(F.lit("## Return of "), F.coalesce("tool_call_id", F.lit("")), F.lit("\n"))
+    tool = F.array(*head("<|im_system|>", F.coalesce(F.nullif("name", F.lit("")), F.lit("tool"))), text(me, (of, False)), text(me, (F.col("content"), True)), special("<|im_end|>", me))
+    return F.when(role == "user", user).when(role == "assistant", assistant).when(role == "tool", tool).otherwise(plain)
 
 
 KIMI_SYSTEM = "You are Kimi, an AI assistant created by Moonshot AI."
@@ -200,8 +262,14 @@ def _llama() -> Column:
     head = [special("<|start_header_id|>", me), text(me, (role, False)), special("<|end_header_id|>", me)]
     assistant = F.array(*head, text(me, ("\n\n", False)), text(me, (body, True), sampled=True), special("<|eot_id|>", me, True))
     other = F.array(*head, text(me, ("\n\n", False), (body, True)), special("<|eot_id|>", me))
+    one = F.element_at("calls", 1)
+    call = F.array(*head, text(me, ("\n\n", False)), _said('{"name": "', one["name"], '", "parameters": ', one["arguments"], "}"), _mark("<|eot_id|>"))
+    many = F.raise_error(F.lit("llama-3 takes one tool call a message")).cast(SEGMENTS)
+    result = F.when(F.col("given"), quoted(F.col("content"))).otherwise("")
+    tool = F.array(special("<|start_header_id|>", me), text(me, ("ipython", False)), special("<|end_header_id|>", me), text(me, ("\n\n", False), (result, True)), special("<|eot_id|>", me))
     first = (F.col("msg_idx") == F.col("first_idx")) & (role == "system")
-    return F.when(first, _llama_system(me, body)).when(role == "assistant", assistant).otherwise(other)
+    called = F.when(F.size("calls") > 1, many).when(_called(), call.cast(SEGMENTS)).otherwise(assistant.cast(SEGMENTS))
+    return F.when(first, _llama_system(me, body).cast(SEGMENTS)).when(role == "tool", tool.cast(SEGMENTS)).when(role == "assistant", called).otherwise(other.cast(SEGMENTS))
 
 
 MINIMAX_IDENTITY = "You are a helpful assistant. Your name is MiniMax-M2.5 and is built by MiniMax."
@@ -215,9 +283,13 @@ def _minimax() -> Column:
     me, role = _me(), F.col("role")
     shown = (F.col("reasoning") != "") & (F.col("msg_idx") > F.col("last_user"))
     body = F.when(F.col("reasoning") != "", strip_newlines(F.col("body"))).otherwise(F.col("body"))
-    think = F.array(special("<think>", me, True), text(me, (F.concat(F.lit("\n"), F.col("reasoning"), F.lit("\n")), True), sampled=True), special("</think>", me, True), text(me, (F.concat(F.lit("\n\n"), body), True), sampled=True))
-    inner = F.when(shown, think).otherwise(F.array(text(me, (body, True), sampled=True)))
-    assistant = F.concat(F.array(special("]~b]", me), text(me, ("ai\n", False))), inner, F.array(special("[e~[", me, True), text(me, ("\n", False))))
+    written = lambda c: F.concat(F.lit('<invoke name="'), c["name"], F.lit('">\n'), F.array_join(F.transform(argument_texts(c["arguments"]), lambda a: F.concat(F.lit('<parameter name="'), a["k"], F.lit('">'), a["v"], F.lit("</parameter>\n"))), ""), F.lit("</invoke>\n"))
+    bare = _called() & ~shown & (body == "")  # the line break before the calls is then part of the header
+    separator = F.when(_called() & ~bare, "\n").otherwise("")
+    think = F.array(_mark("<think>"), _said("\n", F.col("reasoning"), "\n"), _mark("</think>"), _said("\n\n", body, separator))
+    calls = F.when(_called(), F.array(_mark("<minimax:tool_call>"), _said("\n", F.array_join(F.transform("calls", written), "")), _mark("</minimax:tool_call>"))).otherwise(_none())
+    inner = F.concat(F.when(shown, think).otherwise(F.array(_said(body, separator))), calls)
+    assistant = F.concat(F.array(special("]~b]", me), text(me, (F.when(bare, "ai\n\n").otherwise("ai\n"), False))), inner, F.array(special("[e~[", me, True), text(me, ("\n", False))))
     user = F.array(special("]~b]", me), text(me, ("user\n", False), (F.col("content"), True)), special("[e~[", me), text(me, ("\n", False)))
     system = F.when(_first() & (F.col("content") != ""), _minimax_system(me, (F.col("content"), True))).when(_first(), _minimax_system(me, (MINIMAX_IDENTITY, False))).otherwise(_none())
     result = text(me, ("\n<response>", False), (F.col("content"), True), ("</response>", False))
@@ -236,10 +308,10 @@ FAMILIES: dict[str, Family] = {
         Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
         Family("glm-4.5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("\n"), _prompt(("S", "<|assistant|>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("glm-5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm(""), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
-        Family("deepseek-v3", _prompt(("S", BOS_V3)), _deepseek(False), _prompt(("S", ASSISTANT_V3)), (EOS_V3,), "all"),
-        Family("deepseek-r1", _prompt(("S", BOS_V3)), _deepseek(True), _prompt(("S", ASSISTANT_V3), ("T", "<think>\n")), (EOS_V3,), "template"),
-        Family("kimi-k2", _kimi_begin, _kimi, _prompt(("S", "<|im_assistant|>"), ("T", "assistant"), ("S", "<|im_middle|>")), ("<|im_end|>",), "all"),
-        Family("llama-3", lambda: F.when(F.col("first_role") != "system", _llama_system(_outside(), F.lit(""))).otherwise(_none()), _llama, _prompt(("S", "<|start_header_id|>"), ("T", "assistant"), ("S", "<|end_header_id|>"), ("T", "\n\n")), ("<|eot_id|>", "<|end_of_text|>", "<|eom_id|>"), "all"),
+        Family("deepseek-v3", _prompt(("S", BOS_V3)), _deepseek(False), _deepseek_prompt(), (EOS_V3,), "all", roles=WITH_TOOLS),
+        Family("deepseek-r1", _prompt(("S", BOS_V3)), _deepseek(True), _deepseek_prompt(("T", "<think>\n")), (EOS_V3,), "template", roles=WITH_TOOLS),
+        Family("kimi-k2", _kimi_begin, _kimi, _prompt(("S", "<|im_assistant|>"), ("T", "assistant"), ("S", "<|im_middle|>")), ("<|im_end|>",), "all", roles=WITH_TOOLS),
+        Family("llama-3", lambda: F.when(F.col("first_role") != "system", _llama_system(_outside(), F.lit(""))).otherwise(_none()), _llama, _prompt(("S", "<|start_header_id|>"), ("T", "assistant"), ("S", "<|end_header_id|>"), ("T", "\n\n")), ("<|eot_id|>", "<|end_of_text|>", "<|eom_id|>"), "all", roles=WITH_TOOLS),
         Family("minimax-m2", lambda: F.when(F.col("first_role") != "system", _minimax_system(_outside(), (MINIMAX_IDENTITY, False))).otherwise(_none()), _minimax, _prompt(("S", "]~b]"), ("T", "ai\n"), ("S", "<think>"), ("T", "\n")), ("[e~[",), "tool_cycle", "None", WITH_TOOLS),
     )
 }

@@ -59,8 +59,8 @@ _FORMATS = {
         f"CASE WHEN role = 'assistant' THEN '<|assistant|>' || (CASE WHEN msg_idx > last_user AND reasoning <> '' THEN '<think>' || {_strip('reasoning')} ELSE '' END) || '</think>' || {_strip('body')} ELSE '<|' || role || '|>' || content END",
         "'[gMASK]<sop>'", "'<|assistant|><think>'",
     ),
-    "deepseek-v3": ("CASE role WHEN 'system' THEN content WHEN 'user' THEN '<｜User｜>' || content ELSE '<｜Assistant｜>' || content || '<｜end▁of▁sentence｜>' END", "'<｜begin▁of▁sentence｜>'", "'<｜Assistant｜>'"),
-    "deepseek-r1": ("CASE role WHEN 'system' THEN content WHEN 'user' THEN '<｜User｜>' || content ELSE '<｜Assistant｜>' || (CASE WHEN strpos(content, '</think>') > 0 THEN substr(content, strpos(content, '</think>') + 8) ELSE content END) || '<｜end▁of▁sentence｜>' END", "'<｜begin▁of▁sentence｜>'", f"'<｜Assistant｜><think>' || {_N}"),
+    "deepseek-v3": ("CASE role WHEN 'system' THEN content WHEN 'user' THEN '<｜User｜>' || content ELSE (CASE WHEN coalesce(prev_role, '') = 'tool' THEN '' ELSE '<｜Assistant｜>' END) || content || '<｜end▁of▁sentence｜>' END", "'<｜begin▁of▁sentence｜>'", "(CASE WHEN role = 'tool' THEN '' ELSE '<｜Assistant｜>' END)"),
+    "deepseek-r1": ("CASE role WHEN 'system' THEN content WHEN 'user' THEN '<｜User｜>' || content ELSE (CASE WHEN coalesce(prev_role, '') = 'tool' THEN '' ELSE '<｜Assistant｜>' END) || (CASE WHEN strpos(content, '</think>') > 0 THEN substr(content, strpos(content, '</think>') + 8) ELSE content END) || '<｜end▁of▁sentence｜>' END", "'<｜begin▁of▁sentence｜>'", f"(CASE WHEN role = 'tool' THEN '' ELSE '<｜Assistant｜>' END) || '<think>' || {_N}"),
     "kimi-k2": ("'<|im_' || role || '|>' || role || '<|im_middle|>' || content || '<|im_end|>'", f"CASE WHEN first_role <> 'system' THEN '<|im_system|>system<|im_middle|>You are Kimi, an AI assistant created by Moonshot AI.<|im_end|>' || {_N} ELSE '' END", "'<|im_assistant|>assistant<|im_middle|>'"),
     "llama-3": (
         f"'<|start_header_id|>' || role || '<|end_header_id|>' || {_N} || {_N} || (CASE WHEN role = 'system' AND msg_idx = 0 THEN 'Cutting Knowledge Date: December 2023' || {_N} || 'Today Date: 26 Jul 2024' || {_N} || {_N} ELSE '' END) || {_strip('content')} || '<|eot_id|>'",
@@ -361,17 +361,64 @@ _TOOL_TEXT = {
     "qwen3.5": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|im_start|>user' ELSE '' END) || {_N} || '<tool_response>' || {_N} || {_strip('content')} || {_N} || '</tool_response>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '<|im_end|>' || {_N} ELSE '' END)", ""),
     "glm-4.5": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|observation|>' ELSE '' END) || {_N} || '<tool_response>' || {_N} || content || {_N} || '</tool_response>'", "None"),
     "glm-5": ("(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<|observation|>' ELSE '' END) || '<tool_response>' || content || '</tool_response>'", "None"),
+    "deepseek-v3": ("(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<｜tool▁outputs▁begin｜>' ELSE '' END) || '<｜tool▁output▁begin｜>' || content || '<｜tool▁output▁end｜>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '<｜tool▁outputs▁end｜>' ELSE '' END)", ""),
+    "deepseek-r1": ("(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN '<｜tool▁outputs▁begin｜>' ELSE '' END) || '<｜tool▁output▁begin｜>' || content || '<｜tool▁output▁end｜>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '<｜tool▁outputs▁end｜>' ELSE '' END)", ""),
+    "kimi-k2": (f"'<|im_system|>tool<|im_middle|>## Return of ' || {_N} || content || '<|im_end|>'", ""),
+    "llama-3": (f"'<|start_header_id|>ipython<|end_header_id|>' || {_N} || {_N} || (CASE WHEN content = '' THEN '' ELSE to_json(content)::VARCHAR END) || '<|eot_id|>'", ""),
     "minimax-m2": (f"(CASE WHEN coalesce(prev_role, '') <> 'tool' THEN ']~b]tool' ELSE '' END) || {_N} || '<response>' || content || '</response>' || (CASE WHEN coalesce(next_role, '') <> 'tool' THEN '[e~[' || {_N} ELSE '' END)", "None"),
 }
 
 
-def _register_tools(family: str) -> None:
-    name = "render_tools_" + family.replace("-", "_").replace(".", "_")
+# Calls that assistants make: none, one or two by (conv_id + turn) % 3; llama-3 takes one at most. Of each format: where in its SQL
+# the calls come, what is before the first and between two, what wraps them all, and one call as text.
+_ARGS = '{"q": "a, b", "n": 3, "deep": {"x": [1, 2], "y": "c:d"}, "on": true, "off": null}'
+_DEEP = '{"x": [1, 2], "y": "c:d"}'
+_KEYS = {"q": "a, b", "n": "3", "deep": _DEEP, "on": "true", "off": "null"}
+_NCALLS = "(CASE WHEN role = 'assistant' THEN (conv_id + msg_idx) % 3 ELSE 0 END)"
+_GLM45 = "<tool_call>look\n" + "".join(f"<arg_key>{k}</arg_key>\n<arg_value>{v}</arg_value>\n" for k, v in _KEYS.items()) + "</tool_call>"
+_INVOKE = '<invoke name="look">\n' + "".join(f'<parameter name="{k}">{v}</parameter>\n' for k, v in _KEYS.items()) + "</invoke>\n"
+_CALL_TEXT = {
+    "qwen3": ("|| '<|im_end|>'", f"(CASE WHEN body <> '' THEN {_N} ELSE '' END)", "\n", "", "", f'<tool_call>\n{{"name": "look", "arguments": {_ARGS}}}\n</tool_call>'),
+    "qwen3.5": ("|| '<|im_end|>'", f"(CASE WHEN {_strip('body')} <> '' THEN {_N} || {_N} ELSE '' END)", "\n", "", "", "<tool_call>\n<function=look>\n" + "".join(f"<parameter={k}>\n{ {'true': 'True', 'null': 'None'}.get(v, v)}\n</parameter>\n" for k, v in _KEYS.items()) + "</function>\n</tool_call>"),
+    "glm-4.5": (" ELSE '<|' || role", _N, "\n", "", "", _GLM45),
+    "glm-5": (" ELSE '<|' || role", "''", "", "", "", _GLM45.replace("\n", "")),
+    "deepseek-v3": ("|| '<｜end▁of▁sentence｜>'", "''", "", "<｜tool▁calls▁begin｜>", "<｜tool▁calls▁end｜>", f"<｜tool▁call▁begin｜>function<｜tool▁sep｜>look\n```json\n{_ARGS}\n```<｜tool▁call▁end｜>"),
+    "deepseek-r1": ("|| '<｜end▁of▁sentence｜>'", "''", "", "<｜tool▁calls▁begin｜>", "<｜tool▁calls▁end｜>", f"<｜tool▁call▁begin｜>function<｜tool▁sep｜>look\n```json\n{_ARGS}\n```<｜tool▁call▁end｜>"),
+    "kimi-k2": ("|| '<|im_end|>'", "''", "", "<|tool_calls_section_begin|>", "<|tool_calls_section_end|>", f"<|tool_call_begin|>functions.look:0<|tool_call_argument_begin|>{_ARGS}<|tool_call_end|>"),
+    "llama-3": ("", "", "", "", "", f'{{"name": "look", "parameters": {_ARGS}}}'),
+    "minimax-m2": ("|| '[e~['", _N, "", "<minimax:tool_call>\n", "</minimax:tool_call>", _INVOKE),
+}
+
+
+def with_calls(messages: DataFrame, most: int) -> DataFrame:
+    """messages, numbered from 5 in steps of 2, whose assistants call a tool."""
+    call = F.struct(F.lit("functions.look:0").alias("id"), F.lit("look").alias("name"), F.lit(_ARGS).alias("arguments"))
+    n = F.least((F.col("conv_id") + F.floor((F.col("msg_idx") - 5) / 2)) % 3, F.lit(most)).cast("int")
+    return messages.withColumn("calls", F.when(F.col("role") == "assistant", F.array_repeat(call, n)))
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _register_tools(family: str, called: bool) -> None:
+    name = ("render_calls_" if called else "render_tools_") + family.replace("-", "_").replace(".", "_")
     (result, null), (message, begin, prompt) = _TOOL_TEXT[family], _FORMATS[family]
     facts_sql = _facts_sql("c").replace("AS prev_role,", "AS prev_role, lead(role) OVER (PARTITION BY conv_id ORDER BY msg_idx) AS next_role,")
+    if called:
+        place, before, between, lead, tail, one = _CALL_TEXT[family]
+        if family == "llama-3":
+            head = f"'<|start_header_id|>assistant<|end_header_id|>' || {_N} || {_N}"
+            message = f"CASE WHEN {_NCALLS} > 0 THEN {head} || {_quote(one)} || '<|eot_id|>' ELSE {message} END"
+        else:
+            calls = f"(CASE WHEN {_NCALLS} > 0 THEN {before} || {_quote(lead + one)} || (CASE WHEN {_NCALLS} = 2 THEN {_quote(between + one)} ELSE '' END) || {_quote(tail)} ELSE '' END)"
+            message = message.replace(place, f" || {calls} {place}")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op.render_text(with_tools(spark, sf_dir), family).select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+        messages = with_tools(spark, sf_dir)
+        if called:
+            messages = with_calls(messages, 1 if family == "llama-3" else 2)
+        return op.render_text(messages, family).select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = f"""WITH {_X.replace('{null}', null)}, {facts_sql}, r AS (SELECT conv_id, msg_idx, (CASE WHEN msg_idx = 0 THEN {begin} ELSE '' END) || (CASE WHEN role = 'tool' THEN {result} ELSE {message} END) || (CASE WHEN msg_idx = n - 1 AND role <> 'assistant' THEN {prompt} ELSE '' END) AS x FROM f)
@@ -379,7 +426,8 @@ def _register_tools(family: str) -> None:
 
 
 for _family in _TOOL_TEXT:
-    _register_tools(_family)
+    _register_tools(_family, False)
+    _register_tools(_family, True)
 
 
 @query("""WITH l AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), x AS (SELECT conv_id, n, unnest(generate_series(0, n - 1)) AS i FROM l)
