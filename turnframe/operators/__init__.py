@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnframe.functions import common_prefix, is_json, pieces, quoted, token_id
-from turnframe.plans import segments
+from turnframe.functions import common_prefix, is_json, pieces, quoted, token_id, trim_to_turn_close
+from turnframe.plans import FAMILIES, is_user_query, segments
 
 
 def render_text(messages: DataFrame, family: str) -> DataFrame:
@@ -18,7 +18,11 @@ def render_text(messages: DataFrame, family: str) -> DataFrame:
 def tokens(messages: DataFrame, family: str) -> DataFrame:
     """(conv_id, pos, token_id, piece, owner, sampled, content): each group tokenized in one pass, each token in the part that
     its first character is in. On sampled text, content is sampled."""
-    segs = segments(messages, family)
+    return segment_tokens(segments(messages, family))
+
+
+def segment_tokens(segs: DataFrame) -> DataFrame:
+    """tokens() of segments."""
     cut = segs.withColumn("pieces", F.when(F.col("kind") == "S", F.array("text")).otherwise(pieces(F.col("text"))))
     rows = cut.select("conv_id", "msg_idx", "seg_idx", "owner", "sampled", "content_from", "content_to", F.posexplode("pieces").alias("piece_idx", "piece"))
     within = Window.partitionBy("conv_id", "msg_idx", "seg_idx").orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,14 +207,52 @@ def support_mass(candidates: DataFrame) -> DataFrame:
 def bridge_eligibility(previous: DataFrame, new: DataFrame, retention: str) -> DataFrame:
     """(conv_id, status): whether the previous ids can be extended by the new messages, and why not.
 
-    previous: conv_id, closed (the completion holds a stop). new: conv_id, role. A bridge refuses no messages, an assistant
-    among them, retention "template", and, under "tool_cycle", a new user query.
+    previous: conv_id, closed (the completion holds a stop). new: conv_id, role, and content if there is any. A bridge
+    refuses no messages, an assistant among them, retention "template", and, under "tool_cycle", a new user query; a user
+    message that only wraps a tool's response is none.
     """
-    asked = new.groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("assistant"), F.bool_or(F.col("role") == "user").alias("query"))
+    query = is_user_query() if "content" in new.columns else F.col("role") == "user"
+    asked = new.groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("assistant"), F.bool_or(query).alias("query"))
     status = F.when(F.col("assistant").isNull(), "no_messages").when(F.col("assistant"), "assistant").when(F.lit(retention) == "template", "template").when((F.lit(retention) == "tool_cycle") & F.col("query"), "user_query").when(~F.col("closed"), "synthesize_close").otherwise("bridge")
     return previous.join(asked, "conv_id", "left").select("conv_id", status.alias("status"))
 
 
+#: Formats whose assistant turns end in a token of their own. In the others the next message's marker ends them.
+BRIDGED = ("qwen3", "qwen3.5", "deepseek-v3", "deepseek-r1", "kimi-k2", "llama-3", "minimax-m2")
+
+
+def bridge_extension(new: DataFrame, family: str) -> DataFrame:
+    """Tokens that follow an assistant turn's close: what the format puts after it, the new messages, the generation prompt.
+
+    The new messages are rendered behind an empty assistant turn, of which only what follows its close is kept.
+    """
+    if family not in BRIDGED:
+        raise ValueError(f"no bridge for {family}: an assistant turn has no close of its own")
+    lead = new.groupBy("conv_id").agg((F.min("msg_idx") - 1).cast("int").alias("msg_idx")).withColumns({"role": F.lit("assistant"), "content": F.lit("")})
+    segs = segments(lead.unionByName(new, allowMissingColumns=True), family)
+    whole = Window.partitionBy("conv_id")
+    first = F.min("msg_idx").over(whole)
+    close = (F.col("msg_idx") == F.col("first")) & (F.col("kind") == "S") & F.col("text").isin(*FAMILIES[family].stops)
+    placed = segs.withColumn("first", first).withColumn("close", F.max(F.when(close, F.col("seg_idx"))).over(whole))
+    return segment_tokens(placed.where((F.col("msg_idx") > F.col("first")) | (F.col("seg_idx") > F.col("close"))))
+
+
+def bridge(previous: DataFrame, new: DataFrame, family: str) -> DataFrame:
+    """(conv_id, status, token_ids): the ids that a model has seen and sampled, extended by new messages without rendering
+    the conversation again; token_ids is null where status is neither bridge nor synthesize_close.
+
+    previous: conv_id, prompt_ids, completion_ids. A completion is cut after its last stop; one without any gets the
+    format's close. An empty prompt has status no_prompt. Whether a completion broke off within its reasoning is not asked.
+    """
+    f = FAMILIES[family]
+    stops = F.array(*[token_id(F.lit(s)) for s in f.stops])
+    status = bridge_eligibility(previous.select("conv_id", F.arrays_overlap("completion_ids", stops).alias("closed")), new, f.retention)
+    joined = previous.join(status, "conv_id").join(id_arrays(bridge_extension(new, family)), "conv_id", "left")
+    status_ = F.when(F.size("prompt_ids") == 0, "no_prompt").otherwise(F.col("status"))
+    kept = trim_to_turn_close(F.col("prompt_ids"), F.col("completion_ids"), stops, token_id(F.lit(f.stops[0])))
+    return joined.select("conv_id", status_.alias("status"), F.when(status_.isin("bridge", "synthesize_close"), F.concat(kept, "token_ids")).alias("token_ids"))
+
+
 def placeholder_types(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
     """(id, types): per token 0, 1 in an image's range, 2 in a video's, as a string."""
     spans = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "length", "type")).alias("r"))

@@ -40,6 +40,12 @@ def _none() -> Column:
     return F.array().cast(SEGMENTS)
 
 
+def is_user_query(content: Column | None = None) -> Column:
+    """Whether a message is a user's own: one that only wraps a tool's response is not."""
+    bare = strip(F.coalesce("content", F.lit("")) if content is None else content)
+    return (F.col("role") == "user") & ~(bare.startswith("<tool_response>") & bare.endswith("</tool_response>"))
+
+
 def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
     """messages with what a format asks of the whole conversation; one exchange by conv_id serves all of it.
 
@@ -53,7 +59,6 @@ def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     content = F.coalesce("content", F.lit(null_text))
     reasoning, body = think_split(content)
-    query = (F.col("role") == "user") & ~(strip(content).startswith("<tool_response>") & strip(content).endswith("</tool_response>"))
     assistant = F.col("role") == "assistant"
     return messages.withColumns({
         "calls": F.when(assistant, F.coalesce("calls", F.array().cast(CALLS))).otherwise(F.array().cast(CALLS)), "given": F.col("content").isNotNull(),
@@ -61,7 +66,7 @@ def facts(messages: DataFrame, null_text: str = "") -> DataFrame:
         "n": F.count("*").over(whole).cast("int"), "first_role": F.first("role").over(whole), "prev_role": F.lag("role").over(w), "next_role": F.lead("role").over(w),
         "first_idx": F.min("msg_idx").over(whole), "last_idx": F.max("msg_idx").over(whole), "prev_idx": F.lag("msg_idx").over(w),
         "last_user": F.coalesce(F.max(F.when(F.col("role") == "user", F.col("msg_idx"))).over(whole), F.min("msg_idx").over(whole) - 1),
-        "last_query": F.max(F.when(query, F.col("msg_idx"))).over(whole),
+        "last_query": F.max(F.when(is_user_query(content), F.col("msg_idx"))).over(whole),
         "leading": F.min(F.when(F.col("role") == "system", 1).otherwise(0)).over(w),
     })
 

@@ -444,3 +444,47 @@ def bridge_eligibility(spark, sf_dir):
     messages = facts(conversations(spark, sf_dir))
     last = messages.where(F.col("msg_idx") == F.col("n") - 1).select("conv_id", "role")
     return op.bridge_eligibility(last.select("conv_id", (F.col("conv_id") % 2 == 0).alias("closed")), last, "tool_cycle")
+
+
+# What a bridge puts after the close of an assistant turn, and whether its ids are those of a whole new render.
+_AFTER_CLOSE = {"qwen3": (_N, False), "qwen3.5": (_N, False), "deepseek-v3": ("''", True), "deepseek-r1": ("''", False), "kimi-k2": ("''", True), "llama-3": ("''", True), "minimax-m2": (_N, False)}
+
+
+def _register_bridge(family: str) -> None:
+    name = "bridge_" + family.replace("-", "_").replace(".", "_")
+    (after, same), retention = _AFTER_CLOSE[family], FAMILIES[family].retention
+    (result, null), (message, _, prompt) = _TOOL_TEXT[family], _FORMATS[family]
+    facts_sql = _facts_sql("c").replace("AS prev_role,", "AS prev_role, lead(role) OVER (PARTITION BY conv_id ORDER BY msg_idx) AS next_role, max(CASE WHEN role = 'assistant' THEN msg_idx END) OVER w AS la,")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        messages = with_tools(spark, sf_dir)
+        last = F.max(F.when(F.col("role") == "assistant", F.col("msg_idx"))).over(Window.partitionBy("conv_id"))
+        placed = messages.withColumn("la", last).where("la is not null")
+        new = placed.where("msg_idx > la").drop("la")
+        toks = op.tokens(messages, family)
+        seen = toks.join(placed.select("conv_id", "la").distinct(), "conv_id")
+        # The turn's own tokens up to its close; what follows them is the extension's.
+        close = F.max(F.when((F.col("owner") == F.col("la")) & F.col("sampled"), F.col("pos"))).over(Window.partitionBy("conv_id"))
+        start = F.min(F.when((F.col("owner") == F.col("la")) & F.col("sampled"), F.col("pos"))).over(Window.partitionBy("conv_id"))
+        cut = seen.withColumn("close", close).withColumn("begin", start)
+        ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "token_id")))), lambda x: x["token_id"])
+        truncated = F.col("conv_id") % 3 == 0
+        previous = cut.groupBy("conv_id").agg(ids(F.col("pos") < F.col("begin")).alias("prompt_ids"), ids((F.col("pos") >= F.col("begin")) & ((F.col("pos") < F.col("close")) | ((F.col("pos") == F.col("close")) & ~truncated))).alias("completion_ids"))
+        extension = op.bridge_extension(new, family).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("x"))
+        bridged = op.bridge(previous, new, family).join(extension, "conv_id", "left")
+        done = F.col("token_ids").isNotNull()
+        if same:
+            bridged = bridged.join(op.id_arrays(toks).withColumnRenamed("token_ids", "whole"), "conv_id")
+        compared = [F.when(done, F.when(F.col("token_ids") == F.col("whole"), "same").otherwise("other")).alias("as_rendered")] if same else []
+        return bridged.select("conv_id", "status", F.when(done, F.md5(F.col("x").cast("binary"))).alias("extension_md5"), *compared)
+
+    refused = {"all": "", "template": "WHEN true THEN 'template'", "tool_cycle": "WHEN bool_or(role = 'user') THEN 'user_query'"}[retention]
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"""WITH {_X.replace('{null}', null)}, {facts_sql}, r AS (SELECT conv_id, msg_idx, role, (CASE WHEN role = 'tool' THEN {result} ELSE {message} END) || (CASE WHEN msg_idx = n - 1 THEN {prompt} ELSE '' END) AS x FROM f WHERE msg_idx > la),
+      b AS (SELECT conv_id, CASE {refused} WHEN conv_id % 3 = 0 THEN 'synthesize_close' ELSE 'bridge' END AS status, md5({after} || string_agg(x, '' ORDER BY msg_idx)) AS m FROM r GROUP BY 1)
+      SELECT a.conv_id, coalesce(status, 'no_messages') AS status, CASE WHEN status IN ('bridge', 'synthesize_close') THEN m END AS extension_md5{", CASE WHEN status IN ('bridge', 'synthesize_close') THEN 'same' END AS as_rendered" if same else ''}
+      FROM (SELECT DISTINCT conv_id FROM f WHERE la IS NOT NULL) a LEFT JOIN b ON a.conv_id = b.conv_id"""
+
+
+for _family in op.BRIDGED:
+    _register_bridge(_family)
