@@ -218,7 +218,7 @@ def bridge_eligibility(previous: DataFrame, new: DataFrame, retention: str) -> D
 
 
 #: Formats whose assistant turns end in a token of their own. In the others the next message's marker ends them.
-BRIDGED = ("qwen3", "qwen3.5", "deepseek-v3", "deepseek-r1", "kimi-k2", "llama-3", "minimax-m2")
+BRIDGED = ("qwen3", "qwen3.5", "qwen3.6", "deepseek-v3", "deepseek-r1", "kimi-k2", "llama-3", "minimax-m2")
 
 
 def bridge_extension(new: DataFrame, family: str) -> DataFrame:

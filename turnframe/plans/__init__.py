@@ -158,14 +158,18 @@ def _qwen3_assistant() -> Column:
     return F.concat(F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False)), _said(body)), calls, F.array(_mark("<|im_end|>"), text(_me(), ("\n", False))))
 
 
-def _qwen35_assistant() -> Column:
+def _qwen36_assistant() -> Column:
+    return _qwen35_assistant(python_words=False)
+
+
+def _qwen35_assistant(python_words: bool = True) -> Column:
     query = F.coalesce("last_query", "last_idx")
     body = strip(F.col("body"))
     think = F.array(special("<think>", _me(), True), text(_me(), (F.concat(F.lit("\n"), strip(F.col("reasoning")), F.lit("\n")), True), sampled=True), special("</think>", _me(), True), text(_me(), (F.concat(F.lit("\n\n"), body), True), sampled=True))
     inner = F.when(F.col("msg_idx") > query, think).otherwise(F.array(text(_me(), (body, True), sampled=True)))
 
     def call(c: Column, i: Column) -> Column:
-        given = F.transform(argument_texts(c["arguments"], python_words=True), lambda a: F.concat(F.lit("<parameter="), a["k"], F.lit(">\n"), a["v"], F.lit("\n</parameter>\n")))
+        given = F.transform(argument_texts(c["arguments"], python_words), lambda a: F.concat(F.lit("<parameter="), a["k"], F.lit(">\n"), a["v"], F.lit("\n</parameter>\n")))
         lead = F.when(i > 0, "\n").when(body != "", "\n\n").otherwise("")
         return F.array(_said(lead), _mark("<tool_call>"), _said("\n<function=", c["name"], ">\n", F.array_join(given, ""), "</function>\n"), _mark("</tool_call>"))
 
@@ -173,8 +177,9 @@ def _qwen35_assistant() -> Column:
     return F.concat(F.array(special("<|im_start|>", _me()), text(_me(), ("assistant\n", False))), inner, F.array(special("<|im_end|>", _me(), True), text(_me(), ("\n", False))))
 
 
-def _glm(newline: str) -> Callable[[], Column]:
-    """A role marker after an assistant ends that assistant's turn: the model samples it."""
+def _glm(newline: str, empty_think: bool = False) -> Callable[[], Column]:
+    """A role marker after an assistant ends that assistant's turn: the model samples it. With empty_think an assistant
+    after the last user that did not reason has an empty block."""
 
     def message() -> Column:
         me, role = _me(), F.col("role")
@@ -197,6 +202,7 @@ def _glm(newline: str) -> Callable[[], Column]:
             inner = F.when(shown, F.array(special("<think>", me, True), thought, special("</think>", me, True))).otherwise(F.array(special("<think>", me, True), special("</think>", me, True)))
             head = F.array(special("<|assistant|>", me), text(me, (newline, False)))
         else:
+            shown = (F.col("msg_idx") > F.col("last_user")) if empty_think else shown
             inner = F.when(shown, F.array(special("<think>", me), thought, special("</think>", me, True))).otherwise(F.array(special("</think>", me)))
             head = F.array(special("<|assistant|>", me))
         result = text(me, (f"{newline}<tool_response>{newline}", False), (F.col("content"), True), (f"{newline}</tool_response>", False))
@@ -313,6 +319,8 @@ FAMILIES: dict[str, Family] = {
         Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
         Family("glm-4.5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("\n"), _prompt(("S", "<|assistant|>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("glm-5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm(""), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
+        Family("qwen3.6", _none, _chatml(_qwen36_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
+        Family("glm-5.1", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("", empty_think=True), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("deepseek-v3", _prompt(("S", BOS_V3)), _deepseek(False), _deepseek_prompt(), (EOS_V3,), "all", roles=WITH_TOOLS),
         Family("deepseek-r1", _prompt(("S", BOS_V3)), _deepseek(True), _deepseek_prompt(("T", "<think>\n")), (EOS_V3,), "template", roles=WITH_TOOLS),
         Family("kimi-k2", _kimi_begin, _kimi, _prompt(("S", "<|im_assistant|>"), ("T", "assistant"), ("S", "<|im_middle|>")), ("<|im_end|>",), "all", roles=WITH_TOOLS),

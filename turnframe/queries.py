@@ -72,6 +72,8 @@ _FORMATS = {
         f"CASE WHEN first_role <> 'system' THEN ']~!b[]~b]system' || {_N} || 'You are a helpful assistant. Your name is MiniMax-M2.5 and is built by MiniMax.[e~[' || {_N} ELSE '' END", f"']~b]ai' || {_N} || '<think>' || {_N}",
     ),
 }
+_FORMATS["qwen3.6"] = _FORMATS["qwen3.5"]
+_FORMATS["glm-5.1"] = (_FORMATS["glm-5"][0].replace("AND reasoning <> ''", ""), *_FORMATS["glm-5"][1:])
 
 
 def _register_render(family: str) -> None:
@@ -369,6 +371,8 @@ _TOOL_TEXT = {
 }
 
 
+_TOOL_TEXT |= {"qwen3.6": _TOOL_TEXT["qwen3.5"], "glm-5.1": _TOOL_TEXT["glm-5"]}
+
 # Calls that assistants make: none, one or two by (conv_id + turn) % 3; llama-3 takes one at most. Of each format: where in its SQL
 # the calls come, what is before the first and between two, what wraps them all, and one call as text.
 _ARGS = '{"q": "a, b", "n": 3, "deep": {"x": [1, 2], "y": "c:d"}, "on": true, "off": null}'
@@ -388,6 +392,8 @@ _CALL_TEXT = {
     "llama-3": ("", "", "", "", "", f'{{"name": "look", "parameters": {_ARGS}}}'),
     "minimax-m2": ("|| '[e~['", _N, "", "<minimax:tool_call>\n", "</minimax:tool_call>", _INVOKE),
 }
+_CALL_TEXT["glm-5.1"] = _CALL_TEXT["glm-5"]
+_CALL_TEXT["qwen3.6"] = tuple(x.replace("\nTrue\n", "\ntrue\n").replace("\nNone\n", "\nnull\n") for x in _CALL_TEXT["qwen3.5"])
 
 
 def with_calls(messages: DataFrame, most: int) -> DataFrame:
@@ -447,7 +453,7 @@ def bridge_eligibility(spark, sf_dir):
 
 
 # What a bridge puts after the close of an assistant turn, and whether its ids are those of a whole new render.
-_AFTER_CLOSE = {"qwen3": (_N, False), "qwen3.5": (_N, False), "deepseek-v3": ("''", True), "deepseek-r1": ("''", False), "kimi-k2": ("''", True), "llama-3": ("''", True), "minimax-m2": (_N, False)}
+_AFTER_CLOSE = {"qwen3": (_N, False), "qwen3.5": (_N, False), "qwen3.6": (_N, False), "deepseek-v3": ("''", True), "deepseek-r1": ("''", False), "kimi-k2": ("''", True), "llama-3": ("''", True), "minimax-m2": (_N, False)}
 
 
 def _register_bridge(family: str) -> None:
