@@ -30,14 +30,16 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame) -> DataFrame:
-    """heads with refers_to: the smallest page_id of an equal payload of MIN_PAYLOAD bytes or more, null for that page itself.
+    """heads with refers_to and refers_uri: the smallest page_id of an equal payload of MIN_PAYLOAD bytes or more and its url
+    (of repeated rows the smallest), null for that page itself.
 
     The smallest id per digest is a grouped minimum (summed before the shuffle); only digests that recur are joined back,
     and adaptive execution splits a digest that many pages share.
     """
-    firsts = heads.where(f"payload_bytes >= {MIN_PAYLOAD}").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = heads.where(f"payload_bytes >= {MIN_PAYLOAD}").groupBy("payload_digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     joined = heads.join(firsts, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id", "copies")
+    later = F.col("page_id") > F.col("first.page_id")
+    return joined.withColumns({"refers_to": F.when(later, F.col("first.page_id")), "refers_uri": F.when(later, F.col("first.url"))}).drop("first", "copies")
 
 
 def _uri(url: Column, page_id: Column) -> Column:
@@ -48,21 +50,26 @@ def _uri(url: Column, page_id: Column) -> Column:
     return F.coalesce(clean, F.concat(F.lit("urn:page:"), page_id.cast("string")))
 
 
-def record(page_id: Column, url: Column, digest: Column, refers_to: Column, payload: Column, payload_bytes: Column) -> Column:
-    """One WARC record without its final separator. A revisit carries no payload, only the digest, length and origin."""
+def record(page_id: Column, url: Column, digest: Column, refers_to: Column, refers_uri: Column, payload: Column, payload_bytes: Column) -> Column:
+    """One WARC record without its final separator: an HTTP response, dated when it is written. A revisit's response ends
+    after its header; the digest, length and origin stand for the payload."""
     revisit = refers_to.isNotNull()
-    body = F.when(revisit, "").otherwise(payload)
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), payload_bytes.cast("string"), F.lit(CRLF + CRLF))
+    body = F.concat(http, F.when(revisit, "").otherwise(payload))
+    now = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">")),
-        F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
+        F.concat(F.lit("WARC-Date: "), now),
         F.concat(F.lit("WARC-Target-URI: "), _uri(url, page_id)),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
         F.concat(F.lit("WARC-Payload-Length: "), payload_bytes.cast("string")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(">"))),
-        F.lit("Content-Type: text/html; charset=utf-8"),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), _uri(refers_uri, refers_to))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Date: "), now)),
+        F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
@@ -73,10 +80,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
     size = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     files = max(1, -(-((size[0] or 0) + 400 * size[1]) // ARCHIVE_BYTES))
     key = ["page_id", "payload_digest"]
-    resolved = resolve(headers(pages)).select(*key, "payload_bytes", "refers_to").distinct().repartition(files, *key)
+    resolved = resolve(headers(pages)).select(*key, "payload_bytes", "refers_to", "refers_uri").distinct().repartition(files, *key)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest")).repartition(files, *key).join(resolved, key)
-    records = rows.select(record(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("refers_to"), F.col("html"), F.col("payload_bytes")).alias("value"))
+    records = rows.select(record(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("refers_to"), F.col("refers_uri"), F.col("html"), F.col("payload_bytes")).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
@@ -107,6 +114,10 @@ def _parse(content: bytes) -> Iterator[tuple]:
             raise ValueError("a record is cut short")
         at += 4
         page, kind, digest = int(re.search(rb"page:(-?\d+)", head[b"WARC-Record-ID"])[1]), head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
+        start = bytes(body[:4096]).find(b"\r\n\r\n") + 4
+        if start < 4:
+            raise ValueError(f"page {page}: its HTTP header does not end")
+        body = body[start:]
         if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
             raise ValueError(f"page {page}: the payload is not that of its digest")
         refers = int(re.search(rb"page:(-?\d+)", head[b"WARC-Refers-To"])[1]) if kind == "revisit" else None
