@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm import decontaminate, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
+from turnframe.llm import decontaminate, merkle, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, _table(spark, sf_dir, "documents")).drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, op13_merkle_manifest, pipeline)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -72,4 +76,50 @@ ORACLE_SQL = {
                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE row_text AS (
+            SELECT doc_id, source, text, lang, n_chars,
+                   CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+            FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ord(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS crc FROM documents)),
+        part AS (
+            SELECT doc_id, source, text, changed,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+            FROM row_text),
+        leaf AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS changed FROM part),
+        place AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size,
+                   dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp
+            FROM leaf),
+        inner_tree AS (
+            SELECT grp, 0 AS lvl, idx, size, leaf AS h FROM place
+            UNION ALL
+            SELECT grp, lvl + 1, idx // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM inner_tree WHERE size > 1 GROUP BY ALL),
+        subroot AS (SELECT grp, h FROM inner_tree WHERE size = 1),
+        outer_tree AS (
+            SELECT 0 AS lvl, grp AS idx, (SELECT count(*) FROM subroot) AS size, h FROM subroot
+            UNION ALL
+            SELECT lvl + 1, idx // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM outer_tree WHERE size > 1 GROUP BY ALL),
+        sibling AS (
+            SELECT p.grp, p.idx, t.lvl, t.idx AS pos, t.h, p.idx // (16 ** t.lvl)::BIGINT AS own FROM place p JOIN inner_tree t
+            ON t.grp = p.grp AND t.idx // 16 = p.idx // (16 ** (t.lvl + 1))::BIGINT AND t.size > 1
+            UNION ALL
+            SELECT p.grp, p.idx, 100 + t.lvl, t.idx, t.h, p.grp // (16 ** t.lvl)::BIGINT FROM place p JOIN outer_tree t
+            ON t.idx // 16 = p.grp // (16 ** (t.lvl + 1))::BIGINT AND t.size > 1),
+        step AS (
+            SELECT grp, idx, row_number() OVER (PARTITION BY grp, idx ORDER BY lvl) AS k,
+                   coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < own), '') AS before, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > own), '') AS after
+            FROM sibling GROUP BY grp, idx, lvl),
+        proof AS (SELECT grp, idx, string_agg(before || after, '' ORDER BY k) AS proof FROM step GROUP BY ALL),
+        fold AS (
+            SELECT grp, idx, 0 AS k, changed AS h FROM place
+            UNION ALL
+            SELECT f.grp, f.idx, s.k, sha256(s.before || f.h || s.after) FROM fold f JOIN step s ON s.grp = f.grp AND s.idx = f.idx AND s.k = f.k + 1),
+        folded AS (SELECT grp, idx, arg_max(h, k) AS h FROM fold GROUP BY ALL)
+        SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(x.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+        FROM place p JOIN subroot s USING (grp) JOIN folded f ON f.grp = p.grp AND f.idx = p.idx LEFT JOIN proof x ON x.grp = p.grp AND x.idx = p.idx
+        CROSS JOIN (SELECT h FROM outer_tree WHERE size = 1) r""",
 }
