@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm import decontaminate, merkle, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
+from turnframe.llm import decontaminate, divergence, merkle, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, _table(spark, sf_dir, "documents")).drop("source")
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, op13_merkle_manifest, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, op12_source_divergence, op13_merkle_manifest, pipeline)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -76,6 +80,26 @@ ORACLE_SQL = {
                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        found AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+        n AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        every AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN n USING (lang, source, term)),
+        p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // sum(n + 1) OVER (PARTITION BY lang, source) AS p FROM every),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // sum(n + 1) OVER (PARTITION BY lang) AS q FROM (SELECT lang, term, sum(n) AS n FROM every GROUP BY ALL)),
+        term AS (
+            SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, term) AS rank
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q QUALIFY rank <= 200),
+        summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+                 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM term
+        UNION ALL SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair""",
     "op13_merkle_manifest": """
         WITH RECURSIVE row_text AS (
             SELECT doc_id, source, text, lang, n_chars,
