@@ -18,7 +18,7 @@ FAN = 16
 #: Levels that a bucket makes on its own.
 INNER = 3
 #: Buckets that one DuckDB query takes together, about.
-BLOCK = 4
+BLOCK = 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
