@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnframe.llm import decontaminate, divergence, merkle, packing, quality, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
+from turnframe.llm import decontaminate, divergence, merkle, packing, quality, setsketch, simhash, substrings, suffixarray, suffixtree, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, _table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, op12_source_divergence, op13_merkle_manifest, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_suffix_array_dedup, op4_warc, op5_simhash, op6_lm_scoring, op7_url_filters, op8_quality_rules, op9_best_fit_packing, op10_decontamination, op11_setsketch, op12_source_divergence, op13_merkle_manifest, pipeline)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -80,6 +84,15 @@ ORACLE_SQL = {
                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op11_setsketch": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')))) AS shingle FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+        reach AS (SELECT doc_id, doc_id AS node FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.node),
+        found AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.component_id, w.doc_id = f.component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN found f USING (doc_id)""",
     "op12_source_divergence": r"""
         WITH d AS (
             SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
