@@ -88,8 +88,8 @@ ORACLE_SQL = {
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')))) AS shingle FROM w WHERE len(w) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-        link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
         reach AS (SELECT doc_id, doc_id AS node FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.node),
         found AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY 1)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.component_id, w.doc_id = f.component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN found f USING (doc_id)""",
