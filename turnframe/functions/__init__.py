@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of letters, single digits, line breaks, other white space, and any other character: lossless, in one pass.
 PIECE = r"\p{L}+|[0-9]|\n+|[ \t\r]+|[^\p{L}0-9\s]|(?s:.)"
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row, however often later expressions name them: a generator of one element stands between, which is not merged with these."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode_outer(F.array(column)).alias(name))
+    return df
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end, as Unicode has it."""
     return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def rstrip(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", "")
+
+
 def strip_newlines(x: Column) -> Column:
     return F.regexp_replace(x, r"^\n+|\n+$", "")
 
@@ -106,8 +117,16 @@ def json_object(keys: str, values: Column) -> Column:
 
 
 def spaced_json(text: Column) -> Column:
-    """Compact JSON with a space after each comma and colon outside strings."""
-    return F.regexp_replace(text, r'\G((?:[^",:]|"(?:[^"\\]|\\.)*")*)([,:])', "$1$2 ")
+    """Compact JSON with a space after each comma and colon outside strings. The loops are possessive, so that strings of any length cost no stack."""
+    return F.regexp_replace(text, r'\G((?:[^",:]++|"(?:[^"\\]++|\\.)*+")*+)([,:])', "$1$2 ")
+
+
+def json_member(text: Column, key: str) -> Column:
+    """JSON text of a member of a JSON object; null where the text is no object or has no such member. Numbers keep their digits; a member that recurs counts as it came last."""
+    value = F.try_element_at(F.from_json(text, "map<string,string>"), F.lit(key))
+    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(text), f"$.{key}", "variant"))
+    has = F.array_contains(F.map_keys(F.from_json(text, "map<string,string>")), key)
+    return F.when(has, F.when(kind == "STRING", quoted(value)).otherwise(F.coalesce(value, F.lit("null"))))
 
 
 def argument_texts(arguments: Column, python_words: bool = False) -> Column:

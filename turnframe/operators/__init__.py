@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnframe.functions import common_prefix, is_json, pieces, quoted, token_id, trim_to_turn_close
+from turnframe.functions import common_prefix, pieces, token_id, trim_to_turn_close
+from turnframe.operators.responses import parse_glm, parse_hermes, parse_llama  # noqa: F401
 from turnframe.plans import FAMILIES, is_user_query, segments
 
 
@@ -93,54 +94,6 @@ def tool_names(calls: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("tool_name", F.coalesce(F.nullif("name", F.lit("")), "tool_name"))
 
 
-def parse_llama(completions: DataFrame) -> DataFrame:
-    """(id, content, name, arguments) of completion texts: after the last role header, a text that is one JSON object with a
-    name is a call, whose arguments are its parameters, else its arguments, else none; any other text is content."""
-    body = F.trim(F.regexp_replace(F.substring_index("text", "<|end_header_id|>", -1), r"^\s+|\s+$", ""))
-    shaped = completions.select("id", body.alias("body")).withColumn("name", F.when(F.col("body").startswith("{") & F.col("body").endswith("}") & is_json(F.col("body")), F.nullif(F.get_json_object("body", "$.name"), F.lit(""))))
-    called = F.col("name").isNotNull()
-    arguments = F.coalesce(F.get_json_object("body", "$.parameters"), F.get_json_object("body", "$.arguments"), F.lit("{}"))
-    return shaped.select("id", F.when(called, "").otherwise(F.col("body")).alias("content"), "name", F.when(called, arguments).alias("arguments"))
-
-
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-def parse_glm(completions: DataFrame, tools: DataFrame | None = None, params: DataFrame | None = None) -> DataFrame:
-    """Tool calls of completion texts in <tool_call> blocks of argument keys and values: (id, call_idx, name, arguments, status).
-
-    params (name, key, type): values of type string stay as they are, others are JSON, or strings where they are none.
-    arguments is JSON text in the order of the keys' last occurrences. status, the first that applies: unclosed,
-    missing_name, unknown_tool (when tools(name) is given), malformed (a key or value without its end), invalid_json (a
-    value that is neither of type string nor JSON), ok.
-    """
-    parts = F.split("text", "<tool_call>")
-    blocks = completions.select("id", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("call_idx", "raw"))
-    pair = r"(?s)<arg_key>(.*?)</arg_key>.*?<arg_value>(.*?)</arg_value>"
-    inner = F.substring_index("raw", "</tool_call>", 1)
-    read = blocks.withColumns({"closed": F.instr("raw", "</tool_call>") > 0, "inner": inner})
-    read = read.withColumns({
-        "name": F.nullif(_trimmed(F.substring_index("inner", "<arg_key>", 1)), F.lit("")),
-        "keys": F.transform(F.regexp_extract_all("inner", F.lit(pair), F.lit(1)), _trimmed), "values": F.transform(F.regexp_extract_all("inner", F.lit(pair), F.lit(2)), _trimmed),
-        "broken": F.instr(F.regexp_replace("inner", pair, ""), "<arg_key>") > 0,
-    })
-    types = F.lit(None).cast("map<string,string>")
-    if params is not None:
-        typed = params.groupBy("name").agg(F.map_from_entries(F.collect_set(F.struct("key", "type"))).alias("types"))
-        read, types = read.join(typed, "name", "left"), F.col("types")
-    if tools is not None:
-        read = read.join(tools.select("name", F.lit(True).alias("known")).distinct(), "name", "left")
-    listed = F.zip_with("keys", "values", lambda k, v: F.struct(k.alias("k"), v.alias("v"), F.coalesce(types[k] == "string", F.lit(False)).alias("s")))
-    last = F.filter(listed, lambda x, i: ~F.array_contains(F.slice("keys", i + 2, F.size("keys")), x["k"]))
-    json = lambda x: F.when(x["s"] | ~is_json(x["v"]), quoted(x["v"])).otherwise(x["v"])
-    arguments = F.concat(F.lit("{"), F.array_join(F.transform(last, lambda x: F.concat(quoted(x["k"]), F.lit(":"), json(x))), ","), F.lit("}"))
-    fell = F.exists(listed, lambda x: ~x["s"] & ~is_json(x["v"]))
-    unknown = ~F.coalesce("known", F.lit(False)) if tools is not None else F.lit(False)
-    status = F.when(~F.col("closed"), "unclosed").when(F.col("name").isNull(), "missing_name").when(unknown, "unknown_tool").when(F.col("broken"), "malformed").when(fell, "invalid_json").otherwise("ok")
-    return read.select("id", "call_idx", F.when(F.col("closed"), F.col("name")).alias("name"), F.when(F.col("closed"), arguments).alias("arguments"), status.alias("status"))
-
-
 def promoted_finish_reason(responses: DataFrame, calls: DataFrame) -> DataFrame:
     """responses (id, finish_reason, ...) with finish_reason tool_calls in place of stop where a call (id, status) is ok."""
     called = calls.where("status = 'ok'").select("id", F.lit(True).alias("called")).distinct()
@@ -176,22 +129,6 @@ def media_keys(media: DataFrame) -> DataFrame:
     return keyed.join(firsts, "key")
 
 
-def parse_hermes(completions: DataFrame, tools: DataFrame | None = None) -> DataFrame:
-    """Tool calls of completion texts in <tool_call> blocks: (id, call_idx, name, arguments, status), every attempt kept.
-
-    status: unclosed, invalid_json, missing_name, unknown_tool (when tools(name) is given) or ok.
-    """
-    parts = completions.select("id", F.posexplode(F.slice(F.split("text", "<tool_call>"), F.lit(2), F.size(F.split("text", "<tool_call>")))).alias("call_idx", "raw"))
-    closed = F.instr("raw", "</tool_call>") > 0
-    inner = F.trim(F.regexp_replace(F.substring_index("raw", "</tool_call>", 1), "^\\s+|\\s+$", ""))
-    parsed = parts.withColumns({"closed": closed, "inner": inner}).withColumns({"ok": is_json(F.col("inner")), "name": F.get_json_object("inner", "$.name"), "arguments": F.get_json_object("inner", "$.arguments")})
-    if tools is not None:
-        parsed = parsed.join(tools.select("name", F.lit(True).alias("known")).distinct(), "name", "left")
-    unknown = F.coalesce(~F.coalesce("known", F.lit(False)), F.lit(False)) if tools is not None else F.lit(False)
-    status = F.when(~F.col("closed"), "unclosed").when(~F.col("ok"), "invalid_json").when(F.col("name").isNull(), "missing_name").when(unknown, "unknown_tool").otherwise("ok")
-    return parsed.select("id", "call_idx", F.when(F.col("closed") & F.col("ok"), F.col("name")).alias("name"), F.when(F.col("closed") & F.col("ok"), F.col("arguments")).alias("arguments"), status.alias("status"))
-
-
 def sampler_head(candidates: DataFrame, k: int) -> DataFrame:
     """Of each position's candidates (resp_id, pos, token_id, logprob) the k most likely, without any that ties with the next."""
     w = Window.partitionBy("resp_id", "pos").orderBy(F.desc("logprob"), "token_id")
