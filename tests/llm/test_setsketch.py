@@ -117,13 +117,24 @@ def test_pairs_far_from_the_threshold_are_left():
     assert not any(judge(500, 250, 250) for _ in range(40)) and not judge(800, 0, 200)
 
 
-def test_a_cell_gives_the_rest_later():
-    """A text with more likely partners than the quota gives the best first and says so."""
+def test_a_cell_joins_what_its_links_join():
+    """Two blocks of a chain of copies: links between them, verified, and no more than join the components."""
     rnd = random.Random(4)
-    base = [rnd.getrandbits(64) for _ in range(400)]
-    rows = [sketch(base[k:] + [rnd.getrandbits(64) for _ in range(k)]).tobytes() for k in range(10)]
-    key = int(setsketch.bands(np.frombuffer(rows[0], np.uint16).reshape(1, -1))[0, 0])
-    table = pa.table({"block": [0] * 10, "id": list(range(10)), "component": list(range(10)), "n": [400] * 10, "registers": rows})
-    few, all_ = (setsketch.compare_cell(table, 0, 0, key, q).to_pydict() for q in (2, 100))
-    assert key in few["key"] and key not in all_["key"]
-    assert {(a, b) for a, b in zip(few["a"], few["b"])} - {(None, None)} < set(zip(all_["a"], all_["b"]))
+    values = sorted(rnd.getrandbits(64) for _ in range(500))
+    sets = [np.array(values[k * 10 : k * 10 + 400], np.uint64) for k in range(10)]
+    rows = [sketch(x.tolist()) for x in sets]
+    keys = setsketch.bands(np.array(rows))
+    table = {"block": [k % 2 for k in range(10)], "id": list(range(10)), "component": list(range(10)), "n": [400] * 10, "registers": [x.tobytes() for x in rows], "shingles": [x.tobytes() for x in sets]}
+    found = set()
+    for key in {int(x) for x in keys.ravel()}:
+        here = [k for k in range(10) if key in keys[k]]
+        part = pa.table({c: [v[k] for k in here] for c, v in table.items()})
+        for left, right in ((0, 0), (0, 1), (1, 1)):
+            got = list(zip(*setsketch.compare_cell(part, left, right, key).to_pydict().values()))
+            assert len(got) < max(len(here), 1)
+            found |= set(got)
+    assert all(abs(a - b) <= 3 for a, b in found)
+    reach = {0}
+    while more := {y for p in found for x, y in (p, p[::-1]) if x in reach} - reach:
+        reach |= more
+    assert reach == set(range(10))

@@ -30,10 +30,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 #: A pair is left if its greatest log likelihood exceeds the one at LINK by this: six standard deviations.
 UNLIKELY = 18.0
-#: A band's texts are compared in cells of about this many.
-CELL = 2048
-#: Pairs of a text that a cell gives at once; the next round gives QUOTA times as many where there are more.
-QUOTA = 8
+#: A band's texts are compared in cells of about this many, and this many pairs at a time.
+CELL = 1024
+PAIRS = 20_000
 
 _FACTORS = np.array([xxhash.xxh64_intdigest(j.to_bytes(2), 11) | 1 for j in range(REGISTERS)], np.uint64)
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("registers", pa.binary())])
@@ -117,14 +116,14 @@ def plausible(n1: np.ndarray, n2: np.ndarray, more: np.ndarray, less: np.ndarray
 
 
 def _estimate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n, m, x, y) -> (a, b, same) of the pairs that may be links."""
+    """(a, b, n, n of b, x, y, m) -> (a, b, same, m) of the pairs that may be links."""
     for batch in it:
         for at in range(0, batch.num_rows, 2000):
             b = batch.slice(at, 2000)
             x, y = _matrix(b.column(4)), _matrix(b.column(5))
             same, more = (x == y).sum(1), (x > y).sum(1)
             keep = plausible(b.column(2).to_numpy(), b.column(3).to_numpy(), more, REGISTERS - same - more, same)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], names=["a", "b", "same"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64()), b.column(6)], names=["a", "b", "same", "m"]).filter(pa.array(keep))
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,50 +144,76 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingles(spark: SparkSession, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets of the documents wanted (id)."""
+    return materialize(spark, texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
+
+
 def _verify(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids that are links by their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = _shingles(spark, texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return materialize(spark, met.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long").distinct(), "links")
 
 
-_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+def _candidates(x: np.ndarray, y: np.ndarray, one: bool, comp: np.ndarray, n: np.ndarray, keys: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs of a cell, many at a time: of different components, of sizes that can be a link, and met first under this band."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for at, i in enumerate(x.tolist()):
+        j = y[at + 1 :] if one else y
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= LINK * np.maximum(n[j], n[i]))]
+        j = j[keys[i][(keys[j] == keys[i]).argmax(1)] == key]
+        if len(j):
+            held.append((np.full(len(j), i), j))
+            size += len(j)
+        if size >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
-def compare_cell(table: pa.Table, left: int, right: int, key: int, quota: int) -> pa.Table:
-    """Pairs of one cell of a band that may be links and are of different components, of each text the quota most alike; and a row with the key alone if there are more.
+def compare_cell(table: pa.Table, left: int, right: int, key: int) -> pa.Table:
+    """(a, b) links between texts of one cell, of all its texts where its two blocks are one: a forest that joins whatever they join.
 
-    A pair that meets under several bands is given under the first.
+    Pairs that the registers leave plausible are verified, the most alike first, unless links found before join their components.
     """
     block, ids, comp, n = (table.column(c).to_numpy() for c in ("block", "id", "component", "n"))
-    rows, keys = (lambda m: (m, bands(m)))(_matrix(table.column("registers")))
-    x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    out_a, out_b, more_left = [], [], False
-    for i in x.tolist():
-        j = y[ids[y] > ids[i]] if left == right else y
-        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= LINK * np.maximum(n[j], n[i]))]
-        if not len(j):
-            continue
-        same, more = (rows[j] == rows[i]).sum(1), (rows[i] > rows[j]).sum(1)
-        keep = plausible(np.full(len(j), n[i]), n[j], more, REGISTERS - same - more, same)
-        j, same = j[keep], same[keep]
-        if not len(j):
-            continue
-        agree = keys[j] == keys[i]
-        mine = keys[i][agree.argmax(1)] == key
-        j, same = j[mine], same[mine]
-        if len(j) > quota:
-            j, more_left = j[np.lexsort((ids[j], -same))[:quota]], True
-        out_a.append(np.minimum(ids[j], ids[i]))
-        out_b.append(np.maximum(ids[j], ids[i]))
-    a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (out_a, out_b))
-    found = pa.table({"a": a, "b": b, "key": pa.nulls(len(a), pa.int64())}, schema=_CELL)
-    return pa.concat_tables([found, pa.table({"a": [None], "b": [None], "key": [key]}, schema=_CELL)]) if more_left else found
-
-
-def _compare_cells(quota: int):
-    return lambda key, table: compare_cell(table, key[1].as_py(), key[2].as_py(), key[0].as_py(), quota)
+    rows, sets = _matrix(table.column("registers")), table.column("shingles")
+    keys, x, y = bands(rows), np.flatnonzero(block == left), np.flatnonzero(block == right)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    opened: dict[int, np.ndarray] = {}
+
+    def whole(k: int) -> np.ndarray:
+        if k not in opened:
+            opened[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+        return opened[k]
+
+    out = []
+    for i, j in _candidates(x, y, left == right, comp, n, keys, key):
+        same, more = (rows[i] == rows[j]).sum(1), (rows[i] > rows[j]).sum(1)
+        keep = np.flatnonzero(plausible(n[i], n[j], more, REGISTERS - same - more, same))
+        for k in keep[np.argsort(-same[keep], kind="stable")].tolist():
+            p, q = root(int(comp[i[k]])), root(int(comp[j[k]]))
+            if p != q:
+                s, t = whole(int(i[k])), whole(int(j[k]))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= LINK * (len(s) + len(t) - both):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(ids[i[k]]), int(ids[j[k]])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _compare_cells(key: tuple, table: pa.Table) -> pa.Table:
+    return compare_cell(table, key[1].as_py(), key[2].as_py(), key[0].as_py())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -196,8 +221,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Equal sets are one from the start. Under each band a text is first compared with the least id there, so that large
     groups of copies become one component with a pair a text. Where a band's texts are still of several components, all
-    of these are compared with each other, in cells; of a cell each text hands on its most likely pairs, and more in
-    further rounds until none is left. A pair at LINK that meets under no band is missed, with a probability of 6e-9.
+    pairs between these are judged, in cells that bring the sets along; what a cell gives is links that join components.
+    A pair at LINK that meets under no band is missed, with a probability of 6e-9.
 
     A null, empty or wordless text has no shingles and is linked with nothing; a text of fewer than five words has one
     shingle, all its words. A row without doc_id links nothing, has a null component and is not kept. Rows that repeat a
@@ -215,37 +240,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = met.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("m")).where("m > 1")
     stars = materialize(spark, met.join(firsts, "key").where("id <> f.id").select("key", "m", F.col("f.id").alias("a"), F.col("id").alias("b"), F.col("f.n").alias("n"), F.col("n").alias("m_b")), "stars")
     side = lambda c, r: reps.select(F.col("id").alias(c), F.col("registers").alias(r))
-    sized = stars.where(100 * F.least("n", "m_b") >= LINK * F.greatest("n", "m_b")).select("a", "b", "n", "m_b").distinct()
-    likely = materialize(spark, sized.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "n", "m_b", "x", "y").mapInArrow(_estimate, "a long, b long, same long"), "likely")
+    sized = stars.where(100 * F.least("n", "m_b") >= LINK * F.greatest("n", "m_b")).groupBy("a", "b", "n", "m_b").agg(F.max("m").alias("m"))
+    likely = sized.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "n", "m_b", "x", "y", "m")
+    likely = materialize(spark, likely.mapInArrow(_estimate, "a long, b long, same long, m long"), "likely")
     chosen = likely.groupBy("b").agg(F.max(F.struct("same", F.negative("a").alias("less"))).alias("best")).select(F.negative("best.less").alias("a"), "b")
-    tested = materialize(spark, chosen, "tested")
-    edges = materialize(spark, _verify(spark, texts, tested).union(edges), "edges")
-    quota = QUOTA
-    while True:
-        groups = materialize(spark, connected_components(spark, edges), "groups")
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-        placed = lambda df, c: df.join(of(c), c, "left").withColumn(f"{c}_component", F.coalesce(f"{c}_component", c))
-        apart = lambda df: placed(placed(df, "a"), "b").where("a_component <> b_component")
-        if quota == QUOTA:
-            # keys of two texts have been judged by their star
-            open_keys = materialize(spark, apart(stars.where("m > 2")).select("key", "m").distinct(), "open")
-        members = stars.join(open_keys.select("key"), "key", "left_semi")
-        members = members.select("key", "m", F.explode(F.array("a", "b")).alias("id")).distinct()
-        dealt = placed(members, "id").join(reps.select("id", "n", "registers"), "id").select("key", "id", "n", "registers", F.col("id_component").alias("component"), F.ceil(F.col("m") / CELL).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        cells = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "n", "component", "registers")
-        found = materialize(spark, cells.groupBy("key", "left", "right").applyInArrow(_compare_cells(quota), "a long, b long, key long"), "cells")
-        new = found.where("key is null").select("a", "b")
-        if quota == QUOTA:
-            new = new.union(apart(likely).select("a", "b"))
-        new = materialize(spark, new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        open_keys = found.where("key is not null").select("key").distinct()
-        if not new.isEmpty():
-            links = _verify(spark, texts, new)
-            edges, tested = materialize(spark, edges.union(links), "edges"), materialize(spark, tested.union(new), "tested")
-        if open_keys.isEmpty():
-            break
-        quota *= QUOTA
+    chosen = materialize(spark, chosen, "chosen")
+    edges = materialize(spark, _verify(spark, texts, chosen).union(edges), "edges")
+    groups = materialize(spark, connected_components(spark, edges), "groups")
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    placed = lambda df, c: df.join(of(c), c, "left").withColumn(f"{c}_component", F.coalesce(f"{c}_component", c))
+    apart = lambda df: placed(placed(df, "a"), "b").where("a_component <> b_component")
+    # of a band with two texts, the star was the only pair; others are gone through
+    rest = apart(likely.where("m = 2")).select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    found = [_verify(spark, texts, materialize(spark, rest, "rest"))]
+    mixed = apart(stars.where("m > 2")).select("key").distinct()
+    members = stars.join(mixed, "key", "left_semi").select("key", "m", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = materialize(spark, members, "members")
+    whole = placed(_shingles(spark, texts, members.select("id").distinct()), "id").join(reps.select("id", "n", "registers"), "id")
+    dealt = members.join(whole, "id").select("key", "id", "n", "registers", "shingles", F.col("id_component").alias("component"), F.ceil(F.col("m") / CELL).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "n", "component", "registers", "shingles")
+    found.append(cells.groupBy("key", "left", "right").applyInArrow(_compare_cells, "a long, b long"))
+    edges = materialize(spark, edges.union(found[0]).union(found[1]), "edges")
     groups = connected_components(spark, edges)
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*alike, F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", *alike).join(named, alike, "left")
