@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe import operators as op
+from turnframe import bpe_queries
 from turnframe import response_queries  # noqa: F401  registers its queries
 from turnframe.functions import coerce_argument, pieces, think_split, token_id
 from turnframe.plans import FAMILIES, facts
@@ -107,6 +108,9 @@ _TOKENS = f"""WITH {_C}, {_facts_sql('c')}, s AS (
       FROM c LEFT JOIN tok ON tok.conv_id = c.conv_id AND tok.owner = c.msg_idx GROUP BY 1, 2, 3) """
 
 
+bpe_queries.register(_TOKENS.split("WITH ", 1)[1].split(",\n    p AS (SELECT", 1)[0])
+
+
 def _qwen3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     messages = conversations(spark, sf_dir)
     return messages, op.tokens(messages, "qwen3")
