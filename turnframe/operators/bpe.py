@@ -101,7 +101,7 @@ def _content(overlap: bool) -> Column:
     start, end, lo, hi = (F.col(c) for c in ("start", "end", "content_from", "content_to"))
     first = (start >= lo) & (start < hi)
     past = (hi == F.col("size")) & (hi > lo)
-    body = F.when(start >= F.col("size"), past).when(F.lit(overlap) & (end > start), (lo < end) & (start < hi)).otherwise(first)
+    body = F.when(start >= F.col("size"), past).when(F.lit(overlap) & (end > start), (hi > lo) & (lo < end) & (start < hi)).otherwise(first)
     return F.when(start.isNull(), None).otherwise(F.col("sampled") | body)
 
 
