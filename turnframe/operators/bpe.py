@@ -8,7 +8,6 @@ that characters of several tokens are settled with work in proportion to the tex
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +35,6 @@ def inferred_offsets(decode: Callable[[list[int]], str], ids: list[int], text: s
     return out if at == len(text) and not pending else None
 
 
-@lru_cache(maxsize=4)
 def _backend(path: str, pattern: str | None, offsets: str):
     """text -> (ids, offsets or None), and special text -> id, of a tokenizer file: tokenizers' JSON, or ranks for tiktoken with the pattern that they go with."""
     if path.endswith(".tiktoken"):
