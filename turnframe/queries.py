@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe import operators as op
-from turnframe import bpe_queries, nested_queries, turn_queries  # noqa: F401
+from turnframe import bpe_queries, nested_queries, schema_queries, turn_queries  # noqa: F401
 from turnframe import response_queries  # noqa: F401  registers its queries
 from turnframe.functions import coerce_argument, pieces, think_split, token_id
 from turnframe.plans import FAMILIES, facts
@@ -329,7 +329,7 @@ def parse_glm_calls(spark, sf_dir):
     completions = events.select(F.col("event_id").alias("id"), F.concat(F.lit("Well.<tool_call>"), name, F.lit("\n"), args, F.when(kind == 1, "").otherwise("</tool_call>")).alias("text"))
     names = events.select(F.col("event_type").alias("name")).distinct()
     params = names.union(names.select(F.concat(F.lit("no_"), "name"))).select("name", F.lit("s").alias("key"), F.lit("string").alias("type"))
-    return op.parse_glm(completions, names, params)
+    return op.parse_glm(completions, names, params).drop("start", "end", "raw")
 
 
 @query("""WITH l AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
