@@ -73,6 +73,20 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(differs == 0, n.cast("bigint")).otherwise(differs - 1)
 
 
+def find_ids(ids: Column, sub: Column, last: bool = False) -> Column:
+    """Where sub begins in ids, counted from 1, for the first or the last time; null if nowhere or if sub is empty."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), lambda i: (F.get(ids, i - 1) == F.get(sub, F.lit(0))) & (F.slice(ids, i, F.size(sub)) == sub))
+    return F.get(at, F.size(at) - 1) if last else F.get(at, F.lit(0))
+
+
+def after_header(ids: Column, header: Column, breaks: Column, last: bool = False) -> Column:
+    """ids without a header at their start, or all up to its last occurrence, and without the line breaks (ids) that follow; ids that have no such header stay."""
+    at = find_ids(ids, header, True) if last else F.when(F.slice(ids, F.lit(1), F.size(header)) == header, 1)
+    rest = F.slice(ids, at + F.size(header), F.size(ids))
+    text = F.array_position(F.transform(rest, lambda i: F.array_contains(breaks, i)), False).cast("int")
+    return F.when(at.isNotNull(), F.when(text == 0, F.slice(rest, 1, 0)).otherwise(F.slice(rest, text, F.size(rest)))).otherwise(ids)
+
+
 def trim_to_turn_close(prompt: Column, completion: Column, close_ids: Column, synthesize: Column | None = None) -> Column:
     """prompt and completion up to the completion's last close id; else with synthesize appended; else null."""
     at = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.size(completion), F.lit(1))), lambda i: F.array_contains(close_ids, F.get(completion, i - 1))))

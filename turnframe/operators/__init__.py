@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnframe.functions import common_prefix, pieces, token_id, trim_to_turn_close
+from turnframe.functions import after_header, common_prefix, find_ids, held, pieces, token_id, trim_to_turn_close
 from turnframe.operators.responses import parse_glm, parse_hermes, parse_llama  # noqa: F401
 from turnframe.plans import FAMILIES, is_user_query, segments
 
@@ -174,19 +174,78 @@ def bridge_extension(new: DataFrame, family: str) -> DataFrame:
     return segment_tokens(placed.where((F.col("msg_idx") > F.col("first")) | (F.col("seg_idx") > F.col("close"))))
 
 
+#: Of each format with reasoning: the header of an assistant turn, its markers (each one token, or spelled), and what else ends a region without an end. Fixed values of the formats.
+_CHATML = (("S", "<|im_start|>"), ("T", "assistant\n"))
+_THINKING: dict[str, tuple[tuple[tuple[str, str], ...], str, tuple[tuple[str, str], ...]]] = {
+    "qwen3": (_CHATML, "T", (("S", "<tool_call>"), ("T", "<tool_call>"))), "qwen3.5": (_CHATML, "S", (("S", "<tool_call>"), ("T", "<tool_call>"))), "qwen3.6": (_CHATML, "S", (("S", "<tool_call>"), ("T", "<tool_call>"))),
+    "deepseek-v3": ((("S", "<｜Assistant｜>"),), "T", ()), "deepseek-r1": ((("S", "<｜Assistant｜>"),), "T", ()), "minimax-m2": ((("S", "]~b]"), ("T", "ai\n")), "S", (("S", "<minimax:tool_call>"),)),
+    "kimi-k2": ((("S", "<|im_assistant|>"), ("T", "assistant"), ("S", "<|im_middle|>")), "T", (("S", "<|tool_calls_section_begin|>"),)),
+}
+#: White space of more characters than this in one token counts as text before reasoning.
+_BLANK = 64
+
+
+def _ids(*parts: tuple[str, str]) -> Column:
+    return F.concat(*[F.array(token_id(F.lit(x))) if kind == "S" else F.transform(pieces(F.lit(x)), token_id) for kind, x in parts])
+
+
+def _opened(ids: Column, open_: Column, blanks: Column, prefilled: Column) -> tuple[Column, Column]:
+    """(whether ids begin with reasoning, where its text begins): at most white space precedes the marker, unless the prompt opened it."""
+    at = find_ids(ids, open_)
+    explicit = at.isNotNull() & F.forall(F.slice(ids, F.lit(1), F.greatest(at - 1, F.lit(0))), lambda i: F.array_contains(blanks, i))
+    explicit = F.coalesce(explicit, F.lit(False))
+    return explicit | prefilled, F.when(explicit, at + F.size(open_)).otherwise(1)
+
+
+def reasoning_state(previous: DataFrame, family: str) -> DataFrame:
+    """previous (prompt_ids, completion_ids, ...) with prompt_open, whether the prompt ends in reasoning that it has begun, and reasoning_open, whether the completion ends in reasoning.
+
+    The prompt counts from its last stop on, and from its last assistant header there; the completion up to its first stop,
+    without a header of its own. A region is ended by its marker, and in a completion by the first call in formats where that
+    may be. Formats without reasoning have neither.
+    """
+    no = F.lit(False)
+    if family not in _THINKING:
+        return previous.withColumns({"prompt_open": no, "reasoning_open": no})
+    head, form, openers = _THINKING[family]
+    stops = F.array(*[token_id(F.lit(s)) for s in FAMILIES[family].stops])
+    runs = lambda c: [token_id(F.lit(c * k)) for k in range(1, _BLANK + 1)]
+    known = held(previous, _header=_ids(*head), _open=_ids((form, "<think>")), _close=_ids((form, "</think>")), _stops=stops, _breaks=F.array(*runs("\n")), _blanks=F.array(*runs("\n"), *runs(" "), *runs("\t")))
+    stopped = F.arrays_overlap("prompt_ids", "_stops")
+    last = F.array_max(F.transform(F.filter("_stops", lambda s: F.array_contains("prompt_ids", s)), lambda s: F.size("prompt_ids") + 1 - F.array_position(F.reverse("prompt_ids"), s).cast("int")))
+    known = held(known, _tail=F.when(stopped, F.slice("prompt_ids", last + 1, F.size("prompt_ids"))).otherwise(F.col("prompt_ids")))
+    known = held(known, _tail2=after_header(F.col("_tail"), F.col("_header"), F.col("_breaks"), last=True))
+    begins, at = _opened(F.col("_tail2"), F.col("_open"), F.col("_blanks"), no)
+    known = held(known, prompt_open=begins & find_ids(F.slice("_tail2", at, F.size("_tail2")), F.col("_close")).isNull())
+    first = F.array_min(F.filter(F.transform("_stops", lambda s: F.array_position("completion_ids", s)), lambda p: p > 0)).cast("int")
+    known = held(known, _said=F.when(first.isNotNull(), F.slice("completion_ids", F.lit(1), first - 1)).otherwise(F.col("completion_ids")))
+    known = held(known, _said2=after_header(F.col("_said"), F.col("_header"), F.col("_breaks")))
+    begins, at = _opened(F.col("_said2"), F.col("_open"), F.col("_blanks"), F.col("prompt_open"))
+    known = held(known, _begins=begins, _region=F.slice("_said2", at, F.size("_said2")))
+    ended = find_ids(F.col("_region"), F.col("_close")).isNotNull()
+    for o in openers:
+        ended = ended | find_ids(F.col("_region"), _ids(o)).isNotNull()
+    return known.withColumn("reasoning_open", F.col("_begins") & ~ended).drop("_header", "_open", "_close", "_stops", "_breaks", "_blanks", "_tail", "_tail2", "_said", "_said2", "_begins", "_region")
+
+
 def bridge(previous: DataFrame, new: DataFrame, family: str) -> DataFrame:
     """(conv_id, status, token_ids): the ids that a model has seen and sampled, extended by new messages without rendering
     the conversation again; token_ids is null where status is neither bridge nor synthesize_close.
 
     previous: conv_id, prompt_ids, completion_ids. A completion is cut after its last stop; one without any gets the
-    format's close. An empty prompt has status no_prompt. Whether a completion broke off within its reasoning is not asked.
+    format's close, behind the end of its reasoning where it broke off within that. One that stops within its reasoning
+    has status open_reasoning. An empty prompt has status no_prompt.
     """
     f = FAMILIES[family]
     stops = F.array(*[token_id(F.lit(s)) for s in f.stops])
+    known = reasoning_state(previous.select("conv_id", "prompt_ids", "completion_ids"), family)
     status = bridge_eligibility(previous.select("conv_id", F.arrays_overlap("completion_ids", stops).alias("closed")), new, f.retention)
-    joined = previous.join(status, "conv_id").join(id_arrays(bridge_extension(new, family)), "conv_id", "left")
-    status_ = F.when(F.size("prompt_ids") == 0, "no_prompt").otherwise(F.col("status"))
-    kept = trim_to_turn_close(F.col("prompt_ids"), F.col("completion_ids"), stops, token_id(F.lit(f.stops[0])))
+    joined = known.join(status, "conv_id").join(id_arrays(bridge_extension(new, family)), "conv_id", "left")
+    within = F.col("reasoning_open") & F.arrays_overlap("completion_ids", stops)
+    status_ = F.when(F.size("prompt_ids") == 0, "no_prompt").when(F.col("status").isin("no_messages", "assistant"), F.col("status")).when(within, "open_reasoning").otherwise(F.col("status"))
+    close = _ids((_THINKING[family][1], "</think>")) if family in _THINKING else F.array().cast("array<bigint>")
+    completion = F.when(F.col("reasoning_open"), F.concat("completion_ids", close)).otherwise(F.col("completion_ids"))
+    kept = trim_to_turn_close(F.col("prompt_ids"), completion, stops, token_id(F.lit(f.stops[0])))
     return joined.select("conv_id", status_.alias("status"), F.when(status_.isin("bridge", "synthesize_close"), F.concat(kept, "token_ids")).alias("token_ids"))
 
 

@@ -498,3 +498,38 @@ def _register_bridge(family: str) -> None:
 
 for _family in op.BRIDGED:
     _register_bridge(_family)
+
+
+# Of formats that bridge over any message: what a stop and a header before a turn are, what ends the turn, and a user message with what follows it.
+_OPEN_ENDS = {
+    "deepseek-v3": ("<｜end▁of▁sentence｜>", "<｜Assistant｜>", "'<｜User｜>' || content || '<｜Assistant｜>'", ("<｜end▁of▁sentence｜>", "<｜Assistant｜>", "<｜User｜>")),
+    "kimi-k2": ("<|im_end|>", "<|im_assistant|>assistant<|im_middle|>", "'<|im_user|>user<|im_middle|>' || content || '<|im_end|><|im_assistant|>assistant<|im_middle|>'", ("<|im_end|>", "<|im_assistant|>", "<|im_middle|>", "<|im_user|>")),
+}
+
+
+def _register_open_ends(family: str) -> None:
+    from turnframe.operators.tagged import completion_tokens
+
+    stop, header, message, specials = _OPEN_ENDS[family]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.col("text").alias("content"))
+        kind = F.col("conv_id") % 6
+        prompt = F.concat(F.lit(stop + header), F.when(kind >= 4, "<think>\n").otherwise(""))
+        said = F.concat(F.when(kind < 4, "<think>").otherwise(""), "content", F.when(kind == 2, "</think>").otherwise(""), F.when(kind.isin(0, 2, 5), stop).otherwise(""))
+        ids = lambda x: F.transform(completion_tokens(x, specials), token_id)
+        previous = turns.select("conv_id", ids(prompt).alias("prompt_ids"), ids(said).alias("completion_ids"))
+        new = turns.select("conv_id", F.lit(5).alias("msg_idx"), F.lit("user").alias("role"), "content")
+        return op.bridge(previous, new, family).select("conv_id", "status", F.md5(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))
+
+    marks = "|".join(x.replace("|", r"\|") for x in specials)
+    name = "bridge_open_reasoning_" + family.replace("-", "_")
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"""WITH t AS (SELECT conv_id * 1000 + turn AS conv_id, text AS content, (conv_id * 1000 + turn) % 6 AS kind FROM conversations WHERE role = 'user'),
+      x AS (SELECT conv_id, kind, '{stop}{header}' || CASE WHEN kind >= 4 THEN '<think>' || chr(10) ELSE '<think>' END || content || CASE WHEN kind IN (1, 2, 3, 4) THEN '</think>' ELSE '' END || '{stop}' || {message} AS whole FROM t)
+      SELECT conv_id, CASE WHEN kind IN (0, 5) THEN 'open_reasoning' WHEN kind = 2 THEN 'bridge' ELSE 'synthesize_close' END AS status,
+        CASE WHEN kind NOT IN (0, 5) THEN md5(array_to_string(list_transform(regexp_extract_all(whole, '{marks}|{_PIECE}'), lambda p: ('0x' || substr(md5(p), 1, 8))::BIGINT), ',')) END AS ids_md5 FROM x"""
+
+
+for _family in _OPEN_ENDS:
+    _register_open_ends(_family)

@@ -57,15 +57,21 @@ def _kinds(family: str) -> list[str]:
     ]
 
 
-_MACROS = {"f": ("role", F.col("role")), "n": ("length(text)::VARCHAR", F.length("text").cast("string")), "s": ("text", F.col("text")), "q": ("to_json(text)::VARCHAR", quoted(F.col("text")))}
+_SQL = {"f": "role", "n": "length(text)::VARCHAR", "s": "text", "q": "to_json(text)::VARCHAR"}
 
 
-def _fill(template: str) -> tuple[str, Column]:
-    """A template as SQL and as a column."""
-    parts = re.split("@([fnsq])@", template)
-    sql = ["'" + x.replace("'", "''") + "'" if k % 2 == 0 else _MACROS[x][0] for k, x in enumerate(parts)]
-    cols = [F.lit(x) if k % 2 == 0 else _MACROS[x][1] for k, x in enumerate(parts)]
-    return " || ".join(sql), F.concat(*cols)
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql(template: str) -> str:
+    """A template as SQL."""
+    return " || ".join(_literal(x) if k % 2 == 0 else _SQL[x] for k, x in enumerate(re.split("@([fnsq])@", template)))
+
+
+def _column(template: str) -> Column:
+    values = {"f": F.col("role"), "n": F.length("text").cast("string"), "s": F.col("text"), "q": quoted(F.col("text"))}
+    return F.concat(*[F.lit(x) if k % 2 == 0 else values[x] for k, x in enumerate(re.split("@([fnsq])@", template))])
 
 
 def completions(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
@@ -73,18 +79,14 @@ def completions(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     kinds = _kinds(family)
     text = F.lit("")
     for k, template in enumerate(kinds):
-        text = F.when(F.col("id") % len(kinds) == k, _fill(template)[1]).otherwise(text)
+        text = F.when(F.col("id") % len(kinds) == k, _column(template)).otherwise(text)
     return turns.select("id", text.alias("text"))
 
 
-def _literal(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 def _taken_apart(family: str) -> str:
     """SQL: cut (id, t) has each completion's tokens, body (id, t, thinks, p0) the place of the first that is not reasoning, blk its calls' places."""
     g, kinds = r.GRAMMARS[family], _kinds(family)
-    cases = " ".join(f"WHEN {k} THEN {_fill(t)[0]}" for k, t in enumerate(kinds))
+    cases = " ".join(f"WHEN {k} THEN {_sql(t)}" for k, t in enumerate(kinds))
     spelled = sorted(g.machine.spelled, key=len, reverse=True) if family == "deepseek-v4" else ["<think>", "</think>"] if g.machine.spelled else []
     specials = "|".join(re.escape(x).replace("'", "''") for x in sorted({*g.specials, *spelled}, key=len, reverse=True))
     start, end = _OPENERS.get(family, "<tool_call>"), _WRITE[family][1]
@@ -95,14 +97,12 @@ def _taken_apart(family: str) -> str:
     ends_reasoning = bool(g.machine.openers) or g.free and family == "glm"
     shut = f"list_position(t, {_literal(_think(family, '/think'))})"
     after_close = f"coalesce(nullif({shut}, 0) + 1, {f'nullif({first}, 0)' if ends_reasoning else 'NULL'}, len(t) + 1)"
-    wrapper = "list_position(t[p0 :], '<tool_calls:opensource>')" if family == "hy3" else "0"
     return f"""made AS (SELECT conv_id * 1000 + turn AS id, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations),
       whole AS (SELECT id, CASE id % {len(kinds)} {cases} END AS text FROM made),
       tok AS (SELECT id, regexp_extract_all(text, '{specials}|{PIECE}') AS t FROM whole),
       cut AS (SELECT id, CASE WHEN list_position(t, {_literal(g.stops[0])}) > 0 THEN t[: list_position(t, {_literal(g.stops[0])}) - 1] ELSE t END AS t FROM tok),
       led AS (SELECT id, t, coalesce(list_filter(t, lambda x: regexp_replace(x, '\\s', '', 'g') <> '')[1], '') = {_literal(_think(family, 'think'))} AS thinks FROM cut),
-      body AS (SELECT id, t, thinks, {f'CASE WHEN thinks THEN {after_close} ELSE 1 END' if not g.free else '1'} AS p0 FROM led),
-      RECURSIVE_blk AS (SELECT id, t, p0, {wrapper} AS w FROM body)"""
+      body AS (SELECT id, t, thinks, {f'CASE WHEN thinks THEN {after_close} ELSE 1 END' if not g.free else '1'} AS p0 FROM led)"""
 
 
 def _blk(family: str) -> str:
@@ -158,12 +158,11 @@ def _inner_sql(family: str) -> str:
 
 
 def _calls_sql(family: str) -> str:
-    apart = _taken_apart(family).replace(",\n      RECURSIVE_blk AS (SELECT id, t, p0, 0 AS w FROM body)", "").split(",\n      RECURSIVE_blk")[0]
+    apart = _taken_apart(family)
     keyed = family not in ("qwen3", "deepseek-v3", "kimi-k2")
     typed = family != "deepseek-v4"
     if keyed:
-        string = "k = 's'" if typed else "k = 's'"
-        value = lambda k, v: f"CASE WHEN {string.replace('k', k, 1)} OR NOT json_valid({v}) THEN to_json({v})::VARCHAR ELSE {v} END"
+        value = lambda k, v: f"CASE WHEN {k} = 's' OR NOT json_valid({v}) THEN to_json({v})::VARCHAR ELSE {v} END"
         args = f"""'{{' || coalesce(array_to_string(list_transform(generate_series(1, len(keys)), lambda i: to_json(keys[i])::VARCHAR || ':' || {value('keys[i]', 'vals[i]')}), ','), '') || '}}'"""
         bad = "len(list_filter(generate_series(1, len(keys)), lambda i: keys[i] <> 's' AND NOT json_valid(vals[i]))) > 0"
         first = "WHEN first_fault <> '' THEN first_fault"
@@ -200,7 +199,7 @@ def _register_response(family: str) -> None:
         read = r.read_response(completions(spark, sf_dir, family), g)
         return read.select("id", F.md5("reasoning").alias("reasoning_md5"), F.md5("content").alias("content_md5"), "complete", F.size("regions").alias("n_calls"))
 
-    apart = _taken_apart(family).split(",\n      RECURSIVE_blk")[0]
+    apart = _taken_apart(family)
     trim = _TRIM.format
     clean = {"laguna": r"regexp_replace({}, '^\n+|\n+$', '', 'g')", "glm": r"regexp_replace({}, '\s+$', '')", "deepseek-v4": r"regexp_replace({}, '\s+$', '')"}.get(family, _TRIM).format
     close, open_ = _literal(_think(family, "/think")), _literal(_think(family, "think"))
@@ -210,7 +209,7 @@ def _register_response(family: str) -> None:
     first_tool = {"deepseek-v3": "<｜tool▁calls▁begin｜>", "kimi-k2": "<|tool_calls_section_begin|>", "hy3": "<tool_calls:opensource>", "deepseek-v4": "<｜DSML｜tool_calls>"}.get(family, _OPENERS.get(family, "<tool_call>"))
     reasoning = f"array_to_string(list_filter(t[: coalesce({ends} - 1, len(t))], lambda x: x <> {open_}), '')"
     raw_open = reasoning if not g.free else clean(reasoning)
-    tail = f"t[p0 :]" 
+    tail = "t[p0 :]"
     before = f"array_to_string(CASE WHEN list_position({tail}, {_literal(first_tool)}) > 0 THEN ({tail})[: list_position({tail}, {_literal(first_tool)}) - 1] ELSE {tail} END, '')"
     content = clean(before)
     if family == "glm":
@@ -243,7 +242,7 @@ _CHANNEL_KINDS = [
     "<|start|>assistant to=functions.<|channel|>commentary<|message|>{}<|call|><|start|>assistant",
 ]
 _CHANNELS = f"""made AS (SELECT conv_id * 1000 + turn AS id, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations),
-    whole AS (SELECT id, split_part(CASE id % {len(_CHANNEL_KINDS)} {' '.join(f'WHEN {k} THEN {_fill(t)[0]}' for k, t in enumerate(_CHANNEL_KINDS))} END, '<|return|>', 1) AS text FROM made),
+    whole AS (SELECT id, split_part(CASE id % {len(_CHANNEL_KINDS)} {' '.join(f'WHEN {k} THEN {_sql(t)}' for k, t in enumerate(_CHANNEL_KINDS))} END, '<|return|>', 1) AS text FROM made),
     tok AS (SELECT id, regexp_extract_all(text, '<\\|(?:start|message|end|call|channel|constrain)\\|>|{PIECE}') AS t FROM whole),
     pos AS (SELECT id, t, unnest(list_filter(generate_series(1, len(t)), lambda i: t[i] = '<|start|>')) AS s FROM tok),
     msg AS (SELECT *, s + nullif(list_position(t[s + 1 :], '<|message|>'), 0) AS m FROM pos),
@@ -257,7 +256,7 @@ def _channel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
     text = F.lit("")
     for k, template in enumerate(_CHANNEL_KINDS):
-        text = F.when(F.col("id") % len(_CHANNEL_KINDS) == k, _fill(template)[1]).otherwise(text)
+        text = F.when(F.col("id") % len(_CHANNEL_KINDS) == k, _column(template)).otherwise(text)
     return turns.select("id", text.alias("text"))
 
 
