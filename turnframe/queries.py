@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnframe import operators as op
-from turnframe import bpe_queries, evidence_queries, nested_queries, schema_queries, turn_queries  # noqa: F401
+from turnframe import bpe_queries, evidence_queries, media_queries, nested_queries, schema_queries, turn_queries  # noqa: F401
 from turnframe import response_queries  # noqa: F401  registers its queries
 from turnframe.functions import coerce_argument, pieces, think_split, token_id
 from turnframe.plans import FAMILIES, facts
