@@ -15,6 +15,8 @@ from turnframe.operators.tagged import CUT, _let
 
 #: Stands around strings. Fixed value of the format.
 QUOTE = '<|"|>'
+#: A quoted string where a value or key may begin, up to its end or that of the text: one lexeme, however long.
+_STRING = r'(?s)(?<=(?:^|[{\[:,])\s{0,64})<\|"\|>.*?(?:<\|"\|>|\z)'
 _FRAME = "struct<kind:string,key:string,keys:array<string>,values:array<string>>"
 _NO_TEXTS = "array<string>"
 
@@ -88,7 +90,7 @@ def _literal(raw: Column) -> Column:
 def read_nested(df: DataFrame, text: str) -> DataFrame:
     """df with json and fault of a nested text: {key:<|"|>string<|"|>,other:[1,true,bare words]}.
 
-    Keys and strings may be quoted; what is in quotes is verbatim. A bare value runs to the next comma or closing bracket
+    Keys and strings may be quoted, at the start of a value or key; what is in quotes is verbatim. A bare value runs to the next comma or closing bracket
     and is JSON, or else a string without white space at its ends. json is null where fault is not: missing value, unclosed
     string, missing key, missing colon, unclosed object or array, expected comma or end, trailing input. An empty text or
     null has no value.
@@ -97,6 +99,8 @@ def read_nested(df: DataFrame, text: str) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         mode, stack = acc["mode"], acc["stack"]
         blank = strip(x) == ""
+        whole = x.startswith(QUOTE) & x.endswith(QUOTE) & (F.length(x) >= 2 * len(QUOTE))
+        said = x.substr(F.lit(len(QUOTE) + 1), F.length(x) - 2 * len(QUOTE))
         fault = lambda why: _state(acc, mode=F.lit("fault"), fault=F.lit(why))
         push = lambda mode_: _state(acc, stack=F.concat(stack, F.array(_frame(x))), mode=F.lit(mode_), text=F.lit(""))
         close = _put(acc, _below(stack), _json_text(_top(stack)))
@@ -115,7 +119,8 @@ def read_nested(df: DataFrame, text: str) -> DataFrame:
 
         value = _branch(
             (blank, acc),
-            (x == QUOTE, _state(acc, mode=F.lit("string"), text=F.lit(""))),
+            (whole, _put(acc, stack, quoted(said))),
+            (x.startswith(QUOTE), _state(acc, mode=F.lit("string"))),
             (x == "{", push("first")),
             (x == "[", push("begun")),
             ((x == "]") & (mode == "begun"), close),
@@ -125,7 +130,8 @@ def read_nested(df: DataFrame, text: str) -> DataFrame:
         key = _branch(
             (blank, acc),
             ((x == "}") & (mode == "first"), close),
-            (x == QUOTE, _state(acc, mode=F.lit("quoted key"), text=F.lit(""))),
+            (whole, _state(acc, stack=_keyed(stack, said), mode=F.lit("colon"))),
+            (x.startswith(QUOTE), _state(acc, mode=F.lit("quoted key"))),
             (x.isin(":", ",", "{", "}", "[", "]"), fault("missing key")),
             (F.lit(True), _state(acc, mode=F.lit("bare key"), text=x)),
         )
@@ -134,16 +140,14 @@ def read_nested(df: DataFrame, text: str) -> DataFrame:
             (x.isin(",", "{", "}", "[", "]"), fault("missing colon")),
             (F.lit(True), _state(acc, text=F.concat(acc["text"], x))),
         )
-        quoted_key = F.when(x == QUOTE, _state(acc, stack=_keyed(stack, acc["text"]), mode=F.lit("colon"), text=F.lit(""))).otherwise(_state(acc, text=F.concat(acc["text"], x)))
         colon = _branch((blank, acc), (x == ":", _state(acc, mode=F.lit("value"))), (F.lit(True), fault("missing colon")))
-        string = F.when(x == QUOTE, _put(acc, stack, quoted(acc["text"]))).otherwise(_state(acc, text=F.concat(acc["text"], x)))
         literal = F.when(x.isin(",", "}", "]"), _let(_put(acc, stack, _literal(strip(acc["text"]))), in_after)).otherwise(_state(acc, text=F.concat(acc["text"], x)))
         return _branch(
-            (mode.isin("value", "begun"), value), (mode.isin("first", "key"), key), (mode == "bare key", bare), (mode == "quoted key", quoted_key),
-            (mode == "colon", colon), (mode == "string", string), (mode == "literal", literal), (mode.isin("after", "end"), in_after(acc)), (F.lit(True), acc),
+            (mode.isin("value", "begun"), value), (mode.isin("first", "key"), key), (mode == "bare key", bare),
+            (mode == "colon", colon), (mode == "literal", literal), (mode.isin("after", "end"), in_after(acc)), (F.lit(True), acc),
         )
 
-    folded = held(held(df, _lexemes=_lexemes(F.coalesce(F.col(text), F.lit("")), r'<\|"\|>|[{}\[\]:,]')), _read=F.aggregate("_lexemes", _begin(), step))
+    folded = held(held(df, _lexemes=_lexemes(F.coalesce(F.col(text), F.lit("")), _STRING + r'|<\|"\|>|[{}\[\]:,]')), _read=F.aggregate("_lexemes", _begin(), step))
     r = F.col("_read")
     bare_end = (r["mode"] == "literal") & (F.size(r["stack"]) == 0)
     open_end = F.when(r["mode"].isin("string", "quoted key"), "unclosed string").when(r["mode"] == "value", "missing value").when(r["mode"].isin("first", "key"), "missing key").when(r["mode"].isin("bare key", "colon"), "missing colon").when(F.size(r["stack"]) > 0, F.concat(F.lit("unclosed "), F.when(_top(r["stack"])["kind"] == "{", "object").otherwise("array")))
