@@ -384,8 +384,10 @@ def test_toxicity(spark):
 
 def test_warc_round_trip(spark):
     big = "é" * 60
-    pages = spark.createDataFrame([(3, "http://a/ b", big), (1, None, big), (2, "u", "x\r\n\r\nWARC/1.1\r\n"), (4, "u", "x\r\n\r\nWARC/1.1\r\n"), (5, "u", None), (None, "u", big)], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in warc.archive(spark, pages).collect()}
+    pages = spark.createDataFrame([(3, "http://a/ b", big), (1, None, big), (2, "u", "x\r\n\r\nWARC/1.1\r\n"), (4, "u", "x\r\n\r\nWARC/1.1\r\n"), (5, "u", None), (None, None, big), (None, "u", "z" * 200), (None, "u", "z" * 200)], "page_id long, url string, html string")
+    rows = warc.archive(spark, pages).collect()
+    assert sorted((r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows if r["page_id"] is None) == [(120, "revisit", 1), (200, "response", None), (200, "response", None)]
+    got = {r["page_id"]: r for r in rows if r["page_id"] is not None}
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None)}
     assert got[3]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest() and got[3]["payload_bytes"] == 120
     assert warc.archive(spark, pages.limit(0)).count() == 0

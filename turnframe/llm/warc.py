@@ -31,14 +31,14 @@ def headers(pages: DataFrame) -> DataFrame:
 
 def resolve(heads: DataFrame) -> DataFrame:
     """heads with refers_to and refers_uri: the smallest page_id of an equal payload of MIN_PAYLOAD bytes or more and its url
-    (of repeated rows the smallest), null for that page itself.
+    (of repeated rows the smallest), null for that page itself. A page without an id refers to it as well.
 
     The smallest id per digest is a grouped minimum (summed before the shuffle); only digests that recur are joined back,
     and adaptive execution splits a digest that many pages share.
     """
-    firsts = heads.where(f"payload_bytes >= {MIN_PAYLOAD}").groupBy("payload_digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = heads.where(f"payload_bytes >= {MIN_PAYLOAD}").groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
     joined = heads.join(firsts, "payload_digest", "left")
-    later = F.col("page_id") > F.col("first.page_id")
+    later = F.coalesce(F.col("page_id") > F.col("first.page_id"), F.lit(True))
     return joined.withColumns({"refers_to": F.when(later, F.col("first.page_id")), "refers_uri": F.when(later, F.col("first.url"))}).drop("first", "copies")
 
 
@@ -47,7 +47,7 @@ def _uri(url: Column, page_id: Column) -> Column:
     clean = url
     for c in [*range(33), 127]:
         clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
-    return F.coalesce(clean, F.concat(F.lit("urn:page:"), page_id.cast("string")))
+    return F.coalesce(clean, F.concat(F.lit("urn:page:"), page_id.cast("string")), F.lit("urn:page:none"))
 
 
 def record(page_id: Column, url: Column, digest: Column, refers_to: Column, refers_uri: Column, payload: Column, payload_bytes: Column) -> Column:
@@ -60,7 +60,7 @@ def record(page_id: Column, url: Column, digest: Column, refers_to: Column, refe
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:"), F.coalesce(F.concat(F.lit("page:"), page_id.cast("string")), F.concat(F.lit("uuid:"), F.uuid())), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), now),
         F.concat(F.lit("WARC-Target-URI: "), _uri(url, page_id)),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
@@ -79,10 +79,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
     """Deduplicated archives of pages under path, with fresh headers, gzipped; about ARCHIVE_BYTES of payload in each."""
     size = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     files = max(1, -(-((size[0] or 0) + 400 * size[1]) // ARCHIVE_BYTES))
-    key = ["page_id", "payload_digest"]
-    resolved = resolve(headers(pages)).select(*key, "payload_bytes", "refers_to", "refers_uri").distinct().repartition(files, *key)
+    key, name = ["record", "payload_digest"], F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("record")
+    resolved = resolve(headers(pages)).select(name, "payload_digest", "payload_bytes", "refers_to", "refers_uri").distinct().repartition(files, *key)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest")).repartition(files, *key).join(resolved, key)
+    rows = pages.select(name, "page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest")).repartition(files, *key).join(resolved, key)
     records = rows.select(record(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("refers_to"), F.col("refers_uri"), F.col("html"), F.col("payload_bytes")).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
@@ -113,7 +113,8 @@ def _parse(content: bytes) -> Iterator[tuple]:
         if bytes(data[at : at + 4]) != b"\r\n\r\n" or len(body) != size:
             raise ValueError("a record is cut short")
         at += 4
-        page, kind, digest = int(re.search(rb"page:(-?\d+)", head[b"WARC-Record-ID"])[1]), head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
+        named = re.search(rb"page:(-?\d+)", head[b"WARC-Record-ID"])
+        page, kind, digest = int(named[1]) if named else None, head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
         start = bytes(body[:4096]).find(b"\r\n\r\n") + 4
         if start < 4:
             raise ValueError(f"page {page}: its HTTP header does not end")
@@ -146,9 +147,10 @@ def archive(spark: SparkSession, pages: DataFrame, path: str | None = None) -> D
     """Write pages as deduplicated archives, and return their records as read back.
 
     A null html is an empty payload; payloads under MIN_PAYLOAD bytes never become revisits. page_id names the record: rows
-    without one are left out, and rows that repeat one are written once each. No rows give no records. Other columns of
+    that repeat one are written once each; a row without one is written under an id of its own, comes back with a null
+    page_id, and is a revisit where a page with an id has its payload, else a response. No rows give no records. Other columns of
     pages are not archived.
     """
     path = path or f"{shared_dir(spark)}/turnframe/warc-{uuid.uuid4().hex}"
-    write_archives(spark, pages.select("page_id", "url", "html").where("page_id is not null"), path)
+    write_archives(spark, pages.select("page_id", "url", "html"), path)
     return read_archives(spark, path)
