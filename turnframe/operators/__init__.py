@@ -73,6 +73,39 @@ def loss_mask(messages: DataFrame, toks: DataFrame, roles: Column | None = None,
     return joined.withColumn("train", F.coalesce(mask, F.lit(False)))
 
 
+def training_samples(messages: DataFrame, toks: DataFrame, family: str, roles: Column | None = None, body_roles: tuple[str, ...] = (), final_stop: bool = False, masks: DataFrame | None = None) -> DataFrame:
+    """(conv_id, token_ids, loss_mask, fault): a conversation's tokens and which of them count, one row each.
+
+    roles and body_roles as for loss_mask(). Where sampled is null, tokens carry no signal: roles must be given then, else
+    the fault is missing_signal; where content is null, body_roles do nothing. final_stop: where the last message is an
+    assistant's that counts, its tokens end with a stop that counts, appended if they don't. masks (conv_id, mask array<int>,
+    an entry a message in order): messages that count; faults as in mask_faults(). A fault leaves no sample.
+    """
+    order = Window.partitionBy("conv_id").orderBy("msg_idx")
+    known = messages.select("conv_id", F.col("msg_idx").alias("owner"), "role", (F.row_number().over(order) - 1).alias("_place"), (roles if roles is not None else F.lit(True)).alias("_counts"))
+    joined = toks.join(known, ["conv_id", "owner"], "left")
+    bodied = (F.col("role").isin(*body_roles) if body_roles else F.lit(False)) & F.col("content").isNotNull()
+    train = F.when(F.col("owner") < 0, False).when(bodied, F.col("content")).when(~F.coalesce("sampled", F.lit(True)), False).otherwise(F.coalesce("_counts", F.lit(False)))
+    token = F.struct("pos", F.col("token_id").alias("id"), "_place", F.coalesce(train, F.lit(False)).alias("train"))
+    rows = joined.groupBy("conv_id").agg(F.array_sort(F.collect_list(token)).alias("t"), F.bool_and(F.col("sampled").isNotNull()).alias("signal"))
+    last = known.groupBy("conv_id").agg(F.max(F.struct("_place", "role", "_counts")).alias("last"))
+    rows = last.join(rows, "conv_id", "left").withColumns({"t": F.coalesce("t", F.array().cast("array<struct<pos:bigint,id:bigint,_place:int,train:boolean>>")), "signal": F.coalesce("signal", F.lit(True))})
+    stops = [token_id(F.lit(s)) for s in FAMILIES[family].stops]
+    counting = F.filter("t", lambda x: x["train"])
+    ends = F.coalesce(F.get(counting, F.size(counting) - 1)["id"].isin(*stops), F.lit(False))
+    wanted = F.lit(final_stop) & F.col("signal") & (F.col("last")["role"] == "assistant") & F.coalesce(F.col("last")["_counts"], F.lit(False)) & ~ends
+    stop = F.struct(F.size("t").cast("bigint").alias("pos"), stops[0].alias("id"), F.col("last")["_place"].alias("_place"), F.lit(True).alias("train"))
+    rows = held(rows, all=F.when(wanted, F.concat("t", F.array(stop))).otherwise(F.col("t")))
+    fault, keep = F.when(~F.col("signal") & F.lit(roles is None), "missing_signal"), lambda x: x["train"]
+    if masks is not None:
+        rows = rows.join(mask_faults(messages, masks).withColumnRenamed("fault", "_mask_fault"), "conv_id", "left").join(masks, "conv_id", "left")
+        fault = F.coalesce("_mask_fault", fault)
+        keep = lambda x: x["train"] & (F.col("mask").isNull() | F.coalesce(F.get("mask", x["_place"]) == 1, F.lit(False)))
+    rows = rows.withColumn("fault", fault)
+    sound = F.col("fault").isNull()
+    return rows.select("conv_id", F.when(sound, F.transform("all", lambda x: x["id"])).alias("token_ids"), F.when(sound, F.transform("all", keep)).alias("loss_mask"), "fault")
+
+
 def id_arrays(toks: DataFrame) -> DataFrame:
     """(conv_id, token_ids): one row a conversation."""
     return toks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"]).alias("token_ids"))
