@@ -57,3 +57,12 @@ def test_what_a_bridge_keeps_and_refuses(spark):
     assert got[0]["token_ids"][:4] == [7, *ids("a", end, "\n")] and got[1]["token_ids"][:4] == [7, *ids("a", end, "\n")] and got[2]["token_ids"] is None
     with pytest.raises(ValueError, match="no bridge"):
         op.bridge_extension(new, "glm-5")
+
+
+def test_a_late_system_message_is_refused_where_the_format_does(spark):
+    rows = (("system", "a"), ("user", "b"), ("system", "c"))
+    for family in ("qwen3.5", "qwen3.6"):
+        assert "a" in rendered(spark, family, *rows[:2])
+        with pytest.raises(Exception, match="at the beginning only"):
+            rendered(spark, family, *rows)
+    assert "c" in rendered(spark, "qwen3", *rows)

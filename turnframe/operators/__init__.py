@@ -199,7 +199,7 @@ def bridge_extension(new: DataFrame, family: str) -> DataFrame:
     if family not in BRIDGED:
         raise ValueError(f"no bridge for {family}: an assistant turn has no close of its own")
     lead = new.groupBy("conv_id").agg((F.min("msg_idx") - 1).cast("int").alias("msg_idx")).withColumns({"role": F.lit("assistant"), "content": F.lit("")})
-    segs = segments(lead.unionByName(new, allowMissingColumns=True), family)
+    segs = segments(lead.unionByName(new, allowMissingColumns=True), family, whole=False)
     whole = Window.partitionBy("conv_id")
     first = F.min("msg_idx").over(whole)
     close = (F.col("msg_idx") == F.col("first")) & (F.col("kind") == "S") & F.col("text").isin(*FAMILIES[family].stops)

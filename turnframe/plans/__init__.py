@@ -84,6 +84,7 @@ class Family:
     retention: str
     null_text: str = ""
     roles: tuple[str, ...] = ("system", "user", "assistant")
+    late_system: bool = True
 
 
 WITH_TOOLS = ("system", "user", "assistant", "tool")
@@ -316,10 +317,10 @@ FAMILIES: dict[str, Family] = {
     f.name: f
     for f in (
         Family("qwen3", _none, _chatml(_qwen3_assistant, lambda x: x), _prompt(("S", "<|im_start|>"), ("T", "assistant\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
-        Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
+        Family("qwen3.5", _none, _chatml(_qwen35_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS, late_system=False),
         Family("glm-4.5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("\n"), _prompt(("S", "<|assistant|>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("glm-5", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm(""), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
-        Family("qwen3.6", _none, _chatml(_qwen36_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS),
+        Family("qwen3.6", _none, _chatml(_qwen36_assistant, strip), _prompt(("S", "<|im_start|>"), ("T", "assistant\n"), ("S", "<think>"), ("T", "\n")), ("<|im_end|>", "<|endoftext|>"), "tool_cycle", roles=WITH_TOOLS, late_system=False),
         Family("glm-5.1", _prompt(("S", "[gMASK]"), ("S", "<sop>")), _glm("", empty_think=True), _prompt(("S", "<|assistant|>"), ("S", "<think>")), ("<|endoftext|>", "<|user|>", "<|observation|>"), "tool_cycle", "None", WITH_TOOLS),
         Family("deepseek-v3", _prompt(("S", BOS_V3)), _deepseek(False), _deepseek_prompt(), (EOS_V3,), "all", roles=WITH_TOOLS),
         Family("deepseek-r1", _prompt(("S", BOS_V3)), _deepseek(True), _deepseek_prompt(("T", "<think>\n")), (EOS_V3,), "template", roles=WITH_TOOLS),
@@ -330,10 +331,11 @@ FAMILIES: dict[str, Family] = {
 }
 
 
-def segments(messages: DataFrame, family: str, generation_prompt: bool = True) -> DataFrame:
+def segments(messages: DataFrame, family: str, generation_prompt: bool = True, whole: bool = True) -> DataFrame:
     """(conv_id, msg_idx, seg_idx, kind, text, owner, sampled, content_from, content_to) of whole conversations.
 
-    The generation prompt follows conversations that do not end in an assistant. Empty groups are left out.
+    The generation prompt follows conversations that do not end in an assistant. Empty groups are left out. A system message
+    that is not the first raises an error in formats that refuse it, unless messages extend a conversation (whole is false).
     """
     f = FAMILIES[family]
     rows = facts(messages, f.null_text)
@@ -342,5 +344,8 @@ def segments(messages: DataFrame, family: str, generation_prompt: bool = True) -
     end = F.when(last, f.prompt().cast(SEGMENTS)).otherwise(_none()) if generation_prompt else _none()
     unknown = F.raise_error(F.concat(F.lit(f"{family} does not render role "), F.coalesce("role", F.lit("null")))).cast(SEGMENTS)
     body = F.when(F.col("role").isin(*f.roles), f.message().cast(SEGMENTS)).otherwise(unknown)
+    if whole and not f.late_system:
+        late = F.raise_error(F.lit(f"{family} takes a system message at the beginning only")).cast(SEGMENTS)
+        body = F.when((F.col("role") == "system") & ~_first(), late).otherwise(body)
     exploded = rows.select("conv_id", "msg_idx", F.posexplode(F.filter(F.concat(begin, body, end), lambda s: s["text"] != "")).alias("seg_idx", "s"))
     return exploded.select("conv_id", "msg_idx", "seg_idx", "s.*")
