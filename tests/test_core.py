@@ -128,7 +128,7 @@ def duck():
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if v is None or v != v or str(v) == "<NA>" else str(int(v) if isinstance(v, float) and v == int(v) else v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if v is None or str(v) == "<NA>" or v != v else str(int(v) if isinstance(v, float) and v == int(v) else v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))

@@ -33,11 +33,12 @@ def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tokens, some.where(~lost).select("conv_id", "modality", "item_idx", grid.alias("grid"))
 
 
-@query(f"""WITH {_MADE} SELECT conv_id, modality, CASE WHEN NOT lost THEN item END::INTEGER AS item_idx, pad::BIGINT AS pad_pos, begins::BIGINT AS "offset", CASE WHEN NOT lost THEN size END::BIGINT AS length, CASE WHEN lost THEN 'unmatched_pad' END AS fault FROM g WHERE modality IS NOT NULL""")
+@query(f"""WITH {_MADE} SELECT conv_id, modality, (CASE WHEN lost THEN -1 ELSE item END)::INTEGER AS item_idx, pad::BIGINT AS pad_pos, begins::BIGINT AS "offset", (CASE WHEN lost THEN -1 ELSE size END)::BIGINT AS length, CASE WHEN lost THEN 'unmatched_pad' END AS fault FROM g WHERE modality IS NOT NULL""")
 def media_places(spark, sf_dir):
-    """Where media stand once their pads have grown."""
+    """Where media stand once their pads have grown; -1 for what a pad without a medium lacks."""
     tokens, items = _made(spark, sf_dir)
-    return media.placed_media(tokens, items, _PADS)
+    placed = media.placed_media(tokens, items, _PADS)
+    return placed.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("item_idx", "length")})
 
 
 @query(f"""WITH {_MADE} SELECT conv_id, sum(n)::BIGINT + sum(CASE WHEN modality IS NOT NULL AND NOT lost THEN size - 1 ELSE 0 END)::BIGINT AS n_tokens, sum(CASE WHEN modality = 'image' THEN size ELSE 0 END)::BIGINT AS n_image,

@@ -198,10 +198,10 @@ def loss_mask_selected(spark, sf_dir):
     cut AS (SELECT * FROM k WHERE NOT (conv_id % 2 = 0 AND role = 'assistant' AND owner = last AND token_id = ('0x' || substr(md5('<|im_end|>'), 1, 8))::BIGINT)),
     g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (owner >= 0 AND sampled AND (conv_id % 5 <> 0 OR chosen = 1)) AS t FROM cut GROUP BY 1),
     e AS (SELECT conv_id, arg_max(role, msg_idx) AS role, max(msg_idx) AS tail, count(*) AS n FROM c GROUP BY 1)
-    SELECT g.conv_id, CASE WHEN g.conv_id % 5 <> 1 THEN g.n + (CASE WHEN role = 'assistant' AND g.conv_id % 2 = 0 THEN 1 ELSE 0 END) END::INTEGER AS n_tokens,
-      CASE WHEN g.conv_id % 5 <> 1 THEN t + (CASE WHEN role = 'assistant' AND g.conv_id % 2 = 0 AND (g.conv_id % 5 <> 0 OR tail % 3 <> 1) THEN 1 ELSE 0 END) END::INTEGER AS n_train, CASE WHEN g.conv_id % 5 = 1 THEN 'length' END AS fault FROM g JOIN e USING (conv_id)""")
+    SELECT g.conv_id, (CASE WHEN g.conv_id % 5 = 1 THEN -1 ELSE g.n + (CASE WHEN role = 'assistant' AND g.conv_id % 2 = 0 THEN 1 ELSE 0 END) END)::INTEGER AS n_tokens,
+      (CASE WHEN g.conv_id % 5 = 1 THEN -1 ELSE t + (CASE WHEN role = 'assistant' AND g.conv_id % 2 = 0 AND (g.conv_id % 5 <> 0 OR tail % 3 <> 1) THEN 1 ELSE 0 END) END)::INTEGER AS n_train, CASE WHEN g.conv_id % 5 = 1 THEN 'length' END AS fault FROM g JOIN e USING (conv_id)""")
 def training_samples(spark, sf_dir):
-    """Samples of conversations whose last turn may lack its stop; a fifth has a mask of messages, a fifth one of the wrong length."""
+    """Samples of conversations whose last turn may lack its stop; a fifth has a mask of messages, a fifth one of the wrong length (-1 tokens)."""
     messages, toks = _qwen3(spark, sf_dir)
     last = messages.groupBy("conv_id").agg(F.max("msg_idx").alias("at"), F.count("*").alias("n"))
     lost = (F.col("conv_id") % 2 == 0) & F.col("sampled") & (F.col("owner") == F.col("at")) & (F.col("token_id") == token_id(F.lit("<|im_end|>")))
@@ -210,7 +210,7 @@ def training_samples(spark, sf_dir):
     masks = last.where("conv_id % 5 < 2").select("conv_id", F.when(F.col("conv_id") % 5 == 1, F.concat(chosen, F.array(F.lit(1)))).otherwise(chosen).alias("mask"))
     made = op.training_samples(messages, cut, "qwen3", final_stop=True, masks=masks)
     counted = F.size(F.filter("loss_mask", lambda x: x))
-    return made.select("conv_id", F.when(F.col("fault").isNull(), F.size("token_ids")).alias("n_tokens"), F.when(F.col("fault").isNull(), counted).alias("n_train"), "fault")
+    return made.select("conv_id", F.when(F.col("fault").isNull(), F.size("token_ids")).otherwise(-1).alias("n_tokens"), F.when(F.col("fault").isNull(), counted).otherwise(-1).alias("n_train"), "fault")
 
 
 def _prefix(spark, sf_dir):
