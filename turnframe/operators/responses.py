@@ -216,9 +216,9 @@ def parse_hermes(completions: DataFrame, tools: DataFrame | None = None) -> Data
     Arguments that are absent are {}; what is JSON but no object has neither name nor arguments.
     """
     parsed = completions if "regions" in completions.columns else read_response(completions, GRAMMARS["qwen3"])
-    rows = _attempts(parsed, "<tool_call>", "</tool_call>").withColumn("raw", strip(plain(F.col("inner"))))
-    rows = rows.withColumn("valid", is_json(F.col("raw")))
-    rows = rows.withColumns({"name": _filled(F.when(F.col("valid") & F.col("raw").startswith("{"), F.get_json_object("raw", "$.name"))), "arguments": F.coalesce(json_member(F.col("raw"), "arguments"), F.lit("{}"))})
+    rows = held(_attempts(parsed, "<tool_call>", "</tool_call>"), raw=strip(plain(F.col("inner"))))
+    rows = held(rows, valid=is_json(F.col("raw")))
+    rows = held(rows, name=_filled(F.when(F.col("valid") & F.col("raw").startswith("{"), F.get_json_object("raw", "$.name"))), arguments=F.coalesce(json_member(F.col("raw"), "arguments"), F.lit("{}")))
     if tools is not None:
         rows = rows.join(tools.select("name", F.lit(True).alias("known")).distinct(), "name", "left")
     unknown = ~F.coalesce("known", F.lit(False)) if tools is not None else F.lit(False)
