@@ -149,6 +149,28 @@ def test_near_copies_are_found_as_by_comparing_all(spark):
     assert all(least[d] <= min(c) and least[min(c)] == least[d] for d, c in group.items())
 
 
+def test_no_near_copy_is_left_to_chance(spark):
+    """Pairs just over the threshold, in which fingerprints often agree nowhere: every one is linked, and none just under it."""
+    rnd = random.Random(31)
+    common, rows, linked = [f"c{k}" for k in range(40)], [], []
+    for k in range(1500):
+        words = [f"w{k}x{j}" for j in range(rnd.choice((8, 24, 49, 104)))] + (common if k % 5 == 0 else [])
+        copy = list(words)
+        for at in (2, len(words) - 3, len(words) // 2, len(words) // 4, 3 * len(words) // 4):
+            trial = [*copy[:at], f"e{k}x{at}", *copy[at + 1 :]]
+            x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, trial))
+            if len(x & y) >= 0.8 * len(x | y) or k % 10 == 3:
+                copy = trial
+        if copy == words:
+            copy = [*words, f"e{k}"]
+        x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, copy))
+        linked.append(len(x & y) >= 0.8 * len(x | y))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 100 < sum(linked) < len(linked)
+    assert [k for k, one in enumerate(linked) if (got[2 * k] == got[2 * k + 1]) != one] == []
+
+
 def test_language_model(spark, docs, rows):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     counts = Counter(w for d, t, *_ in rows if not held(d) for w in [*(t or "").encode().lower().split(), b""])

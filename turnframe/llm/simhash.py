@@ -344,13 +344,118 @@ def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: The exact pass orders shingles: those that stand in FREQUENT sets or more of one in SAMPLED come last, the most frequent at the end. At most MOST_FREQUENT are told apart. Any order gives the same links; this one keeps groups small.
+SAMPLED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
+#: Sets that a task remembers to have gone through already.
+_SEEN = 100_000
+
+
+def _sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, hash) of the shingles of one set in SAMPLED, chosen by what is in it."""
+    for b in it:
+        texts = pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
+        for lo, hi, h, of in shingle_sets(texts):
+            has, first = np.unique(of, return_index=True)
+            if len(has):
+                sums = np.add.reduceat(mix(h), first)
+                which = sums[np.searchsorted(has, of)]
+                use = which % np.uint64(SAMPLED) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(which[use].view(np.int64)), pa.array(h[use].view(np.int64))], names=["set", "h"])
+
+
+def _prefixes(frequent: np.ndarray):
+    """(h, doc_id, info) of the first n // 5 + 1 of each set's n shingles in one order; info is n, and the place in the low 32 bits.
+
+    Of two sets with 5 * both >= 4 * either, the first shingle that they share is among these of each. frequent: hashes that come last, as they stand there.
+    """
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in it:
+            ids, texts = b.column(0).to_numpy(), pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
+            for lo, hi, h, of in shingle_sets(texts):
+                has, first, n = np.unique(of, return_index=True, return_counts=True)
+                if not len(has):
+                    continue
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[k] == h, order[k] + 1, 0)
+                scattered = mix(h)
+                sums = (np.add.reduceat(scattered, first), np.bitwise_xor.reduceat(mix(scattered), first), n)
+                fresh = np.zeros(len(has), bool)
+                for j, key in enumerate(zip(*(x.tolist() for x in sums))):  # equal sets have one representative, whichever text stands for it here
+                    fresh[j] = key not in seen
+                    seen.add(key)
+                if len(seen) > _SEEN:
+                    seen.clear()
+                sorted_ = np.lexsort((h, rank, of))
+                place = np.arange(len(h)) - np.repeat(first, n)
+                use = (place <= np.repeat(n, n) // 5) & np.repeat(fresh, n)
+                info = np.repeat(n, n) << 32 | place
+                yield pa.RecordBatch.from_arrays([pa.array(h[sorted_][use].view(np.int64)), pa.array(ids[of[use]]), pa.array(info[use])], names=["h", "doc_id", "info"])
+
+    return run
+
+
+def _recurring(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h, those whose h another row has. One row is held over, so that batches meet; no group is held."""
+    last, given = None, False
+    for b in it:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy() for c in b.columns]
+        if last is not None:
+            cols = [np.concatenate((x, c)) for x, c in zip(last, cols)]
+        same = cols[0][1:] == cols[0][:-1]
+        emit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        last, after = [c[-1:] for c in cols], bool(emit[-1])
+        if given:
+            emit[0] = False
+        given = after
+        yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in cols], names=["h", "doc_id", "info"])
+
+
+def _remaining(spark: SparkSession, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) representatives in different components whose sets of shingles may be similar enough; no such pair is left out.
+
+    nodes: doc_id, n, id (the representative), component_id. Texts that share a shingle of their prefixes are paired if their
+    sizes, and what is left of both from there on, let them be similar.
+    """
+    counted = texts.mapInArrow(_sampled, "set long, h long").distinct().groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT)
+    most = counted.orderBy(F.desc("m"), "h").limit(MOST_FREQUENT).select("h").toArrow().column("h").to_numpy()
+    rows = texts.mapInArrow(_prefixes(most[::-1].view(np.uint64)), "h long, doc_id long, info long")
+    met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_recurring, "h long, doc_id long, info long")
+    size = F.shiftright("info", 32)
+    met = met.join(nodes, "doc_id").where(size == F.col("n")).select("h", "id", "component_id", size.alias("n"), (size - F.col("info").bitwiseAND(0xFFFFFFFF)).alias("left")).distinct()
+    met = materialize(spark, met, "prefixes")
+    mixed = met.groupBy("h").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("h")
+    met = met.join(mixed, "h")
+    other = met.select("h", *[F.col(c).alias(f"other_{c}") for c in ("id", "component_id", "n", "left")])
+    fits = (F.col("id") < F.col("other_id")) & (F.col("component_id") != F.col("other_component_id")) & (5 * F.least("n", "other_n") >= 4 * F.greatest("n", "other_n")) & (9 * F.least("left", "other_left") >= 4 * (F.col("n") + F.col("other_n")))
+    return met.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
+def _confirmed(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs of doc_ids whose sets of shingles are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows that repeat a doc_id may have other texts; the pair was nominated by one of them, and any similar pair links the two
+    sets = materialize(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
+    compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialize(spark, compared.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long").distinct(), "copies")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): documents linked by five-word shingles at a Jaccard similarity of 0.8 or more.
 
     Texts with equal sets of shingles are one from the start. The others are nominated by fingerprints, of whole texts at
     THRESHOLD bits under their anchors, and of classes of their shingles where these agree: under each key a text is compared
     with the first text there, and with the first of its own size, so that a key which very many texts share is no more
-    work a text than any other. Nominees are confirmed by their sets. All texts without words are copies of each other.
+    work a text than any other. Nominees are confirmed by their sets. What fingerprints do not bring together is found
+    between the components of these, by prefixes of the sets, and confirmed alike: so no link is left to chance. All texts
+    without words are copies of each other.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(spark, texts.mapInArrow(_sign, _SIGNED_SQL), "signed")
@@ -368,14 +473,16 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = reduce(DataFrame.union, [*nominees, same])
     possible = (F.least("n", "other_n") >= COPY_SIMILARITY * F.greatest("n", "other_n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= COPY_BITS)
     pairs = materialize(spark, pairs.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nominees")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that repeat a doc_id may have other texts; the pair was nominated by one of them, and any similar pair links the two
-    sets = materialize(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
-    compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    edges = materialize(spark, compared.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long").distinct(), "copies")
-    groups = connected_components(spark, edges)
-    placed = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*alike, F.coalesce("component", "id").alias("component_id"))
-    return signed.join(placed, alike).select("doc_id", "component_id")
+    groups = connected_components(spark, _confirmed(spark, texts, pairs))
+    placed = materialize(spark, reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*alike, "id", F.coalesce("component", "id").alias("component_id")), "placed")
+    nodes = signed.select("doc_id", *alike).join(placed, alike).select("doc_id", "n", "id", "component_id").distinct()
+    rest = materialize(spark, _remaining(spark, texts, nodes), "remaining")
+    if not rest.isEmpty():
+        of = placed.select("id", "component_id").distinct()
+        found = _confirmed(spark, texts, rest).join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b")
+        joined = connected_components(spark, found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        placed = placed.join(joined.withColumnRenamed("node", "component_id"), "component_id", "left").select(*alike, "id", F.coalesce("component", "component_id").alias("component_id"))
+    return signed.join(placed.drop("id"), alike).select("doc_id", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
