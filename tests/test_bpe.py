@@ -73,3 +73,16 @@ def test_decoding_that_does_not_give_the_text_gives_no_offsets():
     assert bpe.inferred_offsets(lambda ids: "ab"[: len(ids)], [1, 2], "ax") is None
     assert bpe.inferred_offsets(lambda ids: "".join(map(chr, ids)), [97, 98], "ab") == [(0, 1), (1, 2)]
     assert bpe.inferred_offsets(lambda ids: "", [], "") == []
+
+
+def test_tokens_come_in_batches_of_bounded_size():
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h " * 400] * 60 + [""]
+    columns = [pa.array(range(len(texts)), pa.int64()), *[pa.array([0] * len(texts), pa.int32())] * 2, pa.array(["T"] * len(texts)), pa.array(texts), pa.array([1] * len(texts), pa.int64())]
+    encode = bpe._encoder(tokenizers.path("byte_bpe_50k.json"), None, "native")
+    batches = list(encode(iter([pa.RecordBatch.from_arrays(columns, names=list("abcdef"))])))
+    sizes = [len(b.column(3).flatten()) for b in batches]
+    assert sum(sizes) > 2 * bpe.BATCH_TOKENS and max(sizes) < bpe.BATCH_TOKENS + 4000
+    assert [i for b in batches for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert len(batches[-1].column(3)[-1]) == 0

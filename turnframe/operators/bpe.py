@@ -7,7 +7,9 @@ that characters of several tokens are settled with work in proportion to the tex
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from turnframe.functions import token_id
 from turnframe.plans import segments
 
+#: A batch of tokens is given out at about so many.
+BATCH_TOKENS = 1 << 16
 _TOKENS = pa.list_(pa.struct([("token_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 _PLACED_SQL = "conv_id long, msg_idx int, seg_idx int, tokens array<struct<token_id:bigint,start:int,end:int>>"
 
@@ -64,16 +68,30 @@ def _backend(path: str, pattern: str | None, offsets: str):
 def _encoder(path: str, pattern: str | None, offsets: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size, special = _backend(path, pattern, offsets)
+
+        def made(b: pa.RecordBatch, counts: list[int], ids: list, starts: list, ends: list) -> pa.RecordBatch:
+            whole = pa.StructArray.from_arrays([pa.array(x, t) for x, t in ((ids, pa.int64()), (starts, pa.int32()), (ends, pa.int32()))], fields=list(_TOKENS.value_type))
+            tokens = pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), whole)
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), tokens.cast(_TOKENS)], names=["conv_id", "msg_idx", "seg_idx", "tokens"])
+
         for b in it:
-            rows = []
-            for kind, text, other in zip(*(b.column(c).to_pylist() for c in (3, 4, 5))):
+            lo, counts, columns = 0, [], (array("q"), [], [])
+            for k in range(b.num_rows):
+                kind, text, other = (b.column(c)[k].as_py() for c in (3, 4, 5))
                 if kind == "S":
                     known = special(text)
-                    rows.append([{"token_id": size + other if known is None else known, "start": 0, "end": len(text)}])
-                    continue
-                ids, places = encode(text)
-                rows.append([{"token_id": i, "start": p[0] if p else None, "end": p[1] if p else None} for i, p in zip(ids, places or [None] * len(ids))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, _TOKENS)], names=["conv_id", "msg_idx", "seg_idx", "tokens"])
+                    ids, places = [size + other if known is None else known], [(0, len(text))]
+                else:
+                    ids, places = encode(text)
+                counts.append(len(ids))
+                columns[0].extend(ids)
+                columns[1].extend(x for x, _ in places) if places else columns[1].extend([None] * len(ids))
+                columns[2].extend(x for _, x in places) if places else columns[2].extend([None] * len(ids))
+                if len(columns[0]) >= BATCH_TOKENS:  # what is held does not grow with the rows of a batch
+                    yield made(b.slice(lo, k + 1 - lo), counts, *columns)
+                    lo, counts, columns = k + 1, [], (array("q"), [], [])
+            if counts:
+                yield made(b.slice(lo), counts, *columns)
 
     return run
 
