@@ -61,3 +61,10 @@ def test_channels(spark):
 @pytest.mark.parametrize("family", sorted(r.GRAMMARS))
 def test_empty_tables(spark, family):
     assert r.read_response(texts(spark, "x").limit(0), r.GRAMMARS[family]).count() == 0
+
+
+def test_completions_of_one_file_piece_are_shared_by_all_cores(spark):
+    rows = spark.range(400, numPartitions=1).selectExpr("id", "'<tool_call>{\"name\": \"f\"}</tool_call>' AS text")
+    parsed = r.parse_hermes(rows)
+    sizes = [n for n in parsed.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert sum(sizes) == 400 and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -117,6 +117,8 @@ def read_response(completions: DataFrame, grammar: Grammar, prefilled: bool | Co
     """
     g, header = grammar, completion_tokens(F.lit(grammar.prefix), grammar.specials)
     specials = (*g.specials, *([g.prefix] if g.drops_prefix else []))
+    # a completion is few bytes but much work: however few pieces its file has, all cores share it
+    completions = completions.repartition(int(completions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     known = held(completions, tokens=_tokens(completions, specials), prefilled=prefilled if isinstance(prefilled, Column) else F.lit(prefilled))
     known = held(known, cut=before_stop(F.col("tokens"), g.stops)).select("id", "prefilled", F.col("cut").alias("pieces"))
     if g.drops_prefix:
@@ -218,13 +220,14 @@ def parse_hermes(completions: DataFrame, tools: DataFrame | None = None) -> Data
     parsed = completions if "regions" in completions.columns else read_response(completions, GRAMMARS["qwen3"])
     rows = held(_attempts(parsed, "<tool_call>", "</tool_call>"), raw=strip(plain(F.col("inner"))))
     rows = held(rows, valid=is_json(F.col("raw")))
-    rows = held(rows, name=_filled(F.when(F.col("valid") & F.col("raw").startswith("{"), F.get_json_object("raw", "$.name"))), arguments=F.coalesce(json_member(F.col("raw"), "arguments"), F.lit("{}")))
+    # what is not closed and JSON is shown neither name nor arguments, so it is not read for them
+    shown = F.col("closed") & F.col("valid")
+    rows = held(rows, name=_filled(F.when(F.col("valid") & F.col("raw").startswith("{"), F.get_json_object("raw", "$.name"))), arguments=F.when(shown, F.coalesce(json_member(F.col("raw"), "arguments"), F.lit("{}"))))
     if tools is not None:
         rows = rows.join(tools.select("name", F.lit(True).alias("known")).distinct(), "name", "left")
     unknown = ~F.coalesce("known", F.lit(False)) if tools is not None else F.lit(False)
     status = F.when(~F.col("closed"), "unclosed").when(~F.col("valid"), "invalid_json").when(F.col("name").isNull(), "missing_name").when(unknown, "unknown_tool").otherwise("ok")
-    shown = F.col("closed") & F.col("valid")
-    return rows.withColumn("status", status).withColumns({"name": F.when(shown, F.col("name")), "arguments": F.when(shown, F.col("arguments"))}).select(*_CALL)
+    return rows.withColumn("status", status).withColumn("name", F.when(shown, F.col("name"))).select(*_CALL)
 
 
 def parse_llama(completions: DataFrame) -> DataFrame:

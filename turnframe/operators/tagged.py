@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.functions import PIECE, held, strip
+from turnframe.functions import PIECE, held
 
 #: Stand between pieces and around markers while a text is taken apart. Neither is a character of any text.
 SEP, CUT = "\uffff", "\ufffe"
@@ -58,6 +58,10 @@ def plain(joined: Column) -> Column:
     return F.replace(joined, F.lit(SEP), F.lit(""))
 
 
+#: What strip() leaves something of.
+_WORDS = r"(?U)[^\s\x1c-\x1f]"
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -76,9 +80,11 @@ def scan(df: DataFrame, pieces: str, machine: Machine, start: Column) -> DataFra
     cut = F.split(F.regexp_replace(F.array_join(pieces, SEP), pattern, f"{CUT}$0{CUT}"), CUT)
 
     def lexeme(x: Column, i: Column) -> Column:
-        seen = plain(x)
-        terminal = F.when(i % 2 == 1, F.try_element_at(names, seen)).when(strip(seen) == "", "blank").otherwise("words")
-        return F.struct(x.alias("text"), (i % 2 == 1).alias("marker"), terminal.alias("terminal"), (F.length(x) - F.length(seen)).alias("seps"))
+        def made(seen: Column) -> Column:
+            terminal = F.when(i % 2 == 1, F.try_element_at(names, seen)).when(seen.rlike(_WORDS), "words").otherwise("blank")
+            return F.struct(x.alias("text"), (i % 2 == 1).alias("marker"), terminal.alias("terminal"), (F.length(x) - F.length(seen)).alias("seps"))
+
+        return _let(plain(x), made)
 
     df = held(df, parts=F.transform(cut, lexeme), begins=start)
     df = held(df, ends=F.exists("parts", lambda x: x["terminal"] == "think_end") if m.openers else F.lit(False))
@@ -90,8 +96,8 @@ def scan(df: DataFrame, pieces: str, machine: Machine, start: Column) -> DataFra
         def move(t: Column) -> Column:
             found = F.try_element_at(moves, F.concat_ws(" ", acc["state"], t))
             blocked = ends & (acc["state"] == "reasoning") & t.isin(*m.openers) if m.openers else F.lit(False)
-            to = F.when(~blocked, found)
-            return F.struct(t.alias("terminal"), F.coalesce(F.rtrim(to, F.lit("+!")), acc["state"]).alias("state"), (to.isNull() | to.endswith("+") | ~x["marker"]).alias("keep"), F.coalesce(to.endswith("!"), F.lit(False)).alias("again"))
+            moved = lambda to: F.struct(t.alias("terminal"), F.coalesce(F.rtrim(to, F.lit("+!")), acc["state"]).alias("state"), (to.isNull() | to.endswith("+") | ~x["marker"]).alias("keep"), F.coalesce(to.endswith("!"), F.lit(False)).alias("again"))
+            return _let(F.when(~blocked, found), moved)
 
         def result(v: Column) -> Column:
             was, now = inside(acc["state"]), inside(v["state"])
