@@ -22,15 +22,52 @@ def tokens(messages: DataFrame, family: str) -> DataFrame:
     return segment_tokens(segments(messages, family))
 
 
+def _cut(segs: DataFrame) -> DataFrame:
+    """segs with pieces, their tokens' texts."""
+    return segs.withColumn("pieces", F.when(F.col("kind") == "S", F.array("text")).otherwise(pieces(F.col("text"))))
+
+
+def _starting_before(bound: Column) -> Column:
+    """How many of a segment's pieces start before a character of it."""
+    count = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), (a["n"] + (a["at"] < bound).cast("int")).alias("n"))
+    counted = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), count, lambda a: a["n"])
+    return F.when(bound <= 0, 0).when(bound >= F.length("text"), F.size("pieces")).otherwise(counted)
+
+
 def segment_tokens(segs: DataFrame) -> DataFrame:
-    """tokens() of segments."""
-    cut = segs.withColumn("pieces", F.when(F.col("kind") == "S", F.array("text")).otherwise(pieces(F.col("text"))))
-    rows = cut.select("conv_id", "msg_idx", "seg_idx", "owner", "sampled", "content_from", "content_to", F.posexplode("pieces").alias("piece_idx", "piece"))
-    within = Window.partitionBy("conv_id", "msg_idx", "seg_idx").orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("piece")).over(within), F.lit(0))
-    order = Window.partitionBy("conv_id").orderBy("msg_idx", "seg_idx", "piece_idx")
-    content = F.col("sampled") | ((start >= F.col("content_from")) & (start < F.col("content_to")))
-    return rows.select("conv_id", (F.row_number().over(order) - 1).alias("pos"), token_id(F.col("piece")).alias("token_id"), "piece", "owner", "sampled", content.alias("content"))
+    """tokens() of segments. Segments are put in order and counted, tokens leave them as rows last: none is sorted."""
+    before = Window.partitionBy("conv_id").orderBy("msg_idx", "seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _cut(segs).withColumn("first", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)).cast("int"))
+    bounded = placed.select("conv_id", "first", "owner", "sampled", _starting_before(F.col("content_from")).alias("lo"), _starting_before(F.col("content_to")).alias("hi"), "pieces")
+    rows = bounded.select("conv_id", "first", "owner", "sampled", "lo", "hi", F.posexplode("pieces").alias("piece_idx", "piece"))
+    content = F.col("sampled") | ((F.col("piece_idx") >= F.col("lo")) & (F.col("piece_idx") < F.col("hi")))
+    return rows.select("conv_id", (F.col("first") + F.col("piece_idx")).alias("pos"), token_id(F.col("piece")).alias("token_id"), "piece", "owner", "sampled", content.alias("content"))
+
+
+def _in_order(segs: DataFrame, *columns: Column | str) -> DataFrame:
+    """(conv_id, s): a conversation's segments in order as an array of structs of msg_idx, seg_idx and columns."""
+    return segs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "seg_idx", *columns))).alias("s"))
+
+
+def segment_arrays(segs: DataFrame) -> DataFrame:
+    """(conv_id, token_ids, text): id_arrays() of segments and their pieces put together, without a row a token."""
+    ids = F.transform("pieces", token_id).alias("ids")
+    rows = _in_order(_cut(segs), ids, F.array_join("pieces", "").alias("text"))
+    return rows.select("conv_id", F.flatten(F.transform("s", lambda x: x["ids"])).alias("token_ids"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
+
+
+def turn_ids(segs: DataFrame, turns: DataFrame) -> DataFrame:
+    """(conv_id, prompt_ids, completion_ids, token_ids): ids before what is sampled of a message, from there to the last of it, and all.
+
+    segs: whole conversations. turns (conv_id, turn): which message, by msg_idx. Of one that nothing is sampled of, both are empty.
+    """
+    mine = F.coalesce((F.col("owner") == F.col("turn")) & F.col("sampled"), F.lit(False)).alias("mine")
+    rows = _in_order(_cut(segs.join(turns, "conv_id")), F.transform("pieces", token_id).alias("ids"), mine)
+    at = F.filter(F.transform("s", lambda x, i: F.when(x["mine"], i)), lambda i: i.isNotNull())
+    rows = rows.select("conv_id", "s", F.array_min(at).alias("begin"), F.array_max(at).alias("end"))
+    ids = lambda keep: F.flatten(F.transform(F.filter("s", keep), lambda x: x["ids"]))
+    completion = ids(lambda x, i: (i >= F.col("begin")) & (i <= F.col("end")))
+    return rows.select("conv_id", ids(lambda x, i: i < F.col("begin")).alias("prompt_ids"), completion.alias("completion_ids"), F.flatten(F.transform("s", lambda x: x["ids"])).alias("token_ids"))
 
 
 def tokens_per_message(messages: DataFrame, toks: DataFrame) -> DataFrame:
@@ -181,18 +218,23 @@ def bridge_eligibility(previous: DataFrame, new: DataFrame, retention: str) -> D
     refuses no messages, an assistant among them, retention "template", and, under "tool_cycle", a new user query; a user
     message that only wraps a tool's response is none.
     """
+    return _eligible(previous, new, retention).select("conv_id", "status")
+
+
+def _eligible(previous: DataFrame, new: DataFrame, retention: str) -> DataFrame:
+    """previous with the status of bridge_eligibility()."""
     query = is_user_query() if "content" in new.columns else F.col("role") == "user"
     asked = new.groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("assistant"), F.bool_or(query).alias("query"))
     status = F.when(F.col("assistant").isNull(), "no_messages").when(F.col("assistant"), "assistant").when(F.lit(retention) == "template", "template").when((F.lit(retention) == "tool_cycle") & F.col("query"), "user_query").when(~F.col("closed"), "synthesize_close").otherwise("bridge")
-    return previous.join(asked, "conv_id", "left").select("conv_id", status.alias("status"))
+    return previous.join(asked, "conv_id", "left").withColumn("status", status).drop("assistant", "query")
 
 
 #: Formats whose assistant turns end in a token of their own. In the others the next message's marker ends them.
 BRIDGED = ("qwen3", "qwen3.5", "qwen3.6", "deepseek-v3", "deepseek-r1", "kimi-k2", "llama-3", "minimax-m2")
 
 
-def bridge_extension(new: DataFrame, family: str) -> DataFrame:
-    """Tokens that follow an assistant turn's close: what the format puts after it, the new messages, the generation prompt.
+def extension_segments(new: DataFrame, family: str) -> DataFrame:
+    """Segments that follow an assistant turn's close: what the format puts after it, the new messages, the generation prompt.
 
     The new messages are rendered behind an empty assistant turn, of which only what follows its close is kept.
     """
@@ -204,7 +246,12 @@ def bridge_extension(new: DataFrame, family: str) -> DataFrame:
     first = F.min("msg_idx").over(whole)
     close = (F.col("msg_idx") == F.col("first")) & (F.col("kind") == "S") & F.col("text").isin(*FAMILIES[family].stops)
     placed = segs.withColumn("first", first).withColumn("close", F.max(F.when(close, F.col("seg_idx"))).over(whole))
-    return segment_tokens(placed.where((F.col("msg_idx") > F.col("first")) | (F.col("seg_idx") > F.col("close"))))
+    return placed.where((F.col("msg_idx") > F.col("first")) | (F.col("seg_idx") > F.col("close")))
+
+
+def bridge_extension(new: DataFrame, family: str) -> DataFrame:
+    """Tokens of extension_segments()."""
+    return segment_tokens(extension_segments(new, family))
 
 
 #: Of each format with reasoning: the header of an assistant turn, its markers (each one token, or spelled), and what else ends a region without an end. Fixed values of the formats.
@@ -262,24 +309,27 @@ def reasoning_state(previous: DataFrame, family: str) -> DataFrame:
 
 
 def bridge(previous: DataFrame, new: DataFrame, family: str) -> DataFrame:
-    """(conv_id, status, token_ids): the ids that a model has seen and sampled, extended by new messages without rendering
-    the conversation again; token_ids is null where status is neither bridge nor synthesize_close.
+    """(conv_id, status, token_ids, extension, ...): the ids that a model has seen and sampled, extended by new messages without rendering
+    the conversation again, and the text of what was added after the turn's close; both are null where status is neither
+    bridge nor synthesize_close.
 
-    previous: conv_id, prompt_ids, completion_ids. A completion is cut after its last stop; one without any gets the
+    previous: conv_id, prompt_ids, completion_ids, and columns that stay. A completion is cut after its last stop; one without any gets the
     format's close, behind the end of its reasoning where it broke off within that. One that stops within its reasoning
     has status open_reasoning. An empty prompt has status no_prompt.
     """
     f = FAMILIES[family]
     stops = F.array(*[token_id(F.lit(s)) for s in f.stops])
-    known = reasoning_state(previous.select("conv_id", "prompt_ids", "completion_ids"), family)
-    status = bridge_eligibility(previous.select("conv_id", F.arrays_overlap("completion_ids", stops).alias("closed")), new, f.retention)
-    joined = known.join(status, "conv_id").join(id_arrays(bridge_extension(new, family)), "conv_id", "left")
+    others = [c for c in previous.columns if c not in ("conv_id", "prompt_ids", "completion_ids")]
+    known = reasoning_state(previous, family).withColumn("closed", F.arrays_overlap("completion_ids", stops))
+    added = segment_arrays(extension_segments(new, family)).withColumnsRenamed({"token_ids": "_added", "text": "_text"})
+    joined = _eligible(known, new, f.retention).join(added, "conv_id", "left")
     within = F.col("reasoning_open") & F.arrays_overlap("completion_ids", stops)
     status_ = F.when(F.size("prompt_ids") == 0, "no_prompt").when(F.col("status").isin("no_messages", "assistant"), F.col("status")).when(within, "open_reasoning").otherwise(F.col("status"))
     close = _ids((_THINKING[family][1], "</think>")) if family in _THINKING else F.array().cast("array<bigint>")
     completion = F.when(F.col("reasoning_open"), F.concat("completion_ids", close)).otherwise(F.col("completion_ids"))
     kept = trim_to_turn_close(F.col("prompt_ids"), completion, stops, token_id(F.lit(f.stops[0])))
-    return joined.select("conv_id", status_.alias("status"), F.when(status_.isin("bridge", "synthesize_close"), F.concat(kept, "token_ids")).alias("token_ids"))
+    done = status_.isin("bridge", "synthesize_close")
+    return joined.select("conv_id", status_.alias("status"), F.when(done, F.concat(kept, "_added")).alias("token_ids"), F.when(done, F.col("_text")).alias("extension"), *others)
 
 
 def placeholder_types(ranges: DataFrame, lengths: DataFrame) -> DataFrame:

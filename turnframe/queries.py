@@ -9,7 +9,7 @@ from turnframe import operators as op
 from turnframe import bpe_queries, evidence_queries, media_queries, nested_queries, schema_queries, turn_queries  # noqa: F401
 from turnframe import response_queries  # noqa: F401  registers its queries
 from turnframe.functions import coerce_argument, pieces, think_split, token_id
-from turnframe.plans import FAMILIES, facts
+from turnframe.plans import FAMILIES, facts, segments
 from turnframe.registry import ORACLE_SQL, QUERIES, query
 from turnframe.sources import conversations, reasoning_conversations, table, tool_calls
 
@@ -490,22 +490,14 @@ def _register_bridge(family: str) -> None:
         last = F.max(F.when(F.col("role") == "assistant", F.col("msg_idx"))).over(Window.partitionBy("conv_id"))
         placed = messages.withColumn("la", last).where("la is not null")
         new = placed.where("msg_idx > la").drop("la")
-        toks = op.tokens(messages, family)
-        seen = toks.join(placed.select("conv_id", "la").distinct(), "conv_id")
+        segs = segments(messages, family)
         # The turn's own tokens up to its close; what follows them is the extension's.
-        close = F.max(F.when((F.col("owner") == F.col("la")) & F.col("sampled"), F.col("pos"))).over(Window.partitionBy("conv_id"))
-        start = F.min(F.when((F.col("owner") == F.col("la")) & F.col("sampled"), F.col("pos"))).over(Window.partitionBy("conv_id"))
-        cut = seen.withColumn("close", close).withColumn("begin", start)
-        ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "token_id")))), lambda x: x["token_id"])
-        truncated = F.col("conv_id") % 3 == 0
-        previous = cut.groupBy("conv_id").agg(ids(F.col("pos") < F.col("begin")).alias("prompt_ids"), ids((F.col("pos") >= F.col("begin")) & ((F.col("pos") < F.col("close")) | ((F.col("pos") == F.col("close")) & ~truncated))).alias("completion_ids"))
-        extension = op.bridge_extension(new, family).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("x"))
-        bridged = op.bridge(previous, new, family).join(extension, "conv_id", "left")
-        done = F.col("token_ids").isNotNull()
-        if same:
-            bridged = bridged.join(op.id_arrays(toks).withColumnRenamed("token_ids", "whole"), "conv_id")
-        compared = [F.when(done, F.when(F.col("token_ids") == F.col("whole"), "same").otherwise("other")).alias("as_rendered")] if same else []
-        return bridged.select("conv_id", "status", F.when(done, F.md5(F.col("x").cast("binary"))).alias("extension_md5"), *compared)
+        truncated = (F.col("conv_id") % 3 == 0).cast("int")
+        turns = op.turn_ids(segs, placed.select("conv_id", F.col("la").alias("turn")).distinct()).withColumnRenamed("token_ids", "whole")
+        previous = turns.withColumn("completion_ids", F.slice("completion_ids", F.lit(1), F.greatest(F.size("completion_ids") - truncated, F.lit(0))))
+        bridged = op.bridge(previous, new, family)
+        compared = [F.when(F.col("token_ids").isNotNull(), F.when(F.col("token_ids") == F.col("whole"), "same").otherwise("other")).alias("as_rendered")] if same else []
+        return bridged.select("conv_id", "status", F.md5(F.col("extension").cast("binary")).alias("extension_md5"), *compared)
 
     refused = {"all": "", "template": "WHEN true THEN 'template'", "tool_cycle": "WHEN bool_or(role = 'user') THEN 'user_query'"}[retention]
     QUERIES[name] = run
