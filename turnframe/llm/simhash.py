@@ -264,8 +264,8 @@ CLASSES = 8
 #: Bits at which the fingerprints of two whole texts may differ for them to be compared; at the similarity above, 10 are expected and 3 is the deviation.
 COPY_BITS = 22
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_SIGNED_SQL = "doc_id long, s1 long, s2 long, n long, fp long, keys array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("odd", pa.binary())])
+_SIGNED_SQL = "doc_id long, s1 long, s2 long, n long, fp long, keys array<long>, odd binary"
 
 
 def shingle_sets(texts: pa.Array, width: int = COPY_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -296,8 +296,33 @@ def _majority(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.nd
     return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+#: Places of an odd sketch: a power of two, at least twice the shingles of its set up to this. Fewer prove less, but nothing wrong.
+MOST_PLACES = 1 << 20
+
+
+def odd_sketches(scattered: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each set, a bit a place: whether an odd number of its n shingles falls there. of: the set of each shingle, from 0."""
+    places = np.minimum(np.int64(1) << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), MOST_PLACES)
+    ends = np.cumsum(places)
+    at = (ends - places)[of] + (scattered & (places[of] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[(e - k) // 8 : e // 8] for e, k in zip(ends.tolist(), places.tolist())]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """No fewer shingles than these are in only one of the sets of two odd sketches: a place whose bits differ has one at least."""
+    folded = []
+    for sketch in (x, y):
+        bits, size = int.from_bytes(sketch, "little"), 8 * len(sketch)
+        while size > 8 * min(len(x), len(y)):
+            size //= 2
+            bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+        folded.append(bits)
+    return (folded[0] ^ folded[1]).bit_count()
+
+
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: two sums that stand for its set of shingles, its size, its fingerprint, and the keys under which it meets its copies."""
+    """Of each text: two sums that stand for its set of shingles, its size, its fingerprint, the keys under which it meets its copies, and its odd sketch."""
     for b in it:
         ids, texts = b.column(0), pc.ascii_lower(pc.fill_null(b.column(1), "")).cast(pa.binary())
         for lo, hi, h, of in shingle_sets(texts):
@@ -305,8 +330,8 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
             s1, s2, fp = (np.zeros(hi - lo, np.uint64) for _ in range(3))
             keys: list[list[int]] = [[] for _ in range(hi - lo)]
+            scattered = mix(h)
             if len(h):
-                scattered = mix(h)
                 s1[has], s2[has] = np.add.reduceat(scattered, first), np.bitwise_xor.reduceat(mix(scattered), first)
                 fp[has] = _majority(h, first, n[has])
                 level = np.floor(np.log2(np.maximum(n / CLASS_SIZE, 1))).astype(np.uint64)
@@ -321,7 +346,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = mix(found ^ mix(at_level[who[start]] * np.uint64(64) + kind[start] + np.uint64(1)))
                     for w, key in zip(who[start].tolist(), found.view(np.int64).tolist()):
                         keys[w].append(key)
-            columns = (ids.slice(lo, hi - lo).to_pylist(), s1.view(np.int64), s2.view(np.int64), n, fp.view(np.int64), keys)
+            columns = (ids.slice(lo, hi - lo).to_pylist(), s1.view(np.int64), s2.view(np.int64), n, fp.view(np.int64), keys, odd_sketches(scattered, of - lo, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED)], schema=_SIGNED)
 
 
@@ -438,8 +463,23 @@ def _remaining(spark: SparkSession, texts: DataFrame, nodes: DataFrame) -> DataF
     return met.join(other, "h").where(fits).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
 
 
-def _confirmed(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of pairs of doc_ids whose sets of shingles are similar enough."""
+def _not_apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs whose odd sketches allow that their sets are similar enough."""
+    for b in it:
+        n, xs, ys = (b.column(i).to_pylist() for i in (2, 3, 4))
+        # both >= 0.8 * either is the same as difference <= sum of sizes / 9
+        keep = [9 * least_difference(x, y) <= k for k, x, y in zip(n, xs, ys)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _confirmed(spark: SparkSession, texts: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs of doc_ids whose sets of shingles are similar enough.
+
+    Odd sketches, of a thirty-second or so of a set's bytes, go first: pairs that they prove apart never bring their sets along.
+    """
+    side = lambda d, n, odd: signed.select(F.col("doc_id").alias(d), F.col("n").alias(n), F.col("odd").alias(odd))
+    sketched = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    pairs = materialize(spark, sketched.select("a", "b", (F.col("n") + F.col("m")).alias("both"), "x", "y").mapInArrow(_not_apart, "a long, b long").distinct(), "not-apart")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # rows that repeat a doc_id may have other texts; the pair was nominated by one of them, and any similar pair links the two
     sets = materialize(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
@@ -473,13 +513,13 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = reduce(DataFrame.union, [*nominees, same])
     possible = (F.least("n", "other_n") >= COPY_SIMILARITY * F.greatest("n", "other_n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= COPY_BITS)
     pairs = materialize(spark, pairs.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nominees")
-    groups = connected_components(spark, _confirmed(spark, texts, pairs))
+    groups = connected_components(spark, _confirmed(spark, texts, signed, pairs))
     placed = materialize(spark, reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*alike, "id", F.coalesce("component", "id").alias("component_id")), "placed")
     nodes = signed.select("doc_id", *alike).join(placed, alike).select("doc_id", "n", "id", "component_id").distinct()
     rest = materialize(spark, _remaining(spark, texts, nodes), "remaining")
     if not rest.isEmpty():
         of = placed.select("id", "component_id").distinct()
-        found = _confirmed(spark, texts, rest).join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b")
+        found = _confirmed(spark, texts, signed, rest).join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b")
         joined = connected_components(spark, found.select(F.col("x").alias("a"), F.col("y").alias("b")))
         placed = placed.join(joined.withColumnRenamed("node", "component_id"), "component_id", "left").select(*alike, "id", F.coalesce("component", "component_id").alias("component_id"))
     return signed.join(placed.drop("id"), alike).select("doc_id", "component_id")
