@@ -70,6 +70,50 @@ def test_suffix_array(spark, docs, rows):
     assert Counter(tuple(r)[:5] for r in suffixarray.remove_repeated_bytes(spark, docs).collect()) == want
 
 
+def plain_repeats(texts):
+    """What is left of each text, a 200-byte string at a time."""
+    seen, out = Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199)), Counter()
+    for d, t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        out[d, len(t), int(gone.sum()), len(common.runs(gone)), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("most", [suffixarray.MOST_BYTES, 0, 3000])
+def test_repeats_sorted_in_cells_or_over_all(spark, monkeypatch, most):
+    """Copies with edits, text of short periods, one passage amid many texts: by cells, by sorts over all partitions, and by both."""
+    monkeypatch.setattr(suffixarray, "MOST_BYTES", most)
+    monkeypatch.setattr(suffixarray, "CELL_BYTES", 30_000)
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    middle, base = prose(150), [prose(rnd.randint(150, 1500)) for _ in range(12)]
+    texts = ["ab" * 400, "ab" * 130 + "c", "x" * 199, "x" * 200, "y" * 201, "é" * 150, prose(40) * 9]
+    texts += [prose(rnd.randint(0, 90)) + middle + rnd.choice(base)[:rnd.randint(0, 60)] for _ in range(40)]
+    for t in base:
+        for _ in range(3):
+            at = rnd.randrange(len(t))
+            texts.append(t[:at] + rnd.choice(["", "Z", t[:70]]) + t[at:])
+    rows = list(enumerate(texts)) + [(None, base[0]), (500, None)]
+    want = plain_repeats([(d, (t or "").encode()) for d, t in rows])
+    got = Counter(tuple(r)[:5] for r in suffixarray.remove_repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and sum(k[2] for k in want) > 5000
+
+
+def test_repeats_move_little(spark):
+    """Edited copies are sorted only around their edits, so that shuffles stay within four times the text."""
+    rnd = random.Random(9)
+    base = [[f"{rnd.getrandbits(40):x}" for _ in range(400)] for _ in range(40)]
+    rows = [(k, " ".join(w[:at] + [str(k)] + w[at:])) for k, (w, at) in enumerate((w, rnd.randrange(400)) for w in base * 6)]
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = moved()
+    assert suffixarray.remove_repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string")).agg({"n_removed": "sum"}).first()[0] > 100_000
+    assert moved() - before < 4 * sum(len(t) for _, t in rows)
+
+
 def plain_fingerprint(text):
     """A bit at a time, by xxhash of joined words."""
     import re

@@ -25,10 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back. It cuts the lineage there, outlives executors, and later reads take only the columns they need."""
     path = f"{shared_dir(spark)}/turnframe/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -204,11 +204,11 @@ def drop_tables(spark: SparkSession) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bucketed(spark: SparkSession, df: DataFrame, column: str, count: int, tag: str, move: bool = True) -> DataFrame:
+def bucketed(spark: SparkSession, df: DataFrame, column: str, count: int, tag: str, move: bool = True, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder, bucketed by column: grouping by it later moves no row of it again. drop_tables() removes it.
 
     Without move, each task writes the buckets of what it has; that is for few large rows, or rows that are placed already.
     """
     name = f"{TABLES}{tag}_{uuid.uuid4().hex}"
-    (df.repartition(count, column) if move else df).write.format("parquet").bucketBy(count, column).option("path", f"{shared_dir(spark)}/turnframe/{name}").saveAsTable(name)
+    (df.repartition(count, column) if move else df).write.format("parquet").option("compression", codec).bucketBy(count, column).option("path", f"{shared_dir(spark)}/turnframe/{name}").saveAsTable(name)
     return spark.table(name)
