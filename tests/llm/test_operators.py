@@ -274,6 +274,21 @@ def test_scores_follow_a_plain_suffix_tree(spark):
         assert math.isclose(got[d], want, rel_tol=1e-6), (d, texts[d])
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    """A shard that holds a context, but none of the words listed after it, still backs off from it."""
+    rnd = random.Random(16)
+    texts = ["the cat " + rnd.choice(["sat", "ran"]) for _ in range(90)] + [f"the cat w{k}" for k in range(30)] + [f"a{rnd.randint(0, 9)} b{rnd.randint(0, 3)}" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] for r in suffixtree.language_model_scores(spark, d).collect()} for d in (docs.coalesce(1), docs.repartitionByRange(24, "doc_id")))
+    assert [d for d in one if not math.isclose(one[d], many[d], rel_tol=1e-9)] == []
+
+
+def test_packed_arrays(spark):
+    rnd = np.random.default_rng(3)
+    for x in (np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), rnd.random(7) > 0.5, rnd.random(9), np.zeros(0, np.int64), np.array([1 << 40, -3])):
+        assert (suffixtree.unpacked(suffixtree.packed(x, x.dtype == np.uint64), x.dtype, x.dtype == np.uint64) == x).all()
+
+
 def test_quality_counts(spark, docs, rows):
     got = {r["doc_id"]: r for r in quality.quality(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     for d, t, *_ in rows:

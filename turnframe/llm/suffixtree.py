@@ -7,6 +7,8 @@ down to the smoothed unigram. The least counts are fixed, so the tree grows with
 documents are dealt to shards, and each shard sends the sorted keys of its own words, pairs of context and word, or contexts,
 with what it counted of them, in ranges of keys. A range is summed over all shards, and the sums go back to each shard in
 the order of its keys. A longer context is only counted where the shorter one is listed, so each depth moves fewer keys.
+A pair travels as its context, sorted, and the number of its word, so that a context is written once for all words after it
+(for each of a few groups of them, where it is frequent, so that no range holds too much of it).
 
 Words, contexts and pairs are told apart by 64-bit hashes.
 """
@@ -33,14 +35,34 @@ DISCOUNT = 0.5
 #: Least gain in nats, over all occurrences of a context, for which it becomes a state.
 GAIN = 20.0
 #: Text of one shard, about; a longer text is a shard by itself.
-SHARD_MB = 4
+SHARD_MB = 8
 #: A range of keys holds about as many as this many shards send.
 SHARDS_PER_PART = 2
+#: A context that more training tokens follow is in several ranges, by the numbers of its words; a power of two.
+SPLIT = 1 << 16
 #: What stands for the end of a text, as its last token, and for its begin, as context of its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
 
 
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array in few bytes: how many there are, then the first bytes of all, the second bytes and so on, compressed; ascending ones by their differences."""
+    x = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)) if ascending else x)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), asbytes=True) if len(x) else b""
+
+
+def unpacked(b: bytes | None, dtype: type, ascending: bool = False) -> np.ndarray:
+    if not b:
+        return np.zeros(0, dtype)
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    x = np.frombuffer(pa.Codec("zstd").decompress(b[8:], n * width), np.uint8).reshape(width, n).T.copy().view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if ascending else x
+
+
+def joined(parts: list[bytes] | None, dtype: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(unpacked(b, dtype) for b in parts or ())])
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -57,7 +79,7 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         words, ids = np.unique(np.concatenate(held), return_inverse=True)
-        columns = ([shard], [doc_ids], [np.concatenate(sizes)], [words.tobytes()], [ids.astype(np.int32).tobytes()])
+        columns = ([shard], [doc_ids], [np.concatenate(sizes)], [packed(words, True)], [packed(ids.astype(np.int32))])
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENCODED)], schema=_ENCODED)
 
     for b in it:
@@ -83,16 +105,17 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Shard:
     """The tokens of one shard, and what counts and states say of each. levels: n0, the counts of its words; of each depth d,
     as far as they are known, n_d and own_n_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
-    back-off weights of its contexts that list something (NaN: no state). All are in the order of their keys."""
+    back-off weights of its contexts (NaN: no state). All are in the order of their keys."""
 
     def __init__(self, row: dict, total: int, distinct: int):
         self.shard, self.doc_ids, sizes = row["shard"], row["doc_ids"], np.array(row["sizes"], np.int64)
-        self.words, ids = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ids"], np.int32)
+        self.words, ids = unpacked(row["words"], np.uint64, True), unpacked(row["ids"], np.int32)
         self.ids, self.h, self.total, self.distinct, self.row = ids, self.words[ids], total, distinct, row
         self.first = np.cumsum(sizes) - sizes
         self.place = (np.arange(len(ids)) - np.repeat(self.first, sizes)).astype(np.int32)  # 0 is BEGIN
         self.train = np.repeat(~np.array([held_out(d) for d in self.doc_ids], bool), sizes)
-        self.counts = [np.frombuffer(row["n_0"], np.int32)[ids] if row.get("n_0") is not None else None]
+        self.counts = [joined(row["n_0"], np.int64)[ids] if row.get("n_0") is not None else None]
+        self.number = joined(row["id_0"], np.int64)[ids].view(np.uint64) if row.get("id_0") is not None else None
         self.contexts: list[np.ndarray | None] = [None]
 
     def _back(self, x: np.ndarray, steps: int) -> np.ndarray:
@@ -106,18 +129,26 @@ class Shard:
             self.contexts.append(mix(before + np.uint64(1)) if d == 1 else mix(self.contexts[-1] * _LONGER + before))
         return self.contexts[depth]
 
-    def pairs(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose pair of this depth can be listed, the distinct keys of these pairs, and which is whose."""
+    def pairs(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose pair of this depth can be listed, the distinct pairs (keys of contexts, or of parts of them, and words' numbers), and which is whose."""
         at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT) & (self.count(depth - 1) >= LEAST_NEXT))
-        return at, *np.unique(mix(self.context(depth)[at] * _NEXT + self.h[at]), return_inverse=True)
+        splits = np.uint64(1) << np.ceil(np.log2(np.maximum(self.context_total(depth)[at] / SPLIT, 1))).astype(np.uint64)
+        keys, numbers = mix(self.context(depth)[at] + (self.number[at] & (splits - np.uint64(1)))), self.number[at]
+        order = np.lexsort((numbers, keys))
+        keys, numbers = keys[order], numbers[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
+        which = np.empty(len(at), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return at, keys[new], numbers[new], which
 
     def count(self, depth: int) -> np.ndarray:
         """Of each token, how often it follows the depth words before it in training; 0 where that is not listed."""
         while len(self.counts) <= depth:
             d = len(self.counts)
-            at, _, which = self.pairs(d)
-            n = np.zeros(len(self.h), np.int32)
-            n[at] = np.frombuffer(self.row[f"n_{d}"] or b"", np.int32)[which]
+            at, _, _, which = self.pairs(d)
+            n = np.zeros(len(self.h), np.int64)
+            n[at] = joined(self.row[f"n_{d}"], np.int64)[which]
             self.counts.append(n)
         return self.counts[depth]
 
@@ -125,16 +156,18 @@ class Shard:
         """Of each token, how many training tokens follow the depth words before it: that is how often the last of them follows the others."""
         return self._back(self.count(depth - 1), 1)
 
-    def listing(self, depth: int) -> np.ndarray:
-        """The keys of those contexts of depth words that list a word here."""
-        return np.unique(self.context(depth)[self.count(depth) >= LEAST_NEXT])
+    def listing(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the contexts of depth words that may be states, whether or not a word that they list is here, and what follows each."""
+        at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT))
+        keys, first = np.unique(self.context(depth)[at], return_index=True)
+        return keys, self.context_total(depth)[at[first]]
 
     def log_probabilities(self, depth: int) -> np.ndarray:
         """log10 probability of each token by the states of up to depth words."""
         out = np.log10((self.count(0) + 1) / (self.total + self.distinct + 1))
         for d in range(1, depth + 1):
             at = np.flatnonzero((self.place >= d) & (self.context_total(d) >= LEAST_CONTEXT))
-            known, weights = self.listing(d), np.frombuffer(self.row[f"s_{d}"] or b"", np.float64)
+            known, weights = self.listing(d)[0], joined(self.row[f"s_{d}"], np.float64)
             known, weights = known[~np.isnan(weights)], weights[~np.isnan(weights)]
             keys = self.context(d)[at]
             order = np.argsort(keys)  # both sides sorted: the look-up goes along them once
@@ -147,20 +180,20 @@ class Shard:
         return out
 
 
-_SENT = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary())])
-_SENT_SQL = "kind int, part long, shard long, keys binary, sums binary"
+_SENT = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary()), ("sums", pa.list_(pa.binary()))])
+_SENT_SQL = "kind int, part long, shard long, keys binary, numbers binary, sums array<binary>"
 
 
-def _in_parts(shard: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> Iterator[tuple]:
+def _in_parts(shard: int, keys: np.ndarray, numbers: np.ndarray, sums: np.ndarray, parts: int) -> Iterator[tuple]:
     """Sorted keys and what belongs to them (rows of sums), cut into ranges of keys."""
     part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         if lo < hi:
-            yield k, shard, keys[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()
+            yield k, shard, packed(keys[lo:hi], True), packed(numbers[lo:hi]), [packed(x[lo:hi].astype(np.float64)) for x in sums]
 
 
-def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[np.ndarray, np.ndarray]]], parts: int):
+def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[np.ndarray, np.ndarray, np.ndarray]]], parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for k in range(b.num_rows):
@@ -172,14 +205,14 @@ def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[
     return run
 
 
-def _send_words(s: Shard) -> tuple[np.ndarray, np.ndarray]:
-    return s.words, np.bincount(s.ids, s.train, len(s.words))[None, :]
+def _send_words(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return s.words, np.zeros(len(s.words), np.uint64), np.bincount(s.ids, s.train, len(s.words))[None, :]
 
 
 def _send_pairs(depth: int):
-    def send(s: Shard) -> tuple[np.ndarray, np.ndarray]:
-        at, keys, which = s.pairs(depth)
-        return keys, np.bincount(which, s.train[at], len(keys))[None, :]
+    def send(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, keys, numbers, which = s.pairs(depth)
+        return keys, numbers, np.bincount(which, s.train[at], len(keys))[None, :]
 
     return send
 
@@ -187,60 +220,65 @@ def _send_pairs(depth: int):
 def _send_contexts(depth: int):
     """Of each context, its total, and over those of its pairs that this shard answers for: gain, listed and discounted probability, and that in the suffix."""
 
-    def send(s: Shard) -> tuple[np.ndarray, np.ndarray]:
-        at, keys, which = s.pairs(depth)
+    def send(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, keys, _, which = s.pairs(depth)
         first = np.zeros(len(keys), np.int64)
         first[which[::-1]] = at[::-1]  # one token of each pair
-        own = np.frombuffer(s.row[f"own_n_{depth}"] or b"", np.bool_)
+        own = joined(s.row[f"own_n_{depth}"], np.bool_)
         listed = s.count(depth)[first] >= LEAST_NEXT if len(first) else np.zeros(0, bool)
         at, own = first[listed], own[listed]
         n, of, suffix = s.count(depth)[at], s.context_total(depth)[at], 10 ** s.log_probabilities(depth - 1)[at]
-        keys, one, which = np.unique(s.context(depth)[at], return_index=True, return_inverse=True)
+        keys, totals = s.listing(depth)
+        which = np.searchsorted(keys, s.context(depth)[at])
         sums = [np.bincount(which, np.where(own, x, 0.0), len(keys)) for x in (n * np.log(n / of / suffix), n / of, (n - DISCOUNT) / of, suffix)]
-        return keys, np.stack([of[one].astype(float), *sums])
+        return keys, np.zeros(len(keys), np.uint64), np.stack([totals.astype(float), *sums])
 
     return send
 
 
-def _summed(answers: list[Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]]):
+def _summed(answers: list[Callable[..., list[np.ndarray]]], parts: int):
     """Sums of one range of keys over all shards, and for each shard what answer makes of them, in the order of its keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        shards, keys = table.column("shard").to_numpy(), [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        sums = [np.frombuffer(x, np.float64).reshape(-1, len(k)) if len(k) else None for x, k in zip(table.column("sums").to_pylist(), keys)]
-        rows = max((len(x) for x in sums if x is not None), default=1)
+        kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+        shards, keys = table.column("shard").to_numpy(), [unpacked(k, np.uint64, True) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        flat = np.concatenate([x for x in sums if x is not None], axis=1) if sizes.any() else np.zeros((rows, 0))
-        found = np.stack([np.bincount(which, x) if len(x) else x for x in flat])
+        numbers = np.concatenate([unpacked(x, np.uint64) for x in table.column("numbers").to_pylist()])
+        _, which = np.unique(mix(np.concatenate(keys) * _NEXT + numbers), return_inverse=True)
+        flat = [np.concatenate([unpacked(x, np.float64) for x in row]) for row in zip(*table.column("sums").to_pylist())]
+        found = np.stack([np.bincount(which, x) for x in flat])
         # the least shard that sent a key answers for it
         by_shard = np.argsort(np.repeat(shards, sizes), kind="stable")[::-1]
         owner = np.zeros(found.shape[1], np.int64)
         owner[which[by_shard]] = np.repeat(shards, sizes)[by_shard]
-        one = flat[0] if len(flat) else flat
         cuts = np.cumsum(sizes)[:-1]
-        cut = [[y.tobytes() for y in np.split(x, cuts)] for x in answers[kind](found[:, which], one, owner[which] == np.repeat(shards, sizes))]
-        return pa.table({"shard": shards, "kind": table.column("kind"), "part": table.column("part"), "values": pa.array(cut[0], pa.binary()), "own": pa.array(cut[1], pa.binary())})
+        columns = answers[kind](found[:, which], flat[0], owner[which] == np.repeat(shards, sizes))
+        if kind == 0 and answers[0] is _answer_counts:
+            # the words of a range are numbered from the most frequent on, so that frequent ones have small numbers in all ranges
+            rank = np.empty(found.shape[1], np.int64)
+            rank[np.argsort(-found[0], kind="stable")] = np.arange(found.shape[1])
+            columns.append((rank * parts + part)[which])
+        cut = [[packed(y) for y in np.split(x, cuts)] for x in columns] + [[b""] * len(keys)]
+        return pa.table({"shard": shards, "kind": table.column("kind"), "part": table.column("part"), **{n: pa.array(c, pa.binary()) for n, c in zip(("values", "own", "numbers"), cut)}})
 
     return run
 
 
 def _answer_counts(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    return [np.rint(found[0]).astype(np.int32), own]
+    return [np.rint(found[0]).astype(np.int64), own]
 
 
 def _answer_listed(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    n = np.rint(found[0]).astype(np.int32)
-    return [np.where(n >= LEAST_NEXT, n, 0).astype(np.int32), own]
+    n = np.rint(found[0]).astype(np.int64)
+    return [np.where(n >= LEAST_NEXT, n, 0), own]
 
 
 def _answer_states(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """The divergence test: back-off weights of contexts that gain enough, NaN of others."""
+    """The divergence test: back-off weights of contexts that list a word and gain enough, NaN of others."""
     _, gain, listed, discounted, suffix = found
     rest, suffix_rest = 1 - listed, np.maximum(1 - suffix, 1e-9)
     gain = gain + np.where(rest > 1e-9, one * rest * np.log(np.maximum(rest, 1e-9) / suffix_rest), 0.0)
-    return [np.where(gain >= GAIN, np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan), own]
+    return [np.where((listed > 0) & (gain >= GAIN), np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan), own]
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -269,23 +307,23 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEP
     shards = shards_for(docs, "text", SHARD_MB)
     parts = -(-shards // SHARDS_PER_PART)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", shards, "suffixtree", move=False)
+    table = bucketed(spark, texts.mapInArrow(_encode, _ENCODED_SQL), "shard", shards, "suffixtree", move=False, codec="zstd")
 
     def exchange(table: DataFrame, steps: list[tuple[Callable, Callable, str]], total: int = 0, distinct: int = 0) -> DataFrame:
         """What all shards together say of the keys of each, for each step as columns value and own_value of a row a shard."""
         sent = table.mapInArrow(_over_shards(total, distinct, [send for send, _, _ in steps], parts), _SENT_SQL)
-        summed = sent.groupBy("kind", "part").applyInArrow(_summed([answer for _, answer, _ in steps]), "shard long, kind int, part long, values binary, own binary")
-        whole = summed.repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values", "own"))).alias("all"))
+        summed = sent.groupBy("kind", "part").applyInArrow(_summed([answer for _, answer, _ in steps], parts), "shard long, kind int, part long, values binary, own binary, numbers binary")
+        whole = summed.repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values", "own", "numbers"))).alias("all"))
         columns = []
         for kind, (_, _, name) in enumerate(steps):
             mine = F.filter("all", _of_kind(kind))
-            columns += [F.aggregate(mine[c], F.lit(b""), lambda a, x: F.concat(a, x)).alias(n) for c, n in (("values", name), ("own", f"own_{name}"))]
-        return bucketed(spark, whole.select("shard", *columns), "shard", shards, "suffixtree", move=False)
+            columns += [mine[c].alias(n) for c, n in (("values", name), ("own", f"own_{name}"), ("numbers", name.replace("n_", "id_")))][: 3 if name == "n_0" else 2]
+        return bucketed(spark, whole.select("shard", *columns), "shard", shards, "suffixtree", move=False, codec="zstd")
 
     words = exchange(table, [(_send_words, _answer_counts, "n_0")])
     sizes = table.join(words, "shard").select("words", "n_0", "own_n_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     total, distinct = (int(x or 0) for x in sizes)
-    table = table.join(words.select("shard", "n_0"), "shard")
+    table = table.join(words.select("shard", "n_0", "id_0"), "shard")
     for d in range(1, depth + 2):
         # the pairs of a depth need the counts of the one before; contexts need the states of the one before and their own counts
         steps = [(_send_pairs(d), _answer_listed, f"n_{d}")] if d <= depth else []
@@ -302,6 +340,6 @@ def _training_size(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training tokens, and distinct ones, among the words that a shard answers for."""
     for b in it:
         for words, n, own in zip(*(c.to_pylist() for c in b.columns)):
-            use = np.frombuffer(own, np.bool_) & (np.frombuffer(words, np.uint64) != BEGIN)
-            found = np.frombuffer(n, np.int32)[use].astype(np.int64)
+            use = joined(own, np.bool_) & (unpacked(words, np.uint64, True) != BEGIN)
+            found = joined(n, np.int64)[use]
             yield pa.RecordBatch.from_arrays([pa.array([int(found.sum())]), pa.array([int((found > 0).sum())])], names=["tokens", "words"])
