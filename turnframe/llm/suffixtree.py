@@ -35,7 +35,7 @@ DISCOUNT = 0.5
 #: Least gain in nats, over all occurrences of a context, for which it becomes a state.
 GAIN = 20.0
 #: Text of one shard, about; a longer text is a shard by itself.
-SHARD_MB = 8
+SHARD_MB = 4
 #: A range of keys holds about as many as this many shards send.
 SHARDS_PER_PART = 2
 #: A context that more training tokens follow is in several ranges, by the numbers of its words; a power of two.
@@ -102,6 +102,17 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _by_both(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The order by keys, then numbers: one sort, with the numbers in place of the keys' last bits, where these are not needed to tell keys apart."""
+    bits = np.uint64(int(numbers.max(initial=0)).bit_length())
+    both = keys >> bits << bits | numbers
+    order = np.argsort(both)
+    high, sorted_keys = both[order] >> bits, keys[order]
+    if bits >= 64 or ((high[1:] == high[:-1]) & (sorted_keys[1:] != sorted_keys[:-1])).any():
+        return np.lexsort((numbers, keys))
+    return order
+
+
 class Shard:
     """The tokens of one shard, and what counts and states say of each. levels: n0, the counts of its words; of each depth d,
     as far as they are known, n_d and own_n_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
@@ -134,7 +145,7 @@ class Shard:
         at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT) & (self.count(depth - 1) >= LEAST_NEXT))
         splits = np.uint64(1) << np.ceil(np.log2(np.maximum(self.context_total(depth)[at] / SPLIT, 1))).astype(np.uint64)
         keys, numbers = mix(self.context(depth)[at] + (self.number[at] & (splits - np.uint64(1)))), self.number[at]
-        order = np.lexsort((numbers, keys))
+        order = _by_both(keys, numbers)
         keys, numbers = keys[order], numbers[order]
         new = np.ones(len(at), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
