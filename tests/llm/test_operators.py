@@ -215,6 +215,21 @@ def test_no_near_copy_is_left_to_chance(spark):
     assert [k for k, one in enumerate(linked) if (got[2 * k] == got[2 * k + 1]) != one] == []
 
 
+def test_substring_shards_are_not_copied(spark, docs, monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"w{k % 977}" for k in range(40_000)).encode()
+    table = pa.table({"doc_id": pa.array(range(64), pa.int64()), "text": pa.array([text] * 64, pa.binary())})
+    held = pa.total_allocated_bytes()
+    next(substrings._windows_of(table))
+    assert pa.total_allocated_bytes() - held < table.nbytes // 4
+    sizes = []
+    monkeypatch.setattr(substrings, "shards_for", lambda docs, column, mb: sizes.append(mb) or 2)
+    substrings.remove_repeats(spark, docs, with_text=True)
+    substrings.remove_repeats(spark, docs)
+    assert sizes[0] < sizes[1]
+
+
 def test_language_model(spark, docs, rows):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     counts = Counter(w for d, t, *_ in rows if not held(d) for w in [*(t or "").encode().lower().split(), b""])

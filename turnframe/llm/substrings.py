@@ -26,7 +26,8 @@ from turnframe.llm.common import bucketed, many_word_hashes, materialize, member
 
 WINDOW = 50
 PHRASE = 25
-SHARD_MB = 16
+#: Text of one shard, about; less where the kept words are handed on as well, as a task holds them beside the texts.
+SHARD_MB, SHARD_MB_KEPT = 16, 8
 #: A passage gives the automaton a block of BLOCK words every STRIDE words; a window of it holds at least one whole block.
 BLOCK, STRIDE = 12, WINDOW - 12
 #: Passages of one automaton, about. Where a shard has more, its documents go through several, one after another.
@@ -68,13 +69,15 @@ def recurring(spans: DataFrame) -> DataFrame:
 
 def _windows_of(table: pa.Table):
     """Of groups of documents: their words' hashes, the anchors of their windows, which of these lie in one document, and its doc_id."""
-    table = table.filter(pc.is_valid(table.column("doc_id")))
-    texts, ids = pc.fill_null(table.column("text"), b"").combine_chunks(), table.column("doc_id").to_numpy()
-    for _, _, h, text in many_word_hashes(texts if isinstance(texts, pa.Array) else pa.array([], pa.binary())):
-        if len(h) >= WINDOW:
-            inside = text[: 1 - WINDOW] == text[WINDOW - 1 :]
-            if inside.any():
-                yield h, window_anchors(h), inside, ids[text[: 1 - WINDOW]]
+    for batch in table.to_batches():  # a shard's texts are not copied if nothing is null
+        if batch.column("doc_id").null_count:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+        texts, ids = batch.column("text"), batch.column("doc_id").to_numpy()
+        for _, _, h, text in many_word_hashes(pc.fill_null(texts, b"") if texts.null_count else texts):
+            if len(h) >= WINDOW:
+                inside = text[: 1 - WINDOW] == text[WINDOW - 1 :]
+                if inside.any():
+                    yield h, window_anchors(h), inside, ids[text[: 1 - WINDOW]]
 
 
 def _anchors(table: pa.Table) -> pa.Table:
@@ -231,7 +234,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
     under 50 words stay; a very long text is one row of one shard, whatever its size; of equal texts that of the least doc_id
     stays whole; other columns of docs are left out, whatever their names; no rows give no rows.
     """
-    shards = shards_for(docs, "text", SHARD_MB)
+    shards = shards_for(docs, "text", SHARD_MB_KEPT if with_text else SHARD_MB)
     row = (F.col(row_column) if row_column else F.lit(None)).cast("long").alias("row")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard")
     table = bucketed(spark, docs.select(shard, F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("binary").alias("text")), "shard", shards, "substrings")
