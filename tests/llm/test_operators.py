@@ -289,6 +289,22 @@ def test_scores_follow_a_plain_suffix_tree(spark):
         assert math.isclose(got[d], want, rel_tol=1e-6), (d, texts[d])
 
 
+def test_contexts_travel_as_small_numbers():
+    """A shard names a context in 2 bytes or less, whatever its depth, and all shards send it to one range."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, parts, n = np.random.default_rng(4), 5, 60_000
+    ids = rnd.integers(0, 6_000, n).astype(np.int32)
+    numbers = rnd.permutation(8_000)[:6_000]
+    row = {"shard": 1, "doc_ids": [1], "sizes": [n], "words": suffixtree.packed(np.sort(rnd.integers(0, 2**63, 6_000)).astype(np.uint64), True), "ids": suffixtree.packed(ids), "n_0": [suffixtree.packed(np.full(6_000, 40))], "id_0": [suffixtree.packed(numbers)]}
+    sent = [x for b in suffixtree._over_shards(n, 6_000, [suffixtree._send_pairs(1)], parts)(iter([pa.RecordBatch.from_pylist([row])])) for x in b.to_pylist()]
+    assert sum(len(x["keys"]) for x in sent) <= 2 * 6_000
+    keys = suffixtree.keys_of(numbers, parts)
+    assert ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == (numbers % parts).astype(np.uint64)).all()
+    assert len(np.unique(keys)) == len(numbers)
+
+
 def test_scores_do_not_depend_on_shards(spark):
     """A shard that holds a context, but none of the words listed after it, still backs off from it."""
     rnd = random.Random(16)

@@ -42,20 +42,28 @@ SHARDS_PER_PART = 2
 SPLIT = 1 << 16
 #: What stands for the end of a text, as its last token, and for its begin, as context of its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: What is sent of gains, in nats, of probabilities and of back-off weights are whole numbers of such parts, so that sums do not depend on their order.
+_GAIN_UNITS, _SHARE_UNITS, _WEIGHT_UNITS, _NO_STATE = 2.0**24, 2.0**40, 2.0**32, 1 << 40
 _LONGER, _NEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
 
 
 def packed(x: np.ndarray, ascending: bool = False) -> bytes:
-    """An array in few bytes: how many there are, then the first bytes of all, the second bytes and so on, compressed; ascending ones by their differences."""
+    """An array in few bytes: how many there are and how wide, then the first bytes of all, the second bytes and so on, compressed; ascending ones by their differences."""
     x = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)) if ascending else x)
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), asbytes=True) if len(x) else b""
+    if not len(x):
+        return b""
+    if x.dtype.kind in "iu":
+        x = x.astype(next(t for t in (f"{x.dtype.kind}{w}" for w in (1, 2, 4, 8)) if np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max))
+    planes = x.view(np.uint8).reshape(len(x), -1).T
+    return len(x).to_bytes(7, "little") + bytes([x.dtype.itemsize]) + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(b: bytes | None, dtype: type, ascending: bool = False) -> np.ndarray:
     if not b:
         return np.zeros(0, dtype)
-    n, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
-    x = np.frombuffer(pa.Codec("zstd").decompress(b[8:], n * width), np.uint8).reshape(width, n).T.copy().view(dtype).ravel()
+    n, width, kind = int.from_bytes(b[:7], "little"), b[7], np.dtype(dtype).kind
+    planes = np.frombuffer(pa.Codec("zstd").decompress(memoryview(b)[8:], n * width), np.uint8).reshape(width, n)
+    x = np.ascontiguousarray(planes.T).view(f"{kind}{width}" if kind in "iu" else dtype).ravel().astype(dtype, copy=False)
     return np.cumsum(x, dtype=dtype) if ascending else x
 
 
@@ -102,92 +110,120 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _by_both(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The order by keys, then numbers: one sort, with the numbers in place of the keys' last bits, where these are not needed to tell keys apart."""
-    bits = np.uint64(int(numbers.max(initial=0)).bit_length())
-    both = keys >> bits << bits | numbers
-    order = np.argsort(both)
-    high, sorted_keys = both[order] >> bits, keys[order]
-    if bits >= 64 or ((high[1:] == high[:-1]) & (sorted_keys[1:] != sorted_keys[:-1])).any():
-        return np.lexsort((numbers, keys))
-    return order
+def keys_of(numbers: np.ndarray, parts: int) -> np.ndarray:
+    """A key of each number, in the range of keys that gave it; numbers of one range are close to each other there, so that differences of keys are small."""
+    rank, part = np.divmod(numbers.astype(np.uint64), np.uint64(parts))
+    return (((part << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts) << np.uint64(32)) + rank
+
+
+def _marked(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flags[at], False where at is -1."""
+    return np.append(flags, False)[at]
+
+
+class Level:
+    """The contexts of one depth in a shard, and the pairs of them and a next word that can be listed. A context of d words is a
+    pair of the depth before, one token earlier, so it goes by that pair's number in the shard, and nothing is sorted for it."""
+
+    def __init__(self, s: Shard, depth: int, before: Shard | Level):
+        self.totals = before.n
+        context = np.empty_like(before.pair_of)
+        context[:1], context[1:] = -1, before.pair_of[:-1]
+        #: Tokens after a context that training has often enough, and their contexts.
+        self.after = np.flatnonzero(_marked(before.n >= LEAST_CONTEXT, context) & (s.place >= depth))
+        self.context = context[self.after]
+        used = np.zeros(len(before.n), bool)
+        used[self.context] = True
+        used = np.flatnonzero(used)
+        hashes = keys_of(before.numbers_after[used], s.parts)
+        order = np.argsort(hashes)
+        #: The contexts, in the order of their keys, and of each its place in it.
+        self.used, self.hashes = used[order], hashes[order]
+        self.rank = np.zeros(len(before.n), np.int32)
+        self.rank[self.used] = np.arange(len(used))
+        can = _marked(before.n >= LEAST_NEXT, before.pair_of[self.after])
+        self._pairs(s, self.after[can], self.context[can])
+
+    def _pairs(self, s: Shard, at: np.ndarray, context: np.ndarray) -> None:
+        # a frequent context is several keys, by the last bits of its words' numbers
+        splits = np.int64(1) << np.ceil(np.log2(np.maximum(self.totals[self.used] / SPLIT, 1))).astype(np.int64)
+        first = np.cumsum(splits) - splits
+        of = np.repeat(np.arange(len(splits)), splits)
+        turn = np.arange(len(of)) - first[of]
+        keys = np.where(turn == 0, self.hashes[of], mix(self.hashes[of] + turn.astype(np.uint64)))
+        order = np.argsort(keys)
+        by_key = np.empty(len(keys), np.int32)
+        by_key[order] = np.arange(len(keys))
+        rank = self.rank[context]
+        if len(keys) == len(splits):
+            key = by_key[rank]
+        else:
+            key = by_key[first[rank] + (s.number[s.ids[at]].view(np.int64) & (splits[rank] - 1))]
+        word = s.word_rank[at]
+        words, places = len(s.number).bit_length(), len(at).bit_length()
+        if len(keys).bit_length() + words + places <= 64:  # one sort of values
+            both = np.sort(((key.astype(np.uint64) << np.uint64(words) | word) << np.uint64(places)) | np.arange(len(at), dtype=np.uint64))
+            turn = (both & np.uint64((1 << places) - 1)).view(np.int64)
+            both >>= np.uint64(places)
+            new = np.concatenate((np.ones(min(1, len(at)), bool), both[1:] != both[:-1]))
+            both = both[new]
+            key, word = (both >> np.uint64(words)).view(np.int64), (both & np.uint64((1 << words) - 1)).view(np.int64)
+        else:
+            turn = np.lexsort((word, key))
+            key, word = key[turn], word[turn]
+            new = np.concatenate((np.ones(min(1, len(at)), bool), (key[1:] != key[:-1]) | (word[1:] != word[:-1])))
+            key, word = key[new], word[new]
+        #: Of each pair, in the order of keys and words' numbers: its key, its word's number, its context, and one token.
+        self.keys, self.numbers, self.context_of, self.one = keys[order[key]], s.sorted_numbers[word], self.used[of[order[key]]], at[turn[new]]
+        self.pair_of = np.full(len(s.ids), -1, np.int32)
+        self.pair_of[at[turn]] = np.cumsum(new) - 1
+        self.n = None
+
+    def counted(self, n: np.ndarray, numbers: np.ndarray) -> Level:
+        """n: how often training has each pair, 0 of those that are not listed; numbers: of those that can be contexts, from 1."""
+        self.n, self.numbers_after = n, numbers - 1
+        return self
 
 
 class Shard:
-    """The tokens of one shard, and what counts and states say of each. levels: n0, the counts of its words; of each depth d,
-    as far as they are known, n_d and own_n_d, the counts of its candidate pairs and which of them it answers for, and s_d, the
-    back-off weights of its contexts (NaN: no state). All are in the order of their keys."""
+    """The tokens of one shard, and what counts and states say of each. Of the exchanges so far a row has n_0 and id_0, the counts
+    and numbers of its words, n_d and own_n_d, the counts of its candidate pairs of depth d and which of them it answers for, and
+    s_d, the back-off weights of its contexts. All are in the order of their keys."""
 
-    def __init__(self, row: dict, total: int, distinct: int):
+    def __init__(self, row: dict, total: int, distinct: int, parts: int):
         self.shard, self.doc_ids, sizes = row["shard"], row["doc_ids"], np.array(row["sizes"], np.int64)
-        self.words, ids = unpacked(row["words"], np.uint64, True), unpacked(row["ids"], np.int32)
-        self.ids, self.h, self.total, self.distinct, self.row = ids, self.words[ids], total, distinct, row
+        self.ids, self.total, self.distinct, self.parts, self.row = unpacked(row["ids"], np.int32), total, distinct, parts, row
         self.first = np.cumsum(sizes) - sizes
-        self.place = (np.arange(len(ids)) - np.repeat(self.first, sizes)).astype(np.int32)  # 0 is BEGIN
+        self.place = (np.arange(len(self.ids)) - np.repeat(self.first, sizes)).astype(np.int32)  # 0 is BEGIN
         self.train = np.repeat(~np.array([held_out(d) for d in self.doc_ids], bool), sizes)
-        self.counts = [joined(row["n_0"], np.int64)[ids] if row.get("n_0") is not None else None]
-        self.number = joined(row["id_0"], np.int64)[ids].view(np.uint64) if row.get("id_0") is not None else None
-        self.contexts: list[np.ndarray | None] = [None]
-
-    def _back(self, x: np.ndarray, steps: int) -> np.ndarray:
-        return np.concatenate((np.zeros(min(steps, len(x)), x.dtype), x[: max(0, len(x) - steps)]))
-
-    def context(self, depth: int) -> np.ndarray:
-        """Of each token, the key of the depth words before it; of no meaning where its place is less than depth."""
-        while len(self.contexts) <= depth:
-            d = len(self.contexts)
-            before = self._back(self.h, d)
-            self.contexts.append(mix(before + np.uint64(1)) if d == 1 else mix(self.contexts[-1] * _LONGER + before))
-        return self.contexts[depth]
-
-    def pairs(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose pair of this depth can be listed, the distinct pairs (keys of contexts, or of parts of them, and words' numbers), and which is whose."""
-        at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT) & (self.count(depth - 1) >= LEAST_NEXT))
-        splits = np.uint64(1) << np.ceil(np.log2(np.maximum(self.context_total(depth)[at] / SPLIT, 1))).astype(np.uint64)
-        keys, numbers = mix(self.context(depth)[at] + (self.number[at] & (splits - np.uint64(1)))), self.number[at]
-        order = _by_both(keys, numbers)
-        keys, numbers = keys[order], numbers[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
-        which = np.empty(len(at), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return at, keys[new], numbers[new], which
-
-    def count(self, depth: int) -> np.ndarray:
-        """Of each token, how often it follows the depth words before it in training; 0 where that is not listed."""
-        while len(self.counts) <= depth:
-            d = len(self.counts)
-            at, _, _, which = self.pairs(d)
-            n = np.zeros(len(self.h), np.int64)
-            n[at] = joined(self.row[f"n_{d}"], np.int64)[which]
-            self.counts.append(n)
-        return self.counts[depth]
-
-    def context_total(self, depth: int) -> np.ndarray:
-        """Of each token, how many training tokens follow the depth words before it: that is how often the last of them follows the others."""
-        return self._back(self.count(depth - 1), 1)
-
-    def listing(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of the contexts of depth words that may be states, whether or not a word that they list is here, and what follows each."""
-        at = np.flatnonzero((self.place >= depth) & (self.context_total(depth) >= LEAST_CONTEXT))
-        keys, first = np.unique(self.context(depth)[at], return_index=True)
-        return keys, self.context_total(depth)[at[first]]
+        self.levels: list[Level] = []
+        if row.get("n_0") is not None:  # words are pairs of no context
+            self.pair_of, self.n, self.numbers_after = self.ids, joined(row["n_0"], np.int64), joined(row["id_0"], np.int64)
+            self.number = self.numbers_after.view(np.uint64)
+            order = np.argsort(self.number)
+            self.sorted_numbers, rank = self.number[order], np.empty(len(order), np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            self.word_rank = rank[self.ids]
+
+    def level(self, depth: int) -> Level:
+        while len(self.levels) < depth:
+            d = len(self.levels)
+            self.levels.append(Level(self, d + 1, self.counted(d) if d else self))
+        return self.levels[depth - 1]
+
+    def counted(self, depth: int) -> Level:
+        level = self.level(depth)
+        return level if level.n is not None else level.counted(joined(self.row[f"n_{depth}"], np.int64), joined(self.row[f"id_{depth}"], np.int64))
 
     def log_probabilities(self, depth: int) -> np.ndarray:
         """log10 probability of each token by the states of up to depth words."""
-        out = np.log10((self.count(0) + 1) / (self.total + self.distinct + 1))
+        out = np.log10((self.n + 1) / (self.total + self.distinct + 1))[self.ids]
         for d in range(1, depth + 1):
-            at = np.flatnonzero((self.place >= d) & (self.context_total(d) >= LEAST_CONTEXT))
-            known, weights = self.listing(d)[0], joined(self.row[f"s_{d}"], np.float64)
-            known, weights = known[~np.isnan(weights)], weights[~np.isnan(weights)]
-            keys = self.context(d)[at]
-            order = np.argsort(keys)  # both sides sorted: the look-up goes along them once
-            at, keys = at[order], keys[order]
-            k = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-            met = known[k] == keys if len(known) else np.zeros(len(keys), bool)
-            at, back_off = at[met], weights[k[met]]
-            n, of = self.count(d)[at], self.context_total(d)[at]
-            out[at] = np.where(n >= LEAST_NEXT, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / of), out[at] + back_off)
+            level, back_off = self.counted(d), weights(joined(self.row[f"s_{d}"], np.int64))
+            back_off = back_off[level.rank[level.context]] if len(back_off) else np.zeros(0)
+            listed = np.where(level.n >= LEAST_NEXT, np.log10(np.maximum(level.n - DISCOUNT, DISCOUNT) / level.totals[level.context_of]), np.nan)
+            listed, before = np.append(listed, np.nan)[level.pair_of[level.after]], out[level.after]
+            out[level.after] = np.where(np.isnan(back_off), before, np.where(np.isnan(listed), before + back_off, listed))
         return out
 
 
@@ -201,14 +237,14 @@ def _in_parts(shard: int, keys: np.ndarray, numbers: np.ndarray, sums: np.ndarra
     ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         if lo < hi:
-            yield k, shard, packed(keys[lo:hi], True), packed(numbers[lo:hi]), [packed(x[lo:hi].astype(np.float64)) for x in sums]
+            yield k, shard, packed(keys[lo:hi], True), packed(numbers[lo:hi]), [packed(x[lo:hi]) for x in sums]
 
 
 def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[np.ndarray, np.ndarray, np.ndarray]]], parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for k in range(b.num_rows):
-                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
+                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct, parts)
                 rows = [(kind, *row) for kind, send in enumerate(sends) for row in _in_parts(s.shard, *send(s), parts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
@@ -217,32 +253,29 @@ def _over_shards(total: int, distinct: int, sends: list[Callable[[Shard], tuple[
 
 
 def _send_words(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return s.words, np.zeros(len(s.words), np.uint64), np.bincount(s.ids, s.train, len(s.words))[None, :]
+    words = unpacked(s.row["words"], np.uint64, True)
+    return words, np.zeros(len(words), np.uint64), np.bincount(s.ids[s.train], minlength=len(words))[None, :]
 
 
 def _send_pairs(depth: int):
     def send(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, keys, numbers, which = s.pairs(depth)
-        return keys, numbers, np.bincount(which, s.train[at], len(keys))[None, :]
+        level = s.level(depth)
+        return level.keys, level.numbers, np.bincount(level.pair_of[s.train & (level.pair_of >= 0)], minlength=len(level.keys))[None, :]
 
     return send
 
 
 def _send_contexts(depth: int):
-    """Of each context, its total, and over those of its pairs that this shard answers for: gain, listed and discounted probability, and that in the suffix."""
+    """Of each context, its total, and over those of its pairs that this shard answers for: how many, how often they are there, gain, and probability in the suffix."""
 
     def send(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, keys, _, which = s.pairs(depth)
-        first = np.zeros(len(keys), np.int64)
-        first[which[::-1]] = at[::-1]  # one token of each pair
-        own = joined(s.row[f"own_n_{depth}"], np.bool_)
-        listed = s.count(depth)[first] >= LEAST_NEXT if len(first) else np.zeros(0, bool)
-        at, own = first[listed], own[listed]
-        n, of, suffix = s.count(depth)[at], s.context_total(depth)[at], 10 ** s.log_probabilities(depth - 1)[at]
-        keys, totals = s.listing(depth)
-        which = np.searchsorted(keys, s.context(depth)[at])
-        sums = [np.bincount(which, np.where(own, x, 0.0), len(keys)) for x in (n * np.log(n / of / suffix), n / of, (n - DISCOUNT) / of, suffix)]
-        return keys, np.zeros(len(keys), np.uint64), np.stack([totals.astype(float), *sums])
+        level = s.counted(depth)
+        pairs = np.flatnonzero((level.n >= LEAST_NEXT) & joined(s.row[f"own_n_{depth}"], np.bool_))
+        n, context = level.n[pairs], level.context_of[pairs]
+        which, suffix = level.rank[context], 10 ** s.log_probabilities(depth - 1)[level.one[pairs]]
+        gain = n * np.log(n / level.totals[context] / suffix)
+        sums = [np.bincount(which, x, len(level.used)) for x in (np.ones(len(n)), n, gain * _GAIN_UNITS, suffix * _SHARE_UNITS)]
+        return level.hashes, np.zeros(len(level.used), np.uint64), np.rint(np.stack([level.totals[level.used], *sums])).astype(np.int64)
 
     return send
 
@@ -252,24 +285,26 @@ def _summed(answers: list[Callable[..., list[np.ndarray]]], parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+        table = table.sort_by("shard")
         shards, keys = table.column("shard").to_numpy(), [unpacked(k, np.uint64, True) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys])
         numbers = np.concatenate([unpacked(x, np.uint64) for x in table.column("numbers").to_pylist()])
         _, which = np.unique(mix(np.concatenate(keys) * _NEXT + numbers), return_inverse=True)
-        flat = [np.concatenate([unpacked(x, np.float64) for x in row]) for row in zip(*table.column("sums").to_pylist())]
+        flat = [np.concatenate([unpacked(x, np.int64) for x in row]) for row in zip(*table.column("sums").to_pylist())]
         found = np.stack([np.bincount(which, x) for x in flat])
         # the least shard that sent a key answers for it
-        by_shard = np.argsort(np.repeat(shards, sizes), kind="stable")[::-1]
+        sender = np.repeat(shards, sizes)
         owner = np.zeros(found.shape[1], np.int64)
-        owner[which[by_shard]] = np.repeat(shards, sizes)[by_shard]
+        owner[which[::-1]] = sender[::-1]
         cuts = np.cumsum(sizes)[:-1]
-        columns = answers[kind](found[:, which], flat[0], owner[which] == np.repeat(shards, sizes))
-        if kind == 0 and answers[0] is _answer_counts:
-            # the words of a range are numbered from the most frequent on, so that frequent ones have small numbers in all ranges
+        columns = answers[kind](found[:, which], flat[0], owner[which] == sender)
+        if answers[kind] is not _answer_states:
+            # the words, or pairs that can be contexts, of a range are numbered from the most frequent on, so that frequent ones have small numbers in all ranges
             rank = np.empty(found.shape[1], np.int64)
             rank[np.argsort(-found[0], kind="stable")] = np.arange(found.shape[1])
-            columns.append((rank * parts + part)[which])
-        cut = [[packed(y) for y in np.split(x, cuts)] for x in columns] + [[b""] * len(keys)]
+            number = rank * parts + part
+            columns.append((number if answers[kind] is _answer_counts else np.where(found[0] >= LEAST_CONTEXT, number + 1, 0))[which])
+        cut = [[packed(y) for y in np.split(x, cuts)] for x in columns] + [[b""] * len(keys)] * 2
         return pa.table({"shard": shards, "kind": table.column("kind"), "part": table.column("part"), **{n: pa.array(c, pa.binary()) for n, c in zip(("values", "own", "numbers"), cut)}})
 
     return run
@@ -285,24 +320,31 @@ def _answer_listed(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[
 
 
 def _answer_states(found: np.ndarray, one: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """The divergence test: back-off weights of contexts that list a word and gain enough, NaN of others."""
-    _, gain, listed, discounted, suffix = found
-    rest, suffix_rest = 1 - listed, np.maximum(1 - suffix, 1e-9)
+    """The divergence test: back-off weights of contexts that list a word and gain enough, in units; _NO_STATE of others."""
+    _, words, n, gain, suffix = found
+    gain, suffix = gain / _GAIN_UNITS, suffix / _SHARE_UNITS
+    rest, suffix_rest = 1 - n / one, np.maximum(1 - suffix, 1e-9)
     gain = gain + np.where(rest > 1e-9, one * rest * np.log(np.maximum(rest, 1e-9) / suffix_rest), 0.0)
-    return [np.where((listed > 0) & (gain >= GAIN), np.log10(np.maximum(1 - discounted, 1e-9) / suffix_rest), np.nan), own]
+    weight = np.log10(np.maximum(1 - (n - DISCOUNT * words) / one, 1e-9) / suffix_rest)
+    return [np.where((words > 0) & (gain >= GAIN), np.rint(weight * _WEIGHT_UNITS), _NO_STATE).astype(np.int64)]
+
+
+def weights(x: np.ndarray) -> np.ndarray:
+    """Back-off weights from their units; NaN where there is no state."""
+    return np.where(x == _NO_STATE, np.nan, x / _WEIGHT_UNITS)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(depth: int, total: int, distinct: int):
+def _scorer(depth: int, total: int, distinct: int, parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for k in range(b.num_rows):
-                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct)
+                s = Shard(b.slice(k, 1).to_pylist()[0], total, distinct, parts)
                 token, held = s.place > 0, [held_out(d) for d in s.doc_ids]
-                columns = [np.add.reduceat(np.where(token, x, 0), s.first) for x in (token.astype(np.int64), (token & (s.count(0) > 0)).astype(np.int64), s.log_probabilities(0), s.log_probabilities(depth))]
+                columns = [np.add.reduceat(np.where(token, x, 0), s.first) for x in (token.astype(np.int64), (token & (s.n > 0)[s.ids]).astype(np.int64), s.log_probabilities(0), s.log_probabilities(depth))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((s.doc_ids, held, *columns[:2], np.full(len(held), total), *columns[2:]), _SCORED)], schema=_SCORED)
 
     return run
@@ -328,19 +370,19 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, depth: int = DEP
         columns = []
         for kind, (_, _, name) in enumerate(steps):
             mine = F.filter("all", _of_kind(kind))
-            columns += [mine[c].alias(n) for c, n in (("values", name), ("own", f"own_{name}"), ("numbers", name.replace("n_", "id_")))][: 3 if name == "n_0" else 2]
+            columns += [mine[c].alias(n) for c, n in (("values", name), ("own", f"own_{name}"), ("numbers", name.replace("n_", "id_")))][: 3 if name.startswith("n_") else 1]
         return bucketed(spark, whole.select("shard", *columns), "shard", shards, "suffixtree", move=False, codec="zstd")
 
     words = exchange(table, [(_send_words, _answer_counts, "n_0")])
     sizes = table.join(words, "shard").select("words", "n_0", "own_n_0").mapInArrow(_training_size, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     total, distinct = (int(x or 0) for x in sizes)
-    table = table.join(words.select("shard", "n_0", "id_0"), "shard")
+    table = table.drop("words").join(words.select("shard", "n_0", "id_0"), "shard")
     for d in range(1, depth + 2):
         # the pairs of a depth need the counts of the one before; contexts need the states of the one before and their own counts
         steps = [(_send_pairs(d), _answer_listed, f"n_{d}")] if d <= depth else []
         steps += [(_send_contexts(d - 1), _answer_states, f"s_{d - 1}")] if d > 1 else []
-        table = table.join(exchange(table, steps, total, distinct), "shard", "left").drop(f"own_s_{d - 1}", f"own_n_{d - 1}")
-    return table.mapInArrow(_scorer(depth, total, distinct), _SCORED_SQL)
+        table = table.join(exchange(table, steps, total, distinct), "shard", "left").drop(f"own_n_{d - 1}")
+    return table.mapInArrow(_scorer(depth, total, distinct, parts), _SCORED_SQL)
 
 
 def _of_kind(kind: int):
