@@ -7,10 +7,11 @@ down to the smoothed unigram. The least counts are fixed, so the tree grows with
 documents are dealt to shards, and each shard sends the sorted keys of its own words, pairs of context and word, or contexts,
 with what it counted of them, in ranges of keys. A range is summed over all shards, and the sums go back to each shard in
 the order of its keys. A longer context is only counted where the shorter one is listed, so each depth moves fewer keys.
-A pair travels as its context, sorted, and the number of its word, so that a context is written once for all words after it
-(for each of a few groups of them, where it is frequent, so that no range holds too much of it).
+Each range numbers its words, or the pairs in it that can be contexts, and a pair travels as the number of its context, sorted,
+and that of its word, so that a context is written once for all words after it (for each of a few groups of them, where it is
+frequent, so that no range holds too much of it).
 
-Words, contexts and pairs are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, pairs within a range by 64-bit hashes of their numbers.
 """
 
 from __future__ import annotations
