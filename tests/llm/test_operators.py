@@ -314,6 +314,35 @@ def test_scores_do_not_depend_on_shards(spark):
     assert [d for d in one if not math.isclose(one[d], many[d], rel_tol=1e-9)] == []
 
 
+def test_frequent_contexts_keep_their_keys():
+    """Contexts whose numbers are neighbours, each in several ranges, share no key with the same word."""
+    n, words = 40_000, 50
+    ids = np.random.default_rng(9).integers(0, words, n).astype(np.int32)
+    counts = np.full(words, 40)
+    counts[[0, 2]] = 4 * suffixtree.SPLIT, 2 * suffixtree.SPLIT
+    row = {"shard": 1, "doc_ids": [1], "sizes": [n], "ids": suffixtree.packed(ids), "n_0": [suffixtree.packed(counts)], "id_0": [suffixtree.packed(np.arange(words))]}
+    level = suffixtree.Shard(row, n, words, 1).level(1)
+    assert len(set(zip(level.keys.tolist(), level.numbers.tolist()))) == len(level.keys)
+
+
+def test_rows_between_shards_and_ranges():
+    """Shards times ranges stay few on 10 GB of text (some 6 GB of Parquet), and small tables still have work for all cores."""
+    _, shards, parts = suffixtree.dealt(10_200_000_000, 12)
+    assert shards * parts < 600_000
+    limit, shards, parts = suffixtree.dealt(25_000_000, 4)
+    assert shards >= 8 and limit * shards >= 25_000_000 and parts >= 1
+    assert suffixtree.dealt(0, 8)[1:] == (1, 1)
+
+
+def test_packed_runs():
+    rnd = np.random.default_rng(8)
+    bounds = np.array([0, 1, 300, 301, 1000])
+    for x, ascending in ((np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), True), (rnd.integers(-(1 << 41), 1 << 41, 1000), False), (np.arange(1000, dtype=np.int32) - 300, False), (np.repeat([127, -128, 1 << 31, 255], 250), False), (rnd.random(1000) > 0.5, False)):
+        runs = suffixtree.packed_runs(x, bounds, ascending)
+        assert [suffixtree.unpacked(b, x.dtype, ascending).tolist() for b in runs] == [x[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])]
+    assert suffixtree.packed_runs(np.zeros(0, np.int64), np.array([0])) == []
+
+
 def test_packed_arrays(spark):
     rnd = np.random.default_rng(3)
     for x in (np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), rnd.random(7) > 0.5, rnd.random(9), np.zeros(0, np.int64), np.array([1 << 40, -3])):
