@@ -337,9 +337,11 @@ def test_rows_between_shards_and_ranges():
 def test_packed_runs():
     rnd = np.random.default_rng(8)
     bounds = np.array([0, 1, 300, 301, 1000])
-    for x, ascending in ((np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), True), (rnd.integers(-(1 << 41), 1 << 41, 1000), False), (np.arange(1000, dtype=np.int32) - 300, False), (np.repeat([127, -128, 1 << 31, 255], 250), False), (rnd.random(1000) > 0.5, False)):
+    for x, ascending in ((np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), True), (rnd.integers(-(1 << 41), 1 << 41, 1000), False), (np.arange(1000, dtype=np.int32) - 300, False), (np.repeat([127, -128, 1 << 31, 255], 250), False), (np.repeat([-1, -200, 7, 1 << 40], [1, 299, 1, 699]), False), (rnd.random(1000) > 0.5, False)):
         runs = suffixtree.packed_runs(x, bounds, ascending)
         assert [suffixtree.unpacked(b, x.dtype, ascending).tolist() for b in runs] == [x[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])]
+        if x.dtype != bool:
+            assert [y.tolist() for y in suffixtree.unpacked_runs(runs, x.dtype, ascending)] == [x.tolist(), bounds.tolist()]
     assert suffixtree.packed_runs(np.zeros(0, np.int64), np.array([0])) == []
 
 

@@ -79,16 +79,46 @@ def packed(x: np.ndarray, ascending: bool = False) -> bytes:
     return packed_runs(x, np.array([0, len(x)]), ascending)[0] if len(x) else b""
 
 
+def unpacked_runs(runs: list[bytes], dtype: type, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of integers, one after the other, and their bounds."""
+    zstd, sizes = pa.Codec("zstd"), np.array([int.from_bytes(b[:7], "little") for b in runs], np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    widths = np.array([b[7] if b else 1 for b in runs], np.int64)
+    wide = int(widths.max(initial=1))
+    planes = np.zeros((wide, bounds[-1]), np.uint8)
+    for b, w, lo, hi in zip(runs, widths.tolist(), bounds.tolist(), bounds[1:].tolist()):
+        if lo < hi:
+            planes[:w, lo:hi] = np.frombuffer(zstd.decompress(memoryview(b)[8:], w * (hi - lo)), np.uint8).reshape(w, hi - lo)
+    x = np.ascontiguousarray(planes.T).view(f"u{wide}").ravel()
+    del planes
+    if np.dtype(dtype).kind == "i":
+        if widths.min(initial=wide) < wide:  # narrower ones get their signs
+            unused = np.repeat((8 * (wide - widths)).astype(np.int8), sizes)
+            x <<= unused.view(np.uint8)
+            x = x.view(f"i{wide}")
+            x >>= unused
+        x = x.view(f"i{wide}").astype(np.int64, copy=False)
+    else:
+        x = x.astype(np.uint64, copy=False)
+    if ascending:
+        np.cumsum(x, out=x)
+        x -= np.repeat(np.append(np.uint64(0), x)[bounds[:-1]], sizes)
+    return x, bounds
+
+
 def unpacked(b: bytes | None, dtype: type, ascending: bool = False) -> np.ndarray:
     if not b:
         return np.zeros(0, dtype)
-    n, width, kind = int.from_bytes(b[:7], "little"), b[7], np.dtype(dtype).kind
+    if np.dtype(dtype).kind in "iu":
+        return unpacked_runs([b], dtype, ascending)[0].astype(dtype, copy=False)
+    n, width = int.from_bytes(b[:7], "little"), b[7]
     planes = np.frombuffer(pa.Codec("zstd").decompress(memoryview(b)[8:], n * width), np.uint8).reshape(width, n)
-    x = np.ascontiguousarray(planes.T).view(f"{kind}{width}" if kind in "iu" else dtype).ravel().astype(dtype, copy=False)
-    return np.cumsum(x, dtype=dtype) if ascending else x
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def joined(parts: list[bytes] | None, dtype: type) -> np.ndarray:
+    if np.dtype(dtype).kind in "iu":
+        return unpacked_runs(parts or [], dtype)[0]
     return np.concatenate([np.zeros(0, dtype), *(unpacked(b, dtype) for b in parts or ())])
 
 
@@ -352,14 +382,12 @@ def _summed(answers: list[Callable[..., list[np.ndarray]]], parts: int):
     def run(table: pa.Table) -> pa.Table:
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
         table = table.sort_by("shard")
-        shards, keys = table.column("shard").to_numpy(), [unpacked(k, np.uint64, True) for k in table.column("keys").to_pylist()]
-        bounds = np.append(0, np.cumsum([len(k) for k in keys]))
-        same = np.concatenate(keys)
-        del keys
+        shards = table.column("shard").to_numpy()
+        same, bounds = unpacked_runs(table.column("keys").to_pylist(), np.uint64, True)
         same *= _NEXT
-        for lo, hi, x in zip(bounds.tolist(), bounds[1:].tolist(), table.column("numbers").to_pylist()):
-            if x:
-                same[lo:hi] += unpacked(x, np.uint64)
+        numbers = table.column("numbers").to_pylist()
+        if numbers[0]:
+            same += joined(numbers, np.uint64)
         same = mix(same)
         order = np.argsort(same)
         same = same[order]
@@ -367,7 +395,7 @@ def _summed(answers: list[Callable[..., list[np.ndarray]]], parts: int):
         which = np.empty(len(order), np.int32)
         which[order] = np.cumsum(new, dtype=np.int32) - 1
         del same, order, new
-        flat = [np.concatenate([unpacked(x, np.int64) for x in row]) for row in zip(*table.column("sums").to_pylist())]
+        flat = [joined(row, np.int64) for row in zip(*table.column("sums").to_pylist())]
         found = np.stack([np.bincount(which, x) for x in flat])
         # the least shard that sent a key answers for it
         first = np.empty(found.shape[1], np.int32)
